@@ -60,6 +60,8 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    #: Hash of each word's first bytes, if asked for.
+    head: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -73,8 +75,8 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.hash))
 
 
-def _block(b: np.ndarray, cuts: np.ndarray, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of ``b``; no word goes across an offset in ``cuts``."""
+def _block(b: np.ndarray, cuts: np.ndarray, table, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, hashes and hashes of the heads of the words of ``b``; no word goes across an offset in ``cuts``."""
     word, code = table
     mask = word[b]
     st, en = mask.copy(), mask.copy()
@@ -85,16 +87,19 @@ def _block(b: np.ndarray, cuts: np.ndarray, table) -> tuple[np.ndarray, np.ndarr
     en[cuts - 1] = mask[cuts - 1]
     start, last = np.flatnonzero(st), np.flatnonzero(en)
     if not len(start):
-        return start, last, np.empty(0, U)
+        return start, last, np.empty(0, U), np.empty(0, U)
     pw, iv = (_POW, _INV) if len(b) <= BLOCK else (_powers(int(_BASE), len(b)), _powers(pow(int(_BASE), -1, 1 << 64), len(b)))
     v = code[b] * pw[: len(b)]
     c = np.cumsum(v, dtype=U)
     h = (c[last] - c[start] + v[start]) * iv[start]
-    return start, last + 1, mix(h + (last - start).astype(U) * U(0xD6E8FEB86659FD93))
+    heads = np.empty(0, U)
+    if head:
+        heads = mix(((c[np.minimum(last, start + head - 1)] - c[start] + v[start]) * iv[start]) ^ U(0xA5A5A5A5A5A5A5A5))
+    return start, last + 1, mix(h + (last - start).astype(U) * U(0xD6E8FEB86659FD93)), heads
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, table) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8 bytes)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, table, head: int = 0) -> Words:
+    """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8 bytes); with ``head``, their first so many bytes hashed too."""
     word = table[0]
     at, end = int(offsets[0]), int(offsets[-1])
     parts = []
@@ -114,15 +119,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table) -> Words:
                 nxt = offsets[np.searchsorted(offsets, at, "right")]
                 to = min(to, int(nxt)) if nxt > at else to
         lo, hi = np.searchsorted(offsets, at, "left"), np.searchsorted(offsets, to, "right")
-        s, e, h = _block(data[at:to], np.asarray(offsets[lo:hi]) - at, table)
-        parts.append((s + at, e + at, h))
+        s, e, h, p = _block(data[at:to], np.asarray(offsets[lo:hi]) - at, table, head)
+        parts.append((s + at, e + at, h, p))
         at = to
     if not parts:
-        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U))]
-    start, last, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U), np.empty(0, U))]
+    start, last, h, heads = (np.concatenate(x) for x in zip(*parts, strict=True))
     first = np.searchsorted(start, offsets, "left")
     base = np.repeat(offsets[:-1], np.diff(first))
-    return Words(h, start - base, last - base, first)
+    return Words(h, start - base, last - base, first, heads if head else None)
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
