@@ -51,7 +51,7 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tasks_for(spark: SparkSession, units: float, per_task: float) -> int:

@@ -7,7 +7,7 @@ depth; an internal node of this depth is a window that stands in several places,
    An n-gram that is chosen in one place of the corpus only leads to leaves alone, and its suffixes go no further.
    About one n-gram in seven is sent for this.
 2. The suffixes that are left go to groups by prefixes of their anchors' hashes. Prefixes have variable length: one bit
-   more wherever a group would be beyond ``GROUP`` suffixes, so that each group's tree fits in memory.
+   more wherever a group would be beyond a bound, so that each group's tree fits in memory (``exchange.groups``).
 3. A group's tree is a sorted array of path hashes; nodes of full depth are its runs of equal paths. The first leaf of
    each, in order of document and place, stays; the places of the others go back to their documents.
 
@@ -25,16 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, stored, tasks_for
+from .exchange import ENTRY, by_bucket, entry, groups, joined
+from .shared import documents, stored
 from .words import EXACT, bounds, ngrams, packed, spans, texts, words_of
 
 WINDOW = 20
 ANCHOR = 8
-#: Suffixes of a group, about.
-GROUP = 1_000_000
-#: Buckets by whose counts prefixes are made longer (a power of two: as many bits of the hash).
-BUCKETS = 1 << 12
-_ENTRY = "kind int, bucket int, doc_id long, n long, body binary"
 
 
 def _windows(w, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,25 +46,11 @@ def _windows(w, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     return begin, m[begin]
 
 
-def _batch(kind, bucket, doc, n, body) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), body],
-                           ["kind", "bucket", "doc_id", "n", "body"])
-
-
 def _by_doc(kind: int, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     """One row per document with its values; ``ids`` are sorted."""
     b = bounds(ids)
     k = len(b) - 1
-    return _batch([kind] * k, [0] * k, ids[b[:-1]], np.diff(b), packed(values, b))
-
-
-def _by_bucket(key: np.ndarray, record: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket (the highest bits of the key) with its records."""
-    bucket = (key >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    b = bounds(bucket[order])
-    k = len(b) - 1
-    return _batch([0] * k, bucket[order][b[:-1]], [0] * k, np.diff(b), packed(record[order], b))
+    return entry([kind] * k, [0] * k, ids[b[:-1]], np.diff(b), packed(values, b))
 
 
 _SEEN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("many", "u1")])
@@ -104,19 +86,14 @@ def _anchors(window: int, anchor: int):
                     yield _by_doc(1, d[once], k[once])
                 record = np.zeros(len(size), _SEEN)
                 record["key"], record["doc"], record["many"] = key[b[:-1]], own[b[:-1]], size > 1
-                yield _by_bucket(record["key"], record)
+                yield by_bucket(record["key"], record)
 
     return run
 
 
-def _joined(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in table["body"].combine_chunks()] if table.num_rows else []
-    return np.concatenate(parts) if parts else np.empty(0, kind)
-
-
 def _repeated(table: pa.Table) -> pa.Table:
     """n-grams of several places: told to those documents whose task had one place only."""
-    x = _joined(table, _SEEN)
+    x = joined(table, _SEEN)
     x = x[np.argsort(x["key"], kind="stable")]
     size = np.diff(bounds(x["key"]))
     x = x[np.repeat(size > 1, size) & (x["many"] == 0)]
@@ -124,6 +101,14 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_by_doc(1, x["doc"].copy(), x["key"].copy())])
 
 
+def _places(leaf: np.ndarray) -> np.ndarray:
+    """Sorted by path and place; rows that repeat a document stand for one place."""
+    leaf = leaf[np.lexsort((leaf["at"], leaf["doc"], leaf["path"]))]
+    if len(leaf):
+        leaf = leaf[np.concatenate([[True], leaf[1:] != leaf[:-1]])]
+    return leaf
+
+
 def _suffixes(window: int, anchor: int):
     """Of suffixes whose anchors repeat: the first place of each path in the batch is sent, others are answered at once."""
 
@@ -148,7 +133,7 @@ def _suffixes(window: int, anchor: int):
                 doc = w.doc()[begin]
                 leaf = np.zeros(len(begin), _LEAF)
                 leaf["key"], leaf["path"], leaf["doc"], leaf["at"] = least, ngrams(w.hash, window)[begin], ids[lo:hi][doc], begin - w.first[doc]
-                leaf = leaf[np.lexsort((leaf["at"], leaf["doc"], leaf["path"]))]
+                leaf = _places(leaf)
                 first = np.concatenate([[True], leaf["path"][1:] != leaf["path"][:-1]])
                 rest = leaf[~first]
                 if len(rest):
@@ -156,47 +141,26 @@ def _suffixes(window: int, anchor: int):
                     yield _by_doc(1, rest["doc"].copy(), rest["at"].astype(np.int32))
                 leaf = leaf[first]
                 leaf = leaf[np.lexsort((leaf["at"], leaf["doc"]))]
-                yield _by_bucket(leaf["key"], leaf)
+                yield by_bucket(leaf["key"], leaf)
 
     return run
 
 
 def _tree(table: pa.Table) -> pa.Table:
     """The nodes of full depth of a group's tree: places of all leaves but the first."""
-    x = _joined(table, _LEAF)
-    x = x[np.lexsort((x["at"], x["doc"], x["path"]))]
+    x = joined(table, _LEAF)
+    x = _places(x)
     x = x[np.concatenate([[False], x["path"][1:] == x["path"][:-1]])] if len(x) else x
     x = x[np.argsort(x["doc"], kind="stable")]
     return pa.Table.from_batches([_by_doc(1, x["doc"].copy(), x["at"].astype(np.int32))])
 
 
-def _groups(entries: DataFrame) -> DataFrame:
-    """Sends with ``group``: buckets side by side are joined up to ``GROUP`` entries. A bucket is what has the same longest prefix, a group what has the same shorter one.
-
-    The driver sees one number per bucket, of which there are ``BUCKETS``.
-    """
-    spark = entries.sparkSession
-    sizes = {r["bucket"]: r["n"] for r in entries.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
-    cap = max(10_000, min(GROUP, -(-sum(sizes.values()) // tasks_for(spark, 1, 1))))
-    of: list[int] = [0] * BUCKETS
-
-    def split(lo: int, size: int) -> None:
-        if size == 1 or sum(sizes.get(i, 0) for i in range(lo, lo + size)) <= cap:
-            of[lo:lo + size] = [lo] * size
-        else:
-            split(lo, size // 2)
-            split(lo + size // 2, size // 2)
-
-    split(0, BUCKETS)
-    return entries.withColumn("group", F.element_at(F.array(*[F.lit(x) for x in of]), F.col("bucket") + 1))
-
-
 def _resolved(entries: DataFrame, resolve, name: str) -> DataFrame:
     """doc_id and what its parts are told: from the batch itself and from the groups."""
     entries = stored(entries, name, partition_by="kind")
     sent, own = (entries.where(F.col("kind") == k) for k in (0, 1))
-    grouped = _groups(sent).select("group", "body")
-    back = grouped.groupBy("group").applyInArrow(resolve, _ENTRY)
+    grouped = groups(sent).select("group", "body")
+    back = grouped.groupBy("group").applyInArrow(resolve, ENTRY)
     both = own.select("doc_id", "body").unionByName(back.select("doc_id", "body"))
     told = both.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("body")), "").alias("told"))
     return told.select("doc_id", F.unhex("told").alias("told"))
@@ -227,7 +191,7 @@ def _cut(window: int, with_text: bool):
                     gone.append(n - len(kept))
                     sha.append(hashlib.sha256(joined).hexdigest())
                     body.append(joined.decode() if len(at) else raw.tobytes().decode())
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(w.counts.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(sha)] + ([pa.array(body)] if with_text else []),
+                yield pa.recordentry([batch.column(0).slice(lo, hi - lo), pa.array(w.counts.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(sha)] + ([pa.array(body)] if with_text else []),
                                       ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
     return run
@@ -239,15 +203,15 @@ def deduplicate(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key:
     Words are removed that a window of ``window`` words covers which also begins earlier: in a document of smaller key,
     or earlier in the same. Windows are judged on the input. kept_text is the text itself where nothing is removed, else the kept words joined by a space.
 
-    Null and empty texts, and those shorter than a window, keep all. ``key`` must be unique; rows with a null key are
-    judged as the last document each and lose nothing to one another. Windows are equal if their 64-bit
+    Null and empty texts, and those shorter than a window, keep all. Rows that repeat a document are that one document and lose the
+    same; keys must otherwise be unique. Rows with a null key keep all and take nothing from others. Windows are equal if their 64-bit
     hashes are: a false match among n windows has the chance n²/2^65.
     """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
     keyed = rows.where("doc_id is not null")
-    anchors = _resolved(keyed.mapInArrow(_anchors(window, anchor), _ENTRY), _repeated, "anchors")
+    anchors = _resolved(keyed.mapInArrow(_anchors(window, anchor), ENTRY), _repeated, "anchors")
     some = keyed.join(anchors, "doc_id").select("doc_id", "t", "told")
-    places = _resolved(some.mapInArrow(_suffixes(window, anchor), _ENTRY), _tree, "suffixes")
+    places = _resolved(some.mapInArrow(_suffixes(window, anchor), ENTRY), _tree, "suffixes")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return rows.join(places, "doc_id", "left").select("doc_id", "t", "told").mapInArrow(_cut(window, with_text), schema)
 
