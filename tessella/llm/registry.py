@@ -27,14 +27,14 @@ def oracle_sql() -> dict[str, str]:
 WITH p AS (SELECT page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x FROM pages),
 m AS (SELECT h, max(page_id) top FROM p GROUP BY h)
 SELECT page_id, CAST(strlen(p.h) AS BIGINT) payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id = top THEN NULL ELSE top END refers_to
 FROM p JOIN m ON p.h = m.h""",
         "op5_bbit_minhash": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-  ELSE list_transform(range(1, CAST(len(ws) - 3 AS BIGINT)), i -> array_to_string(ws[i:i + 4], ' ')) END) g FROM w),
+  ELSE list_transform(range(1, CAST(len(ws) - 3 AS BIGINT)), lambda i: array_to_string(ws[i:i + 4], ' ')) END) g FROM w),
 e AS (SELECT doc_id, unnest(g) x FROM s),
 c AS (SELECT a.doc_id a, b.doc_id b, count(*) n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
 k AS (SELECT c.a, c.b FROM c JOIN s p ON p.doc_id = c.a JOIN s q ON q.doc_id = c.b WHERE 100 * n >= 85 * (len(p.g) + len(q.g) - n)),
@@ -59,6 +59,6 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\
 p AS (SELECT doc_id, s, hash(array_to_string(w[s:s + 19], ' ')) a, md5_number(array_to_string(w[s:s + 19], ' ')) b FROM d, unnest(range(1, CAST(greatest(len(w) - 18, 1) AS BIGINT))) t(s)),
 r AS (SELECT doc_id, s FROM p QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY doc_id, s) > 1),
 g AS (SELECT doc_id, list(DISTINCT q) q FROM r, unnest(range(s, s + 20)) t(q) GROUP BY doc_id),
-k AS (SELECT d.doc_id, len(w) n, coalesce(len(g.q), 0) gone, list_filter(w, (x, i) -> g.q IS NULL OR NOT list_contains(g.q, i)) kept FROM d LEFT JOIN g ON g.doc_id = d.doc_id)
+k AS (SELECT d.doc_id, len(w) n, coalesce(len(g.q), 0) gone, list_filter(w, lambda x, i: g.q IS NULL OR NOT list_contains(g.q, i)) kept FROM d LEFT JOIN g ON g.doc_id = d.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) n_words, CAST(gone AS BIGINT) n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) kept_sha256 FROM k""",
     }
