@@ -33,17 +33,20 @@ WINDOW = 20
 ANCHOR = 8
 
 
-def _windows(w, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begins of all windows, and the least n-gram in each."""
+def _windows(w, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins of all windows, the least n-gram in each, and where it stands first."""
     left = w.left()
     begin = np.flatnonzero(left >= window)
     if not len(begin):
-        return begin, np.empty(0, np.uint64)
+        return begin, np.empty(0, np.uint64), begin
     g = ngrams(w.hash, anchor)
     m = g[: len(g) - (window - anchor)].copy()
+    at = np.arange(len(m))
     for j in range(1, window - anchor + 1):
+        less = g[j:j + len(m)] < m
+        at[less] = np.flatnonzero(less) + j
         np.minimum(m, g[j:j + len(m)], out=m)
-    return begin, m[begin]
+    return begin, m[begin], at[begin]
 
 
 def _by_doc(kind: int, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
@@ -66,12 +69,11 @@ def _anchors(window: int, anchor: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in spans(off):
                 w = words_of(data, off[lo:hi + 1], EXACT)
-                begin, least = _windows(w, window, anchor)
+                begin, least, place = _windows(w, window, anchor)
                 if not len(begin):
                     continue
                 doc = w.doc()[begin]
-                # A place is a run of windows one after another with the same least n-gram.
-                new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
+                new = np.concatenate([[True], place[1:] != place[:-1]])
                 key, own = least[new], ids[lo:hi][doc[new]]
                 order = np.argsort(key, kind="stable")
                 key, own = key[order], own[order]
@@ -119,7 +121,7 @@ def _suffixes(window: int, anchor: int):
             told, told_off = texts(batch.column(2))
             for lo, hi in spans(off):
                 w = words_of(data, off[lo:hi + 1], EXACT)
-                begin, least = _windows(w, window, anchor)
+                begin, least, _ = _windows(w, window, anchor)
                 if not len(begin):
                     continue
                 known = np.unique(np.frombuffer(told[told_off[lo]:told_off[hi]].tobytes(), np.uint64))
