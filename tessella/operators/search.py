@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,36 +12,62 @@ from pyspark.sql import DataFrame
 SCHEMA = "problem long, status string, proof array<string>, n_expansions int, n_tactics int, limit_hit string"
 
 
+def _search(options: dict[int, list[tuple]], max_expansions: int, per_step: int, max_depth: int, penalty: float) -> tuple:
+    """options: by state, (-logprob, step, logprob, outcome, next)."""
+    for rows in options.values():
+        rows.sort()
+    order, seen, expanded, tried, hit = itertools.count(), {0}, 0, 0, None
+    todo = [(0.0, next(order), 0, 0.0, ())]
+    while todo:
+        if expanded >= max_expansions:
+            hit = "max_expansions"
+            break
+        _, _, state, logprob, path = heapq.heappop(todo)
+        if len(path) >= max_depth:
+            continue
+        expanded += 1
+        for _, step, gain, outcome, to in options.get(state, ())[:per_step]:
+            tried += 1
+            if outcome == "proved":
+                return "proved", [*path, step], expanded, tried, None
+            if outcome == "crash":
+                return "error", None, expanded, tried, None
+            if outcome == "progress" and to not in seen:
+                seen.add(to)
+                total, steps = logprob + gain, (*path, step)
+                heapq.heappush(todo, (-total / len(steps) ** penalty, next(order), to, total, steps))
+    return "exhausted" if hit or todo else "no_candidates", None, expanded, tried, hit
+
+
 def best_first(transitions: DataFrame, max_expansions: int = 64, per_step: int = 16, max_depth: int = 32, penalty: float = 0.5) -> DataFrame:
     """transitions: problem, state, tactic, logprob, outcome (proved, progress, error, rejected, crash), next; a search begins at state 0.
 
-    Problems are searched side by side; the transitions of one problem are what its task holds. A problem without a state 0 has no candidates.
+    Problems are sorted within partitions and searched one after another; a task holds the transitions of one problem.
+    A problem without a state 0 has no candidates.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        options = {s: g.sort_values(["logprob", "tactic"], ascending=[False, True]).head(per_step) for s, g in rows.groupby("state")}
-        order, seen, expanded, tried, hit = itertools.count(), {0}, 0, 0, None
-        todo = [(0.0, next(order), 0, 0.0, ())]
-        status, proof = None, None
-        while todo and status is None:
-            if expanded >= max_expansions:
-                hit = "max_expansions"
-                break
-            _, _, state, logprob, path = heapq.heappop(todo)
-            if len(path) >= max_depth:
-                continue
-            expanded += 1
-            for r in options[state].itertuples() if state in options else ():
-                tried += 1
-                if r.outcome in ("proved", "crash"):
-                    status = "proved" if r.outcome == "proved" else "error"
-                    proof = [*path, r.tactic] if r.outcome == "proved" else None
-                    break
-                if r.outcome == "progress" and r.next not in seen:
-                    seen.add(r.next)
-                    total, steps = logprob + r.logprob, (*path, r.tactic)
-                    heapq.heappush(todo, (-total / max(len(steps), 1) ** penalty, next(order), r.next, total, steps))
-        status = status or ("exhausted" if hit or todo else "no_candidates")
-        return pd.DataFrame({"problem": [rows["problem"].iloc[0]], "status": [status], "proof": [proof], "n_expansions": [expanded], "n_tactics": [tried], "limit_hit": [hit]})
-
-    return transitions.groupBy("problem").applyInPandas(one, SCHEMA)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, options = None, {}
+        done = []
+
+        def close():
+            if now is not None:
+                done.append((now, *_search(options, max_expansions, per_step, max_depth, penalty)))
+
+        for rows in batches:
+            for problem, state, step, logprob, outcome, to in rows.itertuples(index=False, name=None):
+                if problem != now:
+                    close()
+                    now, options = problem, {}
+                options.setdefault(state, []).append((-logprob, step, logprob, outcome, to))
+            yield _frame(done)
+            done.clear()
+        close()
+        yield _frame(done)
+
+    rows = transitions.select("problem", "state", "tactic", "logprob", "outcome", "next")
+    return rows.repartition("problem").sortWithinPartitions("problem").mapInPandas(run, SCHEMA)
+
+
+def _frame(done: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(done, columns=[c.split()[0] for c in SCHEMA.split(", ")])

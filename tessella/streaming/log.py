@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 def running_solved(spark: SparkSession, path: str, checkpoint: str, threshold: float = 100.0) -> DataFrame:
     """arm, n and solved after the stream has read all of ``path`` (Parquet like ``events``), in batches of one file; the checkpoint lets it go on where it stopped."""
     schema = spark.read.parquet(path).schema
-    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    folder, _, name = path.rpartition("/")
+    # A stream watches a folder; a table that is one file is that file of its folder.
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one = files.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(files).isFile() if hasattr(spark, "_jsc") else False
+    log = reader.option("pathGlobFilter", name).parquet(folder) if one else reader.parquet(path)
     counts = log.withColumn("at", F.col("ts").cast("timestamp")).groupBy(F.col("event_type").alias("arm")).agg(F.count("*").alias("n"), F.count_if(F.col("value") >= threshold).alias("solved"))
     name = f"log_{uuid.uuid4().hex[:8]}"
     q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
