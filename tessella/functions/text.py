@@ -42,12 +42,17 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(1))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at its ends; ``trim`` takes off spaces only."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def last_component(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
 def nonblank(steps: Column) -> Column:
-    return F.filter(F.transform(steps, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(steps, strip), lambda x: x != "")
 
 
 def head(step: Column) -> Column:
@@ -56,7 +61,7 @@ def head(step: Column) -> Column:
 
 def admissible(tactic: Column, longest: int = 2000) -> Column:
     """Why a step is refused, the first reason that holds; null if none does. Null steps are empty."""
-    return (F.when(tactic.isNull() | (F.trim(tactic) == ""), "empty").when(F.length(tactic) > longest, "too long")
+    return (F.when(tactic.isNull() | (strip(tactic) == ""), "empty").when(F.length(tactic) > longest, "too long")
             .when(tactic.rlike(r"(^|[^A-Za-z0-9_.])(sorry|admit|sorryAx)($|[^A-Za-z0-9_])"), "unproved")
             .when(tactic.rlike(r"(^|[^A-Za-z0-9_.'])native_decide($|[^A-Za-z0-9_'])"), "native").when(tactic.contains("apply?"), "search"))
 
@@ -71,7 +76,7 @@ def area(statement: Column) -> Column:
 def step_outcome(status: Column, goals: Column, messages: Column, severities: Column) -> Column:
     """What a step has come to: an error, a finished proof, or progress with goals left; a gap in the proof is an error."""
     said = F.concat_ws(" ", status, F.array_join(messages, " "))
-    state, left = F.lower(F.trim(status)), F.size(goals) > 0
+    state, left = F.lower(strip(status)), F.size(goals) > 0
     open_ = state.startswith("incomplete") | state.contains("open goals")
     finished = state.startswith("completed") | (state == "done") | (state == "")
     return (F.when(F.exists(severities, lambda x: x == "error"), "error").when(said.rlike(r"(^|[^A-Za-z0-9_.])(sorry|admit|sorryAx)($|[^A-Za-z0-9_])"), "error")
@@ -92,9 +97,9 @@ def budget_label(arm: Column, n: Column) -> Column:
 
 def clean_step(step: Column) -> Column:
     """Without white space at its ends, then without echoes, each taken off once and in order."""
-    out = F.trim(step)
+    out = strip(step)
     for e in ECHOES:
-        out = F.when(out.startswith(e), F.trim(F.substr(out, F.lit(len(e) + 1)))).otherwise(out)
+        out = F.when(out.startswith(e), strip(F.substr(out, F.lit(len(e) + 1)))).otherwise(out)
     return out
 
 
@@ -104,7 +109,7 @@ def declaration_parts(text: Column) -> Column:
     d = F.regexp_extract(text, decl, 1)
     imports = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(import\s+\S+)"), F.lit(1))
     before = F.when(d != "", F.substr(text, F.lit(1), F.length(text) - F.length(d))).otherwise(text)
-    return F.struct(imports.alias("imports"), F.trim(F.regexp_replace(before, r"(?m)^\s*import\s+\S+[^\n]*\n?", "")).alias("preamble"), F.when(d != "", F.trim(d)).alias("declaration"))
+    return F.struct(imports.alias("imports"), strip(F.regexp_replace(before, r"(?m)^\s*import\s+\S+[^\n]*\n?", "")).alias("preamble"), F.when(d != "", strip(d)).alias("declaration"))
 
 
 def prompt_block(premises: Column, limit: int = 6) -> Column:
