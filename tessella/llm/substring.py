@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .exchange import ENTRY, by_bucket, entry, groups, joined
 from .shared import documents, stored
-from .words import EXACT, bounds, ngrams, packed, spans, texts, words_of
+from .words import EXACT, bounds, mix, ngrams, packed, spans, texts, words_of
 
 WINDOW = 20
 ANCHOR = 8
@@ -93,14 +93,30 @@ def _anchors(window: int, anchor: int):
     return run
 
 
+def _answers(doc: np.ndarray, value: np.ndarray) -> pa.Table:
+    """What documents are told, by bucket of documents: few rows, however many documents there are."""
+    x = np.zeros(len(doc), [("doc", "<i8"), ("value", value.dtype)])
+    x["doc"], x["value"] = doc, value
+    return pa.Table.from_batches([by_bucket(mix(np.ascontiguousarray(doc).view(np.uint64)), x)])
+
+
+def _per_document(kind: str):
+    def run(table: pa.Table) -> pa.Table:
+        x = joined(table, np.dtype([("doc", "<i8"), ("value", kind)]))
+        x = x[np.argsort(x["doc"], kind="stable")]
+        b = bounds(x["doc"])
+        return pa.table({"doc_id": x["doc"][b[:-1]], "body": packed(x["value"], b)})
+
+    return run
+
+
 def _repeated(table: pa.Table) -> pa.Table:
     """n-grams of several places: told to those documents whose task had one place only."""
     x = joined(table, _SEEN)
     x = x[np.argsort(x["key"], kind="stable")]
     size = np.diff(bounds(x["key"]))
     x = x[np.repeat(size > 1, size) & (x["many"] == 0)]
-    x = x[np.argsort(x["doc"], kind="stable")]
-    return pa.Table.from_batches([_by_doc(1, x["doc"].copy(), x["key"].copy())])
+    return _answers(x["doc"], x["key"])
 
 
 def _places(leaf: np.ndarray) -> np.ndarray:
@@ -153,16 +169,17 @@ def _tree(table: pa.Table) -> pa.Table:
     x = joined(table, _LEAF)
     x = _places(x)
     x = x[np.concatenate([[False], x["path"][1:] == x["path"][:-1]])] if len(x) else x
-    x = x[np.argsort(x["doc"], kind="stable")]
-    return pa.Table.from_batches([_by_doc(1, x["doc"].copy(), x["at"].astype(np.int32))])
+    return _answers(x["doc"], x["at"])
 
 
-def _resolved(entries: DataFrame, resolve, name: str) -> DataFrame:
+def _resolved(entries: DataFrame, resolve, value: str, name: str) -> DataFrame:
     """doc_id and what its parts are told: from the batch itself and from the groups."""
     entries = stored(entries, name, partition_by="kind")
     sent, own = (entries.where(F.col("kind") == k) for k in (0, 1))
     grouped = groups(sent).select("group", "body")
-    back = grouped.groupBy("group").applyInArrow(resolve, ENTRY)
+    parts = 4 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = grouped.groupBy("group").applyInArrow(resolve, ENTRY).withColumn("part", F.col("bucket") % parts)
+    back = answers.select("part", "body").groupBy("part").applyInArrow(_per_document(value), "doc_id long, body binary")
     both = own.select("doc_id", "body").unionByName(back.select("doc_id", "body"))
     told = both.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("body")), "").alias("told"))
     return told.select("doc_id", F.unhex("told").alias("told"))
@@ -211,9 +228,9 @@ def deduplicate(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key:
     """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
     keyed = rows.where("doc_id is not null")
-    anchors = _resolved(keyed.mapInArrow(_anchors(window, anchor), ENTRY), _repeated, "anchors")
+    anchors = _resolved(keyed.mapInArrow(_anchors(window, anchor), ENTRY), _repeated, "<u8", "anchors")
     some = keyed.join(anchors, "doc_id").select("doc_id", "t", "told")
-    places = _resolved(some.mapInArrow(_suffixes(window, anchor), ENTRY), _tree, "suffixes")
+    places = _resolved(some.mapInArrow(_suffixes(window, anchor), ENTRY), _tree, "<i4", "suffixes")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return rows.join(places, "doc_id", "left").select("doc_id", "t", "told").mapInArrow(_cut(window, with_text), schema)
 
