@@ -5,9 +5,10 @@
 2. Classes that share a band's key are candidates. Each is paired with the smallest class of its bucket alone (a star).
 3. A pair whose collision-corrected similarity, by bit counts of the packed signatures, is far below the threshold is
    dropped; the others are confirmed on the full sets, and linked classes get one label.
-4. Buckets in which several labels are left are compared once more across labels, by blocks, on signatures alone; what
-   isn't far below the threshold is confirmed on full sets as well. Members of one label need no more pairs: links
-   within it can't change the groups.
+4. Buckets in which several labels are left are compared once more across labels; members of one label need no more
+   pairs, as links within it can't change the groups. Small buckets give pairs that are confirmed like the stars. In
+   larger ones, blocks of members with their full sets meet each other, and only links that join two labels leave the
+   task: a spanning forest, not all pairs.
 """
 
 from __future__ import annotations
@@ -15,13 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, stored, with_group_extreme
-from .words import LOWER, mix, ngrams, spans, texts, words_of
+from .words import LOWER, mix, ngrams, packed, spans, texts, words_of
 
 SHINGLE = 5
 ROWS = 4
@@ -32,8 +32,8 @@ BITS = 2
 LONGS = HASHES * BITS // 64
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SIGMAS = 6.0
-#: Classes of a bucket that are compared at once.
-BLOCK = 2048
+#: Classes of a bucket that may be paired as rows; classes, and shingles, of a block in larger ones.
+SMALL, BLOCK, BLOCK_SHINGLES = 16, 2048, 2_000_000
 _R = np.random.default_rng(5).integers(0, 2**63, (2, HASHES), dtype=np.uint64)
 _XOR, _MUL = _R[0], _R[1] * np.uint64(2) + np.uint64(1)
 
@@ -173,21 +173,51 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return label
 
 
-def _across(floor: float):
-    """Pairs of different labels of a block of a bucket whose estimate isn't far below the threshold."""
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = texts(batch.column(1))
+            for lo, hi in spans(off):
+                h, first = shingle_sets(words_of(data, off[lo:hi + 1], LOWER), size)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), packed(h, first)], ["id", "shingles"])
+
+    return run
+
+
+def _forest(num: int, den: int, floor: float):
+    """Links between labels of two blocks of a bucket, as few as join all labels that they join."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        side, ids, label = (table[c].to_numpy() for c in ("side", "id", "label"))
+        sig = table["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
+        size = np.array([len(x) for x in sets])
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = []
-        one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if len(one) and len(two):
-            sa, sb = np.array(one["sig"].tolist(), np.int64).view(np.uint64), np.array(two["sig"].tolist(), np.int64).view(np.uint64)
-            ia, ib, la, lb = one["id"].to_numpy(), two["id"].to_numpy(), one["label"].to_numpy(), two["label"].to_numpy()
-            for i in range(len(ia)):
-                x = sb ^ sa[i]
+            _, number = np.unique(np.concatenate(sets), return_inverse=True)
+            at = np.concatenate([[0], np.cumsum(size)])
+            flat = np.concatenate([number[at[j]:at[j + 1]] for j in two])
+            starts = np.cumsum(size[two]) - size[two]
+            mark = np.zeros(int(number.max()) + 1, np.int32)
+            for i in one:
+                far = label[two] != label[i]
+                if not far.any():
+                    continue
+                x = sig[two] ^ sig[i]
                 differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
-                ok = (la[i] != lb) & (((HASHES - differ) / HASHES - 0.25) / 0.75 >= floor)
-                out += [(min(ia[i], j), max(ia[i], j)) for j in ib[ok]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+                if not (far := far & (((HASHES - differ) / HASHES - 0.25) / 0.75 >= floor)).any():
+                    continue
+                own = number[at[i]:at[i + 1]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[flat], starts)
+                mark[own] = 0
+                for j in two[far & (den * both >= num * (size[two] + size[i] - both))]:
+                    if label[j] != label[i]:
+                        out.append((ids[i], ids[j]))
+                        label = np.where(label == label[j], label[i], label)
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -223,14 +253,20 @@ def near_duplicates(df: DataFrame, num: int = 80, den: int = 100, size: int = SH
 
     named = seats.join(label, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
     mixed = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    open_ = stored(named.join(mixed, "band").join(sigs.select("id", "sig"), "id").withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))), "open")
-    # A block meets each block not before it; for most buckets there is one.
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("other", F.col("other").cast("long"))
-    sides = dealt.select("band", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "id", "label", "sig", F.when(F.col("block") <= F.col("other"), F.lit(0)).otherwise(1).alias("side"))
-    twice = sides.where("b0 = b1").withColumn("side", F.lit(1))
-    more = sides.unionByName(twice).groupBy("band", "b0", "b1").applyInPandas(_across(_floor(threshold)), "a long, b long").distinct()
-    more = stored(more, "across")
-    links = links.unionByName(stored(_linked(more, bodies, size, num, den), "links"))
+    rest = stored(named.join(mixed, "band").join(sigs, "id"), "open")
+    small = rest.where(F.col("n") <= SMALL).select("band", "id", "label", "sig", "n_shingles")
+    other = small.withColumnsRenamed({"id": "b", "label": "b_label", "sig": "b_sig", "n_shingles": "b_n"})
+    few = (small.join(other, "band").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("b_label")))
+           .where(F.least("n_shingles", "b_n") * den >= F.greatest("n_shingles", "b_n") * num)
+           .where(_estimate("sig", "b_sig") >= _floor(threshold)).select(F.col("id").alias("a"), "b").distinct())
+    large = rest.where(F.col("n") > SMALL)
+    blocks = large.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    sets = stored(bodies.join(large.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "id long, shingles binary"), "sets")
+    dealt = (large.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1))))
+    sides = dealt.select("band", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "id", "label", "sig",
+                         F.explode(F.when(F.col("block") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("block") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))).alias("side"))
+    forest = sides.join(sets, "id").groupBy("band", "b0", "b1").applyInArrow(_forest(num, den, _floor(threshold)), "a long, b long")
+    links = links.unionByName(stored(_linked(few, bodies, size, num, den).unionByName(forest), "links"))
     label = components(links)
 
     grouped = member.join(label, member["class"] == label["id"], "left").select("doc_id", F.coalesce("component", "class").alias("component_id")).withColumnRenamed("doc_id", "_d")
