@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, pieces, stretches
+from .bpe import Vocabulary, default_vocabulary
 from .shared import documents, globally_ranked, scratch_path, stored
 
 #: Most distinct pieces that a Python worker remembers.
@@ -40,8 +40,8 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view(np.uint32).reshape(-1)
 
 
-class _Encoder:
-    """The tokenizers library, with the ids of pieces that it has seen kept."""
+class _Encoder(Vocabulary):
+    """The tokenizers library, asked once for each word that a worker sees; texts are cut into words where its own pattern cuts."""
 
     def __init__(self, path: str):
         import os
@@ -49,26 +49,26 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__(path)
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text. Texts are cut only where the tokenizer's own pattern cuts, those with special tokens not at all."""
-        own = [None if any(s.encode() in t for s in self.special) else [p for x in stretches(t) for p in pieces(x)] for t in texts]
-        wanted = {p for x in own if x is not None for p in x}
-        new = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(wanted)
+        self.words: dict[bytes, bytes] = {}
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = words
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            for p, e in zip(some, self.lib.encode_batch([x.decode() for x in some], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, np.uint32).tobytes()
-        get = self.known.__getitem__
-        return [np.array(self.lib.encode(t.decode(), add_special_tokens=False).ids, np.uint32).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, own, strict=True)]
+            for w, e in zip(some, self.lib.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, np.uint32).tobytes()
+        ids = [self.words[w] for w in words]
+        return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+    def stream(self, word: bytes):
+        yield self.merged([word])[0]
 
 
 _made: dict[str, _Encoder] = {}
@@ -86,7 +86,7 @@ def _encode(path: str, end: int):
                     own.append(column[hi].as_py() or b"")
                     held += len(own[-1])
                     hi += 1
-                ids = [np.append(np.frombuffer(x, np.uint32), np.uint32(end)) for x in encoder(own)]
+                ids = [np.append(np.frombuffer(b"".join(x), np.uint32), np.uint32(end)) for x in encoder.encode(own)]
                 small = [x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())], ["doc_id", "n_tokens", "ids"])
                 lo = hi
