@@ -28,7 +28,7 @@ PER_LIST, MOST_LISTS = 400, 4096
 #: A vector is also put in lists up to so many times as far as its nearest (in distance), at most in ``COPIES`` lists.
 BOUNDARY, COPIES = 1.15, 4
 #: A query takes lists up to so many times as far as its nearest, at least and at most so many of them.
-RATIO, FEWEST, MOST = 1.6, 24, 64
+RATIO, FEWEST, MOST = 1.3, 16, 24
 #: Neighbours of a centroid in the graph, and the width of a walk.
 DEGREE, WIDTH = 24, 128
 #: Vectors of a list that are searched by one task at once.
