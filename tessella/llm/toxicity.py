@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .shared import documents, stored
 from .words import LETTERS, signed, spans, texts, words_of
 
+#: Labelled documents to learn from, about: of more, a sample by hash of the id. Their ids and labels are broadcast.
+LABELLED = 100_000
 #: Most words of the lexicon, the most significant first: what each task gets whole.
 LEXICON = 50_000
 #: Least |z| of a word's log-odds.
@@ -258,11 +260,19 @@ def passages(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, f"_key {kind}, begin long, end long, passage string, score double, e_value double").withColumnRenamed("_key", key)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the documents that may be learnt from; a document with several labels has the highest."""
-    own = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label")).where("_id is not null and label is not null").groupBy("_id").agg(F.max("label").alias("label"))
-    mine = docs.select(F.col("doc_id"), "text").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return mine.join(own, mine["doc_id"] == own["_id"]).select("text", "label")
+def labelled_documents(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """text and label of the documents that may be learnt from; a document with several labels has the highest.
+
+    Of more than ``most`` labelled ids, about so many are taken by a hash of the id, so what is broadcast has a fixed
+    size and no text moves before it is known to be learnt from.
+    """
+    may = lambda key: F.crc32(F.col(key).cast("string")) % 5 != 0
+    own = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label")).where(may("_id") & F.col("label").isNotNull()).groupBy("_id").agg(F.max("label").alias("label"))
+    n = own.count()
+    if n > most:
+        own = own.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    mine = docs.select("doc_id", "text").where(may("doc_id"))
+    return mine.join(F.broadcast(own), mine["doc_id"] == own["_id"]).select("text", "label")
 
 
 def op7_max_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,10 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_texts(empty, m).count() == 0
     assert {r.passage for r in toxicity.passages(f.where("label = 1"), m).collect()} >= {"vile", "nasty"}
     assert toxicity.score_texts(f.limit(1), toxicity.train(f.where("false"))).first().predicted == 0
+    labels = f.select("doc_id", F.col("label").alias("toxic"))
+    may = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert toxicity.labelled_documents(f, labels.unionAll(labels)).count() == len(may)
+    assert 40 <= toxicity.labelled_documents(f, labels, most=80).count() <= 130
 
 
 def test_segments():
