@@ -2,8 +2,8 @@
 
 The index has centroids, fitted by balanced k-means to a bounded sample, and a posting list for each. Every vector goes
 to its nearest list and, near a boundary, to others whose centroid isn't much farther (closure replication). A query
-walks a small neighbour graph of the centroids in memory, takes the lists whose distance is within a ratio of the
-nearest's, and compares itself exactly with what is in them. Vectors get one more dimension, sqrt(max norm² - norm²),
+walks a small neighbour graph of the centroids in memory, takes all lists whose distance is within a ratio of the
+second nearest's (however many), and compares itself exactly with what is in them. Vectors get one more dimension, sqrt(max norm² - norm²),
 so that the nearest in Euclidean distance has the largest inner product.
 """
 
@@ -27,9 +27,10 @@ SAMPLE = 20_000
 PER_LIST, MOST_LISTS = 400, 4096
 #: A vector is also put in lists up to so many times as far as its nearest (in distance), at most in ``COPIES`` lists.
 BOUNDARY, COPIES = 1.15, 4
-#: A query takes lists up to so many times as far as its nearest, at least and at most so many of them.
-RATIO, FEWEST, MOST = 1.3, 16, 24
-#: Neighbours of a centroid in the graph, and the width of a walk.
+#: A query takes every list up to so many times as far as its second nearest, and at least so many of them; there is no
+#: most. The nearest may be fitted to few rows and the query among them, and then lies closer than lists of its kind do.
+RATIO, FEWEST = 1.3, 16
+#: Neighbours of a centroid in the graph (and those whose neighbour it is), and the least width of a walk.
 DEGREE, WIDTH = 24, 128
 #: Vectors of a list that are searched by one task at once.
 PART = 20_000
@@ -38,42 +39,63 @@ PART = 20_000
 @dataclass
 class Centroids:
     at: np.ndarray
-    links: np.ndarray
+    links: list[np.ndarray]
+    starts: np.ndarray
     peak: float
 
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.peak - (x * x).sum(axis=1), 0))
         return np.concatenate([x, more[:, None]], axis=1)
 
-    def walk(self, q: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest centroids to ``q`` and their distances, nearest first: best-first search over the graph."""
-        seen = np.zeros(len(self.at), bool)
-        starts = np.unique(np.linspace(0, len(self.at) - 1, min(16, len(self.at))).astype(int))
-        seen[starts] = True
-        d = ((self.at[starts] - q) ** 2).sum(axis=1)
-        todo = list(zip(d.tolist(), starts.tolist(), strict=True))
-        best = [(-x, i) for x, i in todo]
+    def walk(self, q: np.ndarray, ratio: float = RATIO, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids near ``q`` and their distances, nearest first: best-first search over the graph, until all that is left is beyond both the ``width`` nearest and ``ratio`` times the second nearest's distance."""
+        d = np.full(len(self.at), np.inf)
+        d[self.starts] = ((self.at[self.starts] - q) ** 2).sum(axis=1)
+        todo = list(zip(d[self.starts].tolist(), self.starts.tolist(), strict=True))
         heapq.heapify(todo)
+        best = [-x for x in heapq.nsmallest(width, d[self.starts].tolist())]
         heapq.heapify(best)
+        low, far = sorted(d[self.starts].tolist())[:2], ratio * ratio
         while todo:
             x, i = heapq.heappop(todo)
-            if len(best) >= width and x > -best[0][0]:
+            if len(best) >= width and x > max(-best[0], far * low[-1]):
                 break
-            near = self.links[i][~seen[self.links[i]]]
-            seen[near] = True
-            for y, j in zip(((self.at[near] - q) ** 2).sum(axis=1).tolist(), near.tolist(), strict=True):
-                if len(best) < width or y < -best[0][0]:
+            near = self.links[i][np.isinf(d[self.links[i]])]
+            d[near] = ((self.at[near] - q) ** 2).sum(axis=1)
+            for y, j in zip(d[near].tolist(), near.tolist(), strict=True):
+                if len(best) < width or y < -best[0] or y <= far * low[-1]:
                     heapq.heappush(todo, (y, j))
-                    heapq.heappush(best, (-y, j))
+                    heapq.heappush(best, -y)
                     if len(best) > width:
                         heapq.heappop(best)
-        best.sort(key=lambda t: (-t[0], t[1]))
-        return np.array([i for _, i in best]), np.sqrt(np.array([-x for x, _ in best]))
+                    low = sorted([*low, y])[:2]
+        met = np.flatnonzero(np.isfinite(d))
+        met = met[np.argsort(d[met], kind="stable")]
+        return met, np.sqrt(d[met])
+
+
+def _graph(d: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each centroid's ``DEGREE`` nearest and those it is one of the nearest of, so that none is out of reach; starts lie in each part of the graph."""
+    n = len(d)
+    to = np.argsort(d, axis=1)[:, : min(DEGREE, n - 1)]
+    pairs = np.stack([np.repeat(np.arange(n), to.shape[1]), to.ravel()])
+    pairs = np.unique(np.concatenate([pairs, pairs[::-1]], axis=1), axis=1)
+    links = np.split(pairs[1], np.searchsorted(pairs[0], np.arange(1, n)))
+    reached, parts = np.zeros(n, bool), []
+    for i in range(n):
+        if not reached[i]:
+            parts.append(i)
+            reached[i], todo = True, [i]
+            while todo:
+                new = links[(at := todo.pop())][~reached[links[at]]]
+                reached[new] = True
+                todo += new.tolist()
+    return links, np.unique(np.concatenate([np.linspace(0, n - 1, min(16, n)).astype(int), parts]))
 
 
 def fit(sample: np.ndarray, lists: int, peak: float, rounds: int = 12) -> Centroids:
     """Balanced k-means: a list that has more than its share looks farther away, so that vectors at its edge go elsewhere."""
-    c = Centroids(np.empty((0, 0)), np.empty((0, 0), int), peak)
+    c = Centroids(np.empty((0, 0)), [], np.empty(0, int), peak)
     x = c.lifted(sample)
     lists = max(1, min(lists, len(x)))
     rng = np.random.default_rng(11)
@@ -90,8 +112,7 @@ def fit(sample: np.ndarray, lists: int, peak: float, rounds: int = 12) -> Centro
         extra = np.maximum(0, extra + 0.2 * spread * (n * lists / len(x) - 1))
     d = (at * at).sum(axis=1)[None] + (at * at).sum(axis=1)[:, None] - 2 * at @ at.T
     np.fill_diagonal(d, np.inf)
-    links = np.argsort(d, axis=1)[:, : min(DEGREE, lists - 1)]
-    return Centroids(at, links, peak)
+    return Centroids(at, *_graph(d), peak)
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -128,7 +149,7 @@ def _route(c: Centroids, dim: int):
             row, lists = [], []
             for i, q in enumerate(c.lifted(_unit(_vectors(batch.column(1), dim)) * np.sqrt(c.peak), True)):
                 at, d = c.walk(q)
-                n = int(np.clip((d <= RATIO * d[0]).sum(), FEWEST, MOST))
+                n = max(int((d <= RATIO * d[:2][-1]).sum()), FEWEST)
                 row += [i] * len(at[:n])
                 lists += at[:n].tolist()
             take = pa.array(row, pa.int64())
@@ -200,7 +221,7 @@ def search(df: DataFrame, queries, k: int = 20, key: str = "vec_id", vector: str
     dealt = postings.withColumn("part", F.pmod(F.xxhash64("vec_id"), per).cast("int"))
     found = asked.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInPandas(_search(k), "query_id long, vec_id long, score double")
     best = found.dropDuplicates(["query_id", "vec_id"]).groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("all"))
-    # A query has at most k rows from each of MOST lists (and of their parts), so its array is bounded.
+    # A query has at most k rows from each of MOST_LISTS lists (and of their parts).
     return best.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("r", "x")).select(
         "query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
