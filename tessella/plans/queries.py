@@ -248,16 +248,22 @@ def suffix_index(spark, d):
     return _t(spark, d, "part").select(name.alias("name")).distinct().groupBy(text.last_component(F.col("name")).alias("suffix")).agg(F.count("*").alias("n"))
 
 
-@query("resolve_suffix", f"""WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{IDENT}')) w FROM documents), n AS (SELECT DISTINCT doc_id % 97 || '.' || w AS name, w AS last FROM c WHERE doc_id < 50),
+@query("resolve_suffix", f"""WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{IDENT}')) w FROM documents), n AS (SELECT doc_id % 97 || '.' || w AS name, w AS last FROM c UNION SELECT replace(p_name, ' ', '.'), split_part(p_name, ' ', -1) FROM part),
 x AS (SELECT w, count(DISTINCT n.name) exact FROM (SELECT DISTINCT w FROM c) JOIN n ON n.name = w GROUP BY w), s AS (SELECT w, count(DISTINCT n.name) hits FROM (SELECT DISTINCT w FROM c) JOIN n ON n.last = w GROUP BY w)
 SELECT s.w AS word, coalesce(exact, hits) AS n FROM s LEFT JOIN x USING (w)""")
 def resolve_suffix(spark, d):
-    c = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.identifiers(F.col("text")))).alias("w"))
-    names = c.where("doc_id < 50").select(F.concat((F.col("doc_id") % 97).cast("string"), F.lit("."), F.col("w")).alias("name"), F.col("w").alias("last")).distinct()
-    words = c.select("w").distinct()
-    exact = words.join(names, F.col("w") == F.col("name")).groupBy("w").agg(F.countDistinct("name").alias("exact"))
-    hits = words.join(names, F.col("w") == F.col("last")).groupBy("w").agg(F.countDistinct("name").alias("hits"))
-    return hits.join(exact, "w", "left").select(F.col("w").alias("word"), F.coalesce("exact", "hits").alias("n"))
+    """Names are each document's words under its number modulo 97 and those of ``part``. Per last component they are counted in one pass: a numbered name is one of 193 bits, others are few."""
+    c = _t(spark, d, "documents").select(F.explode(text.identifiers(F.col("text"))).alias("w"), (F.col("doc_id") % 97).alias("r"), F.lit(True).alias("cited"), F.lit(0).alias("other"), F.lit(False).alias("exact"))
+    part = _t(spark, d, "part").select(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("name")).where("name is not null").distinct()
+    numbered = F.regexp_extract("name", r"^(0|-?[1-9][0-9]?)\.[^.]+$", 1)
+    r = F.when((numbered != "") & numbered.cast("long").between(-96, 96), numbered.cast("long"))
+    last = part.select(text.last_component(F.col("name")).alias("w"), r.alias("r"), F.lit(False).alias("cited"), F.when(r.isNull(), 1).otherwise(0).alias("other"), F.lit(False).alias("exact"))
+    whole = part.select(F.col("name").alias("w"), F.lit(None).cast("long").alias("r"), F.lit(False).alias("cited"), F.lit(0).alias("other"), F.lit(True).alias("exact"))
+    at = F.col("r") + 96
+    bits = [F.bit_or(F.when(F.floor(at / 64) == i, F.expr("shiftleft(1L, cast((r + 96) % 64 as int))"))).alias(f"b{i}") for i in range(4)]
+    g = c.unionByName(last).unionByName(whole).groupBy("w").agg(*bits, F.sum("other").alias("other"), F.max("cited").alias("cited"), F.max("exact").alias("exact"))
+    hits = sum((F.coalesce(F.bit_count(f"b{i}"), F.lit(0)) for i in range(4)), F.col("other"))
+    return g.where("cited").select(F.col("w").alias("word"), F.when(F.col("exact"), F.lit(1)).otherwise(hits).cast("long").alias("n"))
 
 
 _CITES = f"SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '{IDENT}'))) w FROM documents"
