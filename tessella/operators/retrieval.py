@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions.text import tokens
 
 #: Bytes up to which queries are sent to all tasks; beyond it they are shuffled.
 BROADCAST = 64 << 20
+#: Rows of documents, and of queries, that one task compares at once.
+DOC_ROWS, QUERY_ROWS = 25_000, 2_000
 
 
 def small(df: DataFrame, per_row: int = 64, limit: int = BROADCAST) -> DataFrame:
@@ -69,10 +73,46 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
+def _best(k: int):
+    """The best ``k`` documents of a block for each query of a block by (score rounded to 9 places, doc_id). Tokens of a document, and of a query, lie in one block."""
+
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        out = {"qid": [], "doc_id": [], "score": []}
+        if len(queries) and len(docs) and k > 0:
+            docs, queries = docs.sort_values("doc_id", kind="stable"), queries.sort_values(["qid", "tok"], kind="stable")
+            ids, first = np.unique(docs["doc_id"].to_numpy(), return_index=True)
+            v = np.stack(docs["vec"].to_numpy()).astype(np.float64)
+            qids, begin = np.unique(queries["qid"].to_numpy(), return_index=True)
+            w = queries["weight"].to_numpy(np.float64)
+            for qid, lo, hi in zip(qids, begin, [*begin[1:], len(queries)], strict=True):
+                q = np.stack(queries["qvec"].iloc[lo:hi].to_numpy()).astype(np.float64)
+                s = np.maximum.reduceat(v @ q.T, first, axis=0) @ w[lo:hi]
+                near = np.round(s, 9)
+                few = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k]) if len(near) > k else np.arange(len(near))
+                few = few[np.argsort(-near[few], kind="stable")][:k]
+                out["qid"] += [qid] * len(few)
+                out["doc_id"] += ids[few].tolist()
+                out["score"] += s[few].tolist()
+        return pd.DataFrame(out)
+
+    return run
+
+
+def _in_blocks(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """qid, doc_id, score, rank: every query (qid, tok, weight, qvec) meets every document (doc_id, vec), block by block. Rows without a vector take no part."""
+    docs, queries = docs.select("doc_id", "vec").where("vec is not null"), queries.where("qvec is not null")
+    parts = max(1, -(-docs.count() // DOC_ROWS))
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    d = docs.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = queries.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    types = {x: f.schema[x].dataType.simpleString() for f, x in ((q, "qid"), (d, "doc_id"))}
+    found = q.groupBy("p", "b").cogroup(d.groupBy("p", "b")).applyInPandas(_best(k), f"qid {types['qid']}, doc_id {types['doc_id']}, score double")
+    return topk(found, k, "qid", "doc_id")
+
+
 def vector_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """qid, doc_id, score, rank over all documents (doc_id, vec) for each query (qid, vec): every query meets every document, so queries go to all tasks only if they are small."""
-    pairs = docs.join(small(queries.select("qid", F.col("vec").alias("qvec")), 2048), F.lit(True))
-    return topk(pairs.select("qid", "doc_id", dot(F.col("vec"), F.col("qvec")).alias("score")), k, "qid", "doc_id")
+    """qid, doc_id, score, rank over all documents (doc_id, vec) for each query (qid, vec)."""
+    return _in_blocks(docs, queries.select("qid", F.lit(0).alias("tok"), F.lit(1.0).alias("weight"), F.col("vec").alias("qvec")), k)
 
 
 def maxsim(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
@@ -104,9 +144,10 @@ def two_stage_candidates(doc_tokens: DataFrame, query_tokens: DataFrame, n: int)
 
 def late_interaction_topk(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, n_candidates: int | None = None) -> DataFrame:
     """qid, doc_id, score, rank by MaxSim over all documents, or over the first stage's candidates only."""
-    tokens_ = doc_tokens
-    if n_candidates is not None:
-        tokens_ = doc_tokens.join(two_stage_candidates(doc_tokens, query_tokens, max(k, n_candidates)), "doc_id")
+    if n_candidates is None:
+        weight = F.col("weight") if "weight" in query_tokens.columns else F.lit(1.0)
+        return _in_blocks(doc_tokens, query_tokens.select("qid", "tok", weight.cast("double").alias("weight"), F.col("vec").alias("qvec")), k)
+    tokens_ = doc_tokens.join(two_stage_candidates(doc_tokens, query_tokens, max(k, n_candidates)), "doc_id")
     return topk(maxsim(tokens_, query_tokens), k, "qid", "doc_id")
 
 

@@ -113,23 +113,24 @@ def prompt_blocks(spark, d):
 _DOT = "list_dot_product({}::DOUBLE[], {}::DOUBLE[])"
 
 
-@query("sv_topk", f"""WITH s AS (SELECT q.vec_id qid, e.vec_id doc_id, {_DOT.format('e.embedding', 'q.embedding')} score FROM embeddings e, embeddings q WHERE q.vec_id < 25)
+@query("sv_topk", f"""WITH s AS (SELECT q.vec_id qid, e.vec_id doc_id, {_DOT.format('e.embedding', 'q.embedding')} score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
 SELECT qid, doc_id, round(score, 6) score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS INT) rank FROM s QUALIFY rank <= 10""")
 def sv_topk(spark, d):
     e = _t(spark, d, "embeddings")
-    q = e.where("vec_id < 25").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
     return R.vector_topk(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), q).withColumn("score", F.round("score", 6))
 
 
 def _li(spark, d):
+    """Documents are all rows, by the root of their id; queries the rows whose id is divisible by 100, five tokens each."""
     e = _t(spark, d, "embeddings")
-    docs = e.where("vec_id >= 25").select(F.floor(F.sqrt("vec_id")).cast("int").alias("doc_id"), F.col("embedding").alias("vec"))
-    q = e.where("vec_id < 25").select(F.expr("cast(vec_id div 5 as int)").alias("qid"), F.col("vec_id").alias("tok"), F.col("embedding").alias("vec"), F.when(F.col("vec_id") % 5 == 0, 2.0).otherwise(1.0).alias("weight"))
+    docs = e.select(F.floor(F.sqrt("vec_id")).cast("int").alias("doc_id"), F.col("embedding").alias("vec"))
+    q = e.where("vec_id % 100 = 0").select(F.expr("cast(vec_id div 500 as int)").alias("qid"), F.col("vec_id").alias("tok"), F.col("embedding").alias("vec"), F.when(F.col("vec_id") % 500 == 0, 2.0).otherwise(1.0).alias("weight"))
     return docs, q
 
 
-_LI = f"""d AS (SELECT CAST(floor(sqrt(vec_id)) AS INT) doc_id, embedding vec FROM embeddings WHERE vec_id >= 25),
-q AS (SELECT CAST(vec_id // 5 AS INT) qid, vec_id tok, embedding vec, CASE WHEN vec_id % 5 = 0 THEN 2.0 ELSE 1.0 END weight FROM embeddings WHERE vec_id < 25),
+_LI = f"""d AS (SELECT CAST(floor(sqrt(vec_id)) AS INT) doc_id, embedding vec FROM embeddings),
+q AS (SELECT CAST(vec_id // 500 AS INT) qid, vec_id tok, embedding vec, CASE WHEN vec_id % 500 = 0 THEN 2.0 ELSE 1.0 END weight FROM embeddings WHERE vec_id % 100 = 0),
 m AS (SELECT qid, tok, weight, doc_id, max({_DOT.format('d.vec', 'q.vec')}) s FROM d, q GROUP BY ALL)"""
 _RANKED = "SELECT qid, doc_id, round(score, 6) score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS INT) rank FROM {} QUALIFY rank <= 10"
 _POOL = f"""u AS (SELECT doc_id, i, avg(vec[i]::DOUBLE) x FROM d, unnest(range(1, 65)) t(i) GROUP BY ALL), v AS (SELECT doc_id, list(x ORDER BY i) vec FROM u GROUP BY doc_id),

@@ -2,7 +2,10 @@
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from tessella import registry
+from tessella.operators import retrieval as R
 
 IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.'!?₀-₉¹²³]*")
 
@@ -26,3 +29,25 @@ def test_resolve_suffix_knows_names_of_all_rows(spark, tmp_path):
     want = {w: 1 if w in full else len(last[w]) for _, t in docs for w in IDENT.findall(t)}
     got = {r.word: r.n for r in registry.queries()["resolve_suffix"](spark, str(tmp_path)).collect()}
     assert got == want and want["late"] == 1 and want["cold.bolt"] == 1 and want["bolt"] == 3 and want["gamma"] == 2
+
+
+def test_dense_queries_are_every_hundredth_row_against_all_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "DOC_ROWS", 300)
+    monkeypatch.setattr(R, "QUERY_ROWS", 4)
+    x = np.random.default_rng(5).normal(size=(1200, 64)).astype(np.float32)
+    table(spark, tmp_path, "embeddings", [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float64)
+    got = defaultdict(dict)
+    for name in ("sv_topk", "li_exact", "maxsim_weighted", "li_recall"):
+        for r in registry.queries()[name](spark, str(tmp_path)).collect():
+            got[name].setdefault(r.qid, []).append(r)
+    dot = {q: x @ x[q] for q in range(0, 1200, 100)}
+    assert {q: [r.doc_id for r in sorted(rows, key=lambda r: r.rank)] for q, rows in got["sv_topk"].items()} == {q: np.argsort(-s, kind="stable")[:10].tolist() for q, s in dot.items()}
+    assert 0 in {r.doc_id for r in got["sv_topk"][0]}
+    first = np.array([i * i for i in range(35)])
+    for name, double in (("li_exact", 1), ("maxsim_weighted", 2)):
+        for qid in range(3):
+            s = sum((double if q % 500 == 0 else 1) * np.maximum.reduceat(dot[q], first) for q in dot if q // 500 == qid)
+            want = np.argsort(-s, kind="stable")[:10].tolist()
+            assert [r.doc_id for r in sorted(got[name][qid], key=lambda r: r.rank)] == want
+    assert sorted(got["li_recall"]) == [0, 1, 2] and all(r[0].n_exact == 10 for r in got["li_recall"].values())
