@@ -102,9 +102,9 @@ def repertoire_propose(spark, d):
     return R.propose(p, text.CLOSERS, text.TEMPLATES, "item_id").withColumn("score", F.round("score", 6))
 
 
-@query("prompt_blocks", f"""WITH h AS ({_bm25_sql(1.5, 0.75, 10)}) SELECT h.item_id, string_agg('ID:' || (rank - 1) || '\nFormal name: doc.' || h.doc_id || '\nInformal name: \nFormal statement: ' || substr(text, 1, 40), '\n\n' ORDER BY rank) prompt FROM h JOIN documents USING (doc_id) WHERE rank <= 6 GROUP BY h.item_id""")
+@query("prompt_blocks", f"""WITH h AS ({_bm25_sql(1.5, 0.75, 10)}) SELECT h.item_id, string_agg('ID:' || (rank - 1) || '\nFormal name: doc.' || h.doc_id || '\nInformal name: \nFormal statement: ' || text, '\n\n' ORDER BY rank) prompt FROM h JOIN documents USING (doc_id) WHERE rank <= 6 GROUP BY h.item_id""")
 def prompt_blocks(spark, d):
-    h = _bm25(spark, d).where("rank <= 6").join(_t(spark, d, "documents").select("doc_id", F.substr("text", F.lit(1), F.lit(40)).alias("statement")), "doc_id")
+    h = _bm25(spark, d).where("rank <= 6").join(_t(spark, d, "documents").select("doc_id", F.col("text").alias("statement")), "doc_id")
     one = F.struct("rank", F.concat(F.lit("doc."), F.col("doc_id").cast("string")).alias("name"), F.lit("").alias("informal_name"), "statement")
     return h.groupBy("item_id").agg(F.array_sort(F.collect_list(one)).alias("p")).select("item_id", text.prompt_block(F.col("p")).alias("prompt"))
 

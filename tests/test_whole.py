@@ -51,3 +51,12 @@ def test_dense_queries_are_every_hundredth_row_against_all_rows(spark, tmp_path,
             want = np.argsort(-s, kind="stable")[:10].tolist()
             assert [r.doc_id for r in sorted(got[name][qid], key=lambda r: r.rank)] == want
     assert sorted(got["li_recall"]) == [0, 1, 2] and all(r[0].n_exact == 10 for r in got["li_recall"].values())
+
+
+def test_prompt_blocks_hold_whole_statements(spark, tmp_path):
+    docs = {i: "theorem " * (9 - i) + "and much more text that goes on after it " * 5 + f"end {i}" for i in range(8)}
+    table(spark, tmp_path, "documents", list(docs.items()), "doc_id long, text string")
+    table(spark, tmp_path, "benchmark", [(7, "theorem")], "item_id long, text string")
+    best = [r.doc_id for r in registry.queries()["bm25_topk"](spark, str(tmp_path)).orderBy("rank").collect()][:6]
+    want = "\n\n".join(f"ID:{i}\nFormal name: doc.{x}\nInformal name: \nFormal statement: {docs[x]}" for i, x in enumerate(best))
+    assert [(r.item_id, r.prompt) for r in registry.queries()["prompt_blocks"](spark, str(tmp_path)).collect()] == [(7, want)]
