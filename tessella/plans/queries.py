@@ -30,11 +30,11 @@ def tokenize_counts(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-@query("identifier_counts", f"SELECT word, count(*) n, count(DISTINCT doc_id) docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{IDENT}')) word FROM documents) GROUP BY word HAVING count(*) >= 50")
+@query("identifier_counts", f"SELECT word, count(*) n, count(DISTINCT doc_id) docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{IDENT}')) word FROM documents) GROUP BY word")
 def identifier_counts(spark, d):
     w = _t(spark, d, "documents").select("doc_id", F.explode(text.identifiers(F.col("text"))).alias("word"))
     # Two levels, so that distinct documents are counted without a shuffle of every occurrence.
-    return w.groupBy("word", "doc_id").agg(F.count("*").alias("c")).groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where("n >= 50")
+    return w.groupBy("word", "doc_id").agg(F.count("*").alias("c")).groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
 _STATS = f"""

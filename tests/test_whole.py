@@ -60,3 +60,10 @@ def test_prompt_blocks_hold_whole_statements(spark, tmp_path):
     best = [r.doc_id for r in registry.queries()["bm25_topk"](spark, str(tmp_path)).orderBy("rank").collect()][:6]
     want = "\n\n".join(f"ID:{i}\nFormal name: doc.{x}\nInformal name: \nFormal statement: {docs[x]}" for i, x in enumerate(best))
     assert [(r.item_id, r.prompt) for r in registry.queries()["prompt_blocks"](spark, str(tmp_path)).collect()] == [(7, want)]
+
+
+def test_identifier_counts_keep_rare_identifiers(spark, tmp_path):
+    docs = [(0, "rare common common"), (1, "common 7 also.rare"), (2, "common " * 60)]
+    table(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    got = {r.word: (r.n, r.docs) for r in registry.queries()["identifier_counts"](spark, str(tmp_path)).collect()}
+    assert got == {"rare": (1, 1), "also.rare": (1, 1), "common": (63, 3)}
