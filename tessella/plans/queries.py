@@ -299,7 +299,10 @@ def contamination_verbatim(spark, d):
     df = dt.groupBy("w").agg(F.count("*").alias("df"))
     rare = it.join(df, "w", "left").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "w"))).where("r = 1").select("item_id", "item", "w")
     cand = dt.join(rare, "w").select("doc_id", "item_id", "item")
-    return cand.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    long = cand.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    # Items of two tokens and fewer have no inner ones: they are looked for in every document.
+    brief = items.where(F.size(text.tokens(F.col("text"))) <= 2).select("item_id", F.col("text").alias("item"))
+    return long.unionByName(docs.select("doc_id", "text").join(R.small(brief), F.col("text").contains(F.col("item"))).select("doc_id", "item_id"))
 
 
 @query("one_step_citation", r"SELECT conv_id, regexp_extract(steps[1], '^(\S+)\s+([A-Za-z_][A-Za-z0-9_.]*)', 2) head FROM (SELECT conv_id, list(trim(text) ORDER BY turn) FILTER (WHERE trim(text) <> '' AND role = 'user') steps FROM conversations GROUP BY conv_id) WHERE len(steps) = 1")

@@ -67,3 +67,12 @@ def test_identifier_counts_keep_rare_identifiers(spark, tmp_path):
     table(spark, tmp_path, "documents", docs, "doc_id long, text string")
     got = {r.word: (r.n, r.docs) for r in registry.queries()["identifier_counts"](spark, str(tmp_path)).collect()}
     assert got == {"rare": (1, 1), "also.rare": (1, 1), "common": (63, 3)}
+
+
+def test_contamination_finds_items_of_few_tokens(spark, tmp_path):
+    docs = [(1, "one two three four"), (2, "twofold three"), (3, "none"), (4, None), (5, "one two, three")]
+    items = [(1, "two"), (2, "two three"), (3, "one two three"), (4, ""), (5, " "), (6, "absent"), (7, None), (8, "two,")]
+    table(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    table(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    want = sorted((d, i) for d, t in docs for i, x in items if t is not None and x is not None and x in t)
+    assert sorted(map(tuple, registry.queries()["contamination_verbatim"](spark, str(tmp_path)).collect())) == want
