@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exchange import BUCKETS, ENTRY, SHIFT, by_bucket, groups, joined
+from .exchange import BUCKETS, ENTRY, SHIFT, answer_bits, by_bucket, entry, groups, joined
 from .shared import documents, stored
-from .words import LOWER, bounds, packed, signed, spans, texts, words_of
+from .words import LOWER, bounds, mix, packed, signed, spans, texts, words_of
 
 HEAD = 49_152
 TAIL = BUCKETS
@@ -51,6 +51,8 @@ class Counts:
     total: int
     distinct: int
     share: np.ndarray
+    #: Sum of (c + 1/2) over the words of each tail class, and 1/2.
+    tail: np.ndarray
 
     @property
     def floor(self) -> float:
@@ -59,6 +61,7 @@ class Counts:
 
 _WORD = np.dtype([("key", "<u8"), ("n", "<i8")])
 _USE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("train", "u1")])
+_ADDED = np.dtype([("doc", "<i8"), ("base", "<f8"), ("model", "<f8"), ("known", "<i8")])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +96,7 @@ def count_words(train: DataFrame) -> Counts:
     """Counts over all texts of ``train`` (column t). The driver gets the head and two sums for each of ``TAIL`` buckets."""
     n_docs = train.count()
     sent = stored(train.select("t").mapInArrow(_word_counts, ENTRY), "words")
-    per_group = stored(groups(sent).select("group", "body").groupBy("group").applyInArrow(_summed(HEAD), "kind int, key long, n long, distinct long"), "counts")
+    per_group = stored(groups(sent, _WORD).select("group", "body").groupBy("group").applyInArrow(_summed(HEAD), "kind int, key long, n long, distinct long"), "counts")
     top = per_group.where("kind = 0").orderBy(F.col("n").desc(), "key").limit(HEAD).select("key", "n").toPandas()
     sums = per_group.where("kind = 1").select("key", "n", "distinct").toPandas()
     key, n = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
@@ -101,10 +104,12 @@ def count_words(train: DataFrame) -> Counts:
     key, n = key[order], n[order]
     share = np.zeros(CLASSES)
     share[: len(key)] = n
-    tail = np.bincount(sums["key"].to_numpy(np.int64), sums["n"].to_numpy(float), TAIL) - np.bincount((key >> SHIFT).astype(np.int64), n, TAIL)
-    share[HEAD:END] = np.maximum(tail, 0) + 0.5
+    at, own = sums["key"].to_numpy(np.int64), (key >> SHIFT).astype(np.int64)
+    tail = np.maximum(0, np.bincount(at, sums["n"].to_numpy(float), TAIL) - np.bincount(own, n, TAIL))
+    kinds = np.bincount(at, sums["distinct"].to_numpy(float), TAIL) - np.bincount(own, minlength=TAIL)
+    share[HEAD:END] = tail + 0.5
     share[END] = n_docs + 0.5
-    return Counts(key, n, int(sums["n"].sum()) + n_docs, int(sums["distinct"].sum()) + (n_docs > 0), share / share.sum())
+    return Counts(key, n, int(sums["n"].sum()) + n_docs, int(sums["distinct"].sum()) + (n_docs > 0), share / share.sum(), tail + 0.5 * kinds + 0.5)
 
 
 _CODED = ENTRY + ", head_log double, head_known long, held_out boolean"
@@ -134,7 +139,7 @@ def _coded(c: Counts, n_docs_log: float):
                 cls[ends] = END
                 head_log = np.bincount(doc[known], log[at[known]] if len(c.words) else None, k) + n_docs_log
                 head_known = np.bincount(doc[known], minlength=k)
-                row = [pa.array([1] * k, pa.int32()), pa.array([0] * k, pa.int32()), pa.array(uid[lo:hi]), pa.array(w.counts + 1), packed(cls, w.first + np.arange(k + 1)),
+                row = [*entry([1] * k, [0] * k, uid[lo:hi], w.counts + 1, packed(cls, w.first + np.arange(k + 1))).columns,
                        pa.array(head_log), pa.array(head_known), pa.array(held[lo:hi]), batch.column(3).slice(lo, k)]
                 yield pa.record_batch(row, names)
                 h, d = h[~known], doc[~known]
@@ -151,23 +156,38 @@ def _coded(c: Counts, n_docs_log: float):
     return run
 
 
-def _tail(table: pa.Table) -> pa.Table:
-    """Counts of a group's words, and what they add to each text's scores."""
-    x = joined(table, _USE)
-    x = x[np.argsort(x["key"], kind="stable")]
-    b = bounds(x["key"])
-    size = np.diff(b)
-    count = np.add.reduceat(x["n"].astype(np.int64) * x["train"], b[:-1])
-    cls = (x["key"][b[:-1]] >> SHIFT).astype(np.int64)
-    whole = np.bincount(cls, np.where(count > 0, count + 0.5, 0), TAIL) + 0.5
-    base = np.repeat(np.log10(count + 0.5), size)
-    model = base - np.repeat(np.log10(whole[cls]), size)
-    known = np.repeat(count > 0, size)
-    order = np.argsort(x["doc"], kind="stable")
-    d = bounds(x["doc"][order])
-    n = x["n"][order].astype(float)
-    add = lambda v: np.add.reduceat(v[order] * n, d[:-1])
-    return pa.table({"uid": x["doc"][order][d[:-1]], "base": add(base), "model": add(model), "known": add(known).astype(np.int64)})
+def _tail(whole: np.ndarray, bits: int):
+    """Counts of a group's words, and what they add to each text's scores: packed by bucket of texts, so that few rows move however many texts there are."""
+    whole = np.log10(whole)
+
+    def run(table: pa.Table) -> pa.Table:
+        x = joined(table, _USE)
+        x = x[np.argsort(x["key"], kind="stable")]
+        b = bounds(x["key"])
+        size = np.diff(b)
+        count = np.add.reduceat(x["n"].astype(np.int64) * x["train"], b[:-1])
+        base = np.repeat(np.log10(count + 0.5), size)
+        model = base - np.repeat(whole[(x["key"][b[:-1]] >> SHIFT).astype(np.int64)], size)
+        known = np.repeat(count > 0, size)
+        order = np.argsort(x["doc"], kind="stable")
+        d = bounds(x["doc"][order])
+        n = x["n"][order].astype(float)
+        out = np.zeros(len(d) - 1, _ADDED)
+        out["doc"] = x["doc"][order][d[:-1]]
+        for name, v in (("base", base), ("model", model), ("known", known)):
+            out[name] = np.add.reduceat(v[order] * n, d[:-1])
+        return pa.Table.from_batches([by_bucket(mix(np.ascontiguousarray(out["doc"]).view(np.uint64)), out, bits=bits)])
+
+    return run
+
+
+def _per_text(table: pa.Table) -> pa.Table:
+    """What all groups add to each text of a part."""
+    x = joined(table, _ADDED)
+    x = x[np.argsort(x["doc"], kind="stable")]
+    b = bounds(x["doc"])
+    add = lambda v: np.add.reduceat(v, b[:-1]) if len(v) else v
+    return pa.table({"uid": x["doc"][b[:-1]], "base": add(x["base"]), "model": add(x["model"]), "known": add(x["known"])})
 
 
 class _Layout:
@@ -270,7 +290,9 @@ def _estep(m: Model):
 def _add(table: pa.Table) -> pa.Table:
     kind = np.float64 if table["part"][0].as_py() < 0 else np.float32
     total = sum(np.frombuffer(x.as_buffer(), kind).astype(np.float64) for x in table["body"])
-    return pa.table({"part": table["part"].slice(0, 1), "body": pa.array([total.tobytes()], pa.binary())})
+    if kind == np.float32:
+        total = total.astype(np.float32)
+    return pa.table({"part": table["part"].slice(0, 1), "body": pa.array([total.tobytes()], pa.binary()), "branch": table["branch"].slice(0, 1)})
 
 
 def baum_welch(coded: DataFrame, share: np.ndarray, states: int = STATES, iterations: int = ITERATIONS, seed: int = 3) -> Model:
@@ -278,11 +300,16 @@ def baum_welch(coded: DataFrame, share: np.ndarray, states: int = STATES, iterat
     rng = np.random.default_rng(seed)
     noisy = share[:, None] * np.exp(rng.normal(0, 0.5, (len(share), states)))
     m = Model(np.full(states, 1 / states), np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), noisy / noisy.sum(axis=0))
+    branches = max(2, int(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     for _ in range(iterations):
-        got = coded.select("body").mapInArrow(_estep(m), "part int, body binary").groupBy("part").applyInArrow(_add, "part int, body binary").collect()
+        # A tree: each branch sums what about as many tasks have sent as there are branches, then the branches are summed.
+        sent = coded.select("body").mapInArrow(_estep(m), "part int, body binary").withColumn("branch", F.spark_partition_id() % branches)
+        for keys in (["part", "branch"], ["part"]):
+            sent = sent.groupBy(*keys).applyInArrow(_add, "part int, body binary, branch int")
+        got = sent.collect()
         if not got:
             break
-        by = {r["part"]: np.frombuffer(r["body"], np.float64) for r in got}
+        by = {r["part"]: np.frombuffer(r["body"], np.float64 if r["part"] < 0 else np.float32).astype(np.float64) for r in got}
         small = by.pop(-1)
         emit = np.concatenate([by[i] for i in sorted(by)]).reshape(-1, states)
         norm = lambda x: x / x.sum(axis=-1, keepdims=True)
@@ -322,8 +349,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", states: int =
     own = coded.where("kind = 1")
     model = baum_welch(own.where(~F.col("held_out")), counts.share, states, iterations)
     hmm = own.select(F.col("doc_id").alias("uid"), "n", "body").mapInArrow(_likelihood(model), "uid long, hmm double")
-    tail = groups(coded.where("kind = 0").select("bucket", "n", "body")).select("group", "body").groupBy("group").applyInArrow(_tail, "uid long, base double, model double, known long")
-    tail = tail.groupBy("uid").agg(F.sum("base").alias("base"), F.sum("model").alias("model"), F.sum("known").alias("known"))
+    tail = groups(coded.where("kind = 0").select("bucket", "n", "body", "text"), _USE).select("group", "body").groupBy("group").applyInArrow(_tail(counts.tail, answer_bits(df.sparkSession)), ENTRY)
+    tail = tail.select("bucket", "body").groupBy("bucket").applyInArrow(_per_text, "uid long, base double, model double, known long")
     texts_ = own.select(F.col("doc_id").alias("uid"), "n", "head_log", "head_known", "held_out", "k")
     all_ = texts_.join(hmm, "uid").join(tail, "uid", "left").fillna(0, ["base", "model", "known"])
     return all_.select(

@@ -1,7 +1,13 @@
-"""Words of texts as numpy arrays: positions, 64-bit hashes and n-gram hashes, without a Python object per word."""
+"""Words of texts as numpy arrays: positions, identities, 64-bit hashes and n-gram hashes, without a Python object per word.
+
+A word's identity has 128 bits. Up to 15 bytes it is the word itself with its length; longer words have a keyed BLAKE2b digest. So no
+text can be made whose different words are taken for one another; what compares identities compares words. The 64-bit
+hash mixes both halves: it deals rows out and finds candidates.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,21 +17,13 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text that are taken at once; longer texts are cut between words.
 BLOCK = 1 << 18
+#: Bytes of a word that is its own identity.
+SHORT = 15
 _SEED = np.random.default_rng(20240229)
-_BYTE = _SEED.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE = U(0x9E3779B97F4A7C15)
-#: Odd factors of the words of an n-gram.
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], U)
+#: Odd factors of the words of an n-gram, two for each.
 FACTORS = _SEED.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, U)
-    out[1:] = U(base)
-    return np.multiply.accumulate(out)
-
-
-_POW = _powers(int(_BASE), BLOCK)
-_INV = _powers(pow(int(_BASE), -1, 1 << 64), BLOCK)
+FACTORS_2 = _SEED.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 
 
 def _table(separators: list[tuple[int, int]], lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +33,7 @@ def _table(separators: list[tuple[int, int]], lower: bool) -> tuple[np.ndarray,
     code = np.arange(256)
     if lower:
         code[65:91] += 32
-    return word, _BYTE[code]
+    return word, code.astype(np.uint8)
 
 
 #: Words are runs without white space; A-Z count as a-z.
@@ -60,6 +58,9 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    #: Both halves of each word's identity.
+    low: np.ndarray
+    high: np.ndarray
     #: Hash of each word's first bytes, if asked for.
     head: np.ndarray | None = None
 
@@ -75,8 +76,27 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.hash))
 
 
-def _block(b: np.ndarray, cuts: np.ndarray, table, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, hashes and hashes of the heads of the words of ``b``; no word goes across an offset in ``cuts``."""
+def identities(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the identities of the words ``code[start:start + size]``; sizes are 1 at least. The highest byte is the length up to ``SHORT``, or 255."""
+    padded = np.concatenate([code, np.zeros(16, np.uint8)])
+    lanes = np.ndarray(len(code) + 8, "<u8", padded, 0, (1,))
+    low = lanes[start] & _MASK[np.minimum(size, 8)]
+    high = np.minimum(size, SHORT).astype(U) << U(56)
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        high[more] |= lanes[start[more] + 8] & _MASK[np.minimum(size[more] - 8, 7)]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        d = hashlib.blake2b(padded[start[i]:start[i] + size[i]].tobytes(), digest_size=16, key=b"words").digest()
+        low[i], high[i] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little") | 255 << 56
+    return low, high
+
+
+def hashed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return mix(mix(low + U(0x9E3779B97F4A7C15)) ^ (high * U(0xD6E8FEB86659FD93)))
+
+
+def _block(b: np.ndarray, cuts: np.ndarray, table, head: int) -> tuple[np.ndarray, ...]:
+    """Starts, ends, identities and hashes of the heads of the words of ``b``; no word goes across an offset in ``cuts``."""
     word, code = table
     mask = word[b]
     st, en = mask.copy(), mask.copy()
@@ -85,49 +105,48 @@ def _block(b: np.ndarray, cuts: np.ndarray, table, head: int) -> tuple[np.ndarra
     cuts = cuts[(cuts > 0) & (cuts < len(b))]
     st[cuts] = mask[cuts]
     en[cuts - 1] = mask[cuts - 1]
-    start, last = np.flatnonzero(st), np.flatnonzero(en)
+    start, end = np.flatnonzero(st), np.flatnonzero(en) + 1
     if not len(start):
-        return start, last, np.empty(0, U), np.empty(0, U)
-    pw, iv = (_POW, _INV) if len(b) <= BLOCK else (_powers(int(_BASE), len(b)), _powers(pow(int(_BASE), -1, 1 << 64), len(b)))
-    v = code[b] * pw[: len(b)]
-    c = np.cumsum(v, dtype=U)
-    h = (c[last] - c[start] + v[start]) * iv[start]
+        return start, end, np.empty(0, U), np.empty(0, U), np.empty(0, U)
+    low, high = identities(code[b], start, end - start)
     heads = np.empty(0, U)
     if head:
-        heads = mix(((c[np.minimum(last, start + head - 1)] - c[start] + v[start]) * iv[start]) ^ U(0xA5A5A5A5A5A5A5A5))
-    return start, last + 1, mix(h + (last - start).astype(U) * U(0xD6E8FEB86659FD93)), heads
+        n = np.minimum(end - start, head)
+        first = identities(code[b], start, n) if head > 8 else (np.ndarray(len(b), "<u8", np.concatenate([code[b], np.zeros(8, np.uint8)]), 0, (1,))[start] & _MASK[n], n.astype(U))
+        heads = mix(hashed(*first) ^ U(0xA5A5A5A5A5A5A5A5))
+    return start, end, low, high, heads
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, table, head: int = 0) -> Words:
     """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8 bytes); with ``head``, their first so many bytes hashed too."""
     word = table[0]
-    at, end = int(offsets[0]), int(offsets[-1])
+    at, stop_at = int(offsets[0]), int(offsets[-1])
     parts = []
-    while at < end:
-        to = min(at + BLOCK, end)
-        if to < end and word[data[to - 1]] and word[data[to]] and to not in offsets[np.searchsorted(offsets, to):][:1]:
+    while at < stop_at:
+        to = min(at + BLOCK, stop_at)
+        if to < stop_at and word[data[to - 1]] and word[data[to]] and to not in offsets[np.searchsorted(offsets, to):][:1]:
             back = np.flatnonzero(~word[data[at:to]])
             low = offsets[np.searchsorted(offsets, to, "left") - 1]  # a document's begin is a boundary as well
             if len(back) or low > at:
                 to = max(at + int(back[-1]) + 1 if len(back) else at, int(low))
             else:
                 ahead, span = to, BLOCK
-                while ahead < end and word[data[ahead]]:
+                while ahead < stop_at and word[data[ahead]]:
                     stop = np.flatnonzero(~word[data[ahead:ahead + span]])
-                    ahead = ahead + int(stop[0]) if len(stop) else min(end, ahead + span)
+                    ahead = ahead + int(stop[0]) if len(stop) else min(stop_at, ahead + span)
                 to = ahead
                 nxt = offsets[np.searchsorted(offsets, at, "right")]
                 to = min(to, int(nxt)) if nxt > at else to
         lo, hi = np.searchsorted(offsets, at, "left"), np.searchsorted(offsets, to, "right")
-        s, e, h, p = _block(data[at:to], np.asarray(offsets[lo:hi]) - at, table, head)
-        parts.append((s + at, e + at, h, p))
+        s, e, *rest = _block(data[at:to], np.asarray(offsets[lo:hi]) - at, table, head)
+        parts.append((s + at, e + at, *rest))
         at = to
     if not parts:
-        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U), np.empty(0, U))]
-    start, last, h, heads = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), *[np.empty(0, U)] * 3)]
+    start, end, low, high, heads = (np.concatenate(x) for x in zip(*parts, strict=True))
     first = np.searchsorted(start, offsets, "left")
     base = np.repeat(offsets[:-1], np.diff(first))
-    return Words(h, start - base, last - base, first, heads if head else None)
+    return Words(hashed(low, high), start - base, end - base, first, low, high, heads if head else None)
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +171,12 @@ def spans(offsets: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]]
         lo = min(hi, n)
 
 
-def ngrams(h: np.ndarray, n: int) -> np.ndarray:
+def ngrams(h: np.ndarray, n: int, factors: np.ndarray = FACTORS) -> np.ndarray:
     """Hashes of the n-grams that begin at each word, over document ends too: take those with ``left() >= n``."""
     m = max(0, len(h) - n + 1)
     out = np.zeros(m, U)
     for j in range(n):
-        out += h[j:j + m] * FACTORS[j]
+        out += h[j:j + m] * factors[j]
     return mix(out)
 
 
