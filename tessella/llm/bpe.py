@@ -1,4 +1,10 @@
-"""BPE encoding and decoding as a streaming transducer with bounded lookahead."""
+"""BPE encoding and decoding as a streaming transducer with bounded lookahead.
+
+Text goes through in blocks. Where a space follows anything but white space, all before it is settled: the pattern always
+cuts there, so its tokens go out and nothing of it is kept. Within a block the chunks between such places are told apart by
+their bytes, each new one is cut by the pattern and merged, all side by side in numpy. A word longer than the window
+(``Vocabulary.stream``) goes out token by token, each once it ends further back than the merge list's sufficient lookahead.
+"""
 
 from __future__ import annotations
 
@@ -14,18 +20,33 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exchange import slices
 from .shared import documents
+from .words import bounds, hashed, identities, spans, texts
 
-#: Most distinct pieces that a Python worker remembers.
-REMEMBERED = 1_000_000
-#: Bytes of text that are cut into pieces at once.
-STRETCH = 1 << 16
+#: Most distinct chunks that a Python worker remembers.
+REMEMBERED = 2_000_000
+#: Bytes of text that are encoded at once.
+STRETCH = 1 << 22
 #: Fixed value: the public byte-level pattern that splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(PATTERN)
-#: White space beside a space, or beyond ASCII: such stretches are cut by the pattern instead of at spaces.
-_ODD = re.compile(rb"[\x09-\x0d\x1c-\x20] | [\x09-\x0d\x1c-\x1f]| $|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80")
-_EDGE = re.compile(rb"[!-~](?= )")
+#: Kinds of bytes: letter, digit, other, space, other white space, and what only the pattern itself can cut.
+_LETTER, _DIGIT, _OTHER, _SPACE, _WHITE, _HARD = range(6)
+
+
+def _kinds() -> np.ndarray:
+    k = np.full(256, _OTHER, np.uint8)
+    k[128:] = _HARD
+    k[0x1C:0x20] = k[39] = _HARD  # the apostrophe may begin a contraction
+    k[0x09:0x0E], k[0x20], k[48:58], k[65:91], k[97:123] = _WHITE, _SPACE, _DIGIT, _LETTER, _LETTER
+    return k
+
+
+_KIND = _kinds()
+#: Lead bytes of two-byte letters: U+00C0 to U+027F (but for the two signs among them) and U+0400 to U+047F.
+_LEAD = np.isin(np.arange(256), [*range(0xC3, 0xCA), 0xD0, 0xD1])
+_WHITE_ASCII = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
 
 
 def byte_letters() -> list[str]:
@@ -51,7 +72,7 @@ class Vocabulary:
             self.tokens[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
         for t, i in special.items():
             self.tokens[i] = t.encode()
-        self.special = {t.encode(): np.array([i], np.uint32).tobytes() for t, i in special.items()}
+        self.special = {t.encode(): i for t, i in special.items()}
         self.special_re = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + b")") if special else None
         self.of_byte = np.array([ids[c] for c in letters], np.int64)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -63,7 +84,7 @@ class Vocabulary:
         lengths = np.array([len(t) for t in self.tokens])
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.flat_len, self.flat_at = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
 
     def _table(self, keys: np.ndarray, made: np.ndarray) -> None:
         """Open addressing: pair -> rank and token."""
@@ -99,14 +120,13 @@ class Vocabulary:
             step += 1
         return at
 
-    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all words, one after another, and how many each has.
+    def merged(self, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words (bytes one after another), and how many each has.
 
         All words take their lowest-ranked merges side by side, round after round, until none has any left.
         """
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        who = np.repeat(np.arange(len(words)), lens)
+        sym = self.of_byte[data]
+        who = np.repeat(np.arange(len(lens)), lens)
         none = 1 << 30
         done: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -144,19 +164,19 @@ class Vocabulary:
             at = np.flatnonzero(again)
             rank[at], made[at] = pairs_at(at)
         if not done:
-            return np.empty(0, np.uint32), np.zeros(len(words), np.int64)
+            return np.empty(0, np.uint32), np.zeros(len(lens), np.int64)
         ids, owner = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(owner, kind="stable")
-        return ids[order].astype(np.uint32), np.bincount(owner, minlength=len(words))
+        return ids[order].astype(np.uint32), np.bincount(owner, minlength=len(lens))
 
     def stream(self, word: bytes) -> Iterator[np.ndarray]:
         """Token ids of one long word in constant memory: a token goes out once it ends ``lookahead`` bytes before what has been read."""
-        window = 4 * self.lookahead + 4096
+        window = self.window
         held, at = b"", 0
         while at < len(word) or held:
             held += word[at:at + window]
             at = min(len(word), at + window)
-            ids, _ = self.merged([held])
+            ids, _ = self.merged(np.frombuffer(held, np.uint8), np.array([len(held)]))
             if at >= len(word):
                 yield ids
                 return
@@ -165,70 +185,168 @@ class Vocabulary:
             yield ids[:n]
             held = held[int(ends[n - 1]) if n else 0:]
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Remembers the ids of pieces that begin and end where the pattern always cuts."""
-        new = [x for x in pieces if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(pieces)
-        # Pieces from a space to a visible end can be cut in one go; each of the others is cut by itself.
-        alone = lambda x: x[:1] != b" " or x[-1] <= 32 or (x[-1] >= 128 and x.decode()[-1].isspace())
-        apart = [x for x in new if alone(x)]
-        new = [x for x in new if not alone(x)] + apart
-        k = len(new) - len(apart)
-        words = [w.encode() for w in _SPLIT.findall(b"".join(new[:k]).decode())]
-        for x in new[k:]:
-            words += [w.encode() for w in _SPLIT.findall(x.decode())]
-        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        long = 4 * self.lookahead + 4096
-        distinct = list(number)
-        flat, n = self.merged([w if len(w) <= long else b"" for w in distinct])
-        at = np.concatenate([[0], np.cumsum(n)])
-        if any(len(w) > long for w in distinct):
-            ids = [np.concatenate(list(self.stream(w))) if len(w) > long else flat[at[i]:at[i + 1]] for i, w in enumerate(distinct)]
-            flat, n = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
-            at = np.concatenate([[0], np.cumsum(n)])
-        which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        many = n[which]
-        ends = np.cumsum(many)
-        out = flat[np.repeat(at[which] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
-        # The word with which each piece ends, then the token with which that ends.
-        last = np.searchsorted(np.cumsum(size), np.cumsum(np.fromiter(map(len, new), np.int64, len(new))), "left")
-        stop = (4 * ends[last]).tolist() if len(ends) else []
-        self.known.update(zip(new, map(out.__getitem__, map(slice, [0, *stop[:-1]], stop)), strict=True))
-
-    def encode(self, texts: list[bytes]) -> Iterator[list[bytes]]:
-        """For each text: ids as little-endian 32-bit integers, a list of bytes per stretch."""
-        cut: list[list[list[bytes]]] = []
-        for text in texts:
-            own = []
-            parts = self.special_re.split(text) if self.special_re and self.special_re.search(text) else [text]
-            for part in parts:
-                if part in self.special:
-                    own.append([part])
-                else:
-                    own += [pieces(s) for s in stretches(part)]
-            cut.append(own)
-        wanted = {x for own in cut for s in own for x in s}
-        wanted -= self.special.keys()
-        if not wanted <= self.known.keys():
-            self.learn(wanted)
-        get = self.known.__getitem__
-        for own in cut:
-            yield [self.special[s[0]] if len(s) == 1 and s[0] in self.special else b"".join(map(get, s)) for s in own]
-
-    def decode(self, parts: list[bytes]) -> Iterator[str]:
-        """Text of ids, part after part: the decoder keeps the bytes of a character that isn't complete yet."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for part in parts:
-            ids = np.frombuffer(part, np.uint32)
-            n = self.flat_len[ids]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(self.flat_at[ids] - ends + n, n) + np.arange(total)
-            yield state.decode(self.flat[at].tobytes())
-        yield state.decode(b"", True)
+    @property
+    def window(self) -> int:
+        return 4 * self.lookahead + 4096
+
+    def _forget(self) -> None:
+        """Remembered chunks: hashes in order, identities, and where in ``pool`` the ids of each are."""
+        self.hash, self.low, self.high = (np.empty(0, np.uint64) for _ in range(3))
+        self.at, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint32)
+
+    def of_words(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words as the pattern cuts them, one after another, and how many each has; equal words are merged once."""
+        low, high = identities(data, start, size)
+        order = np.lexsort((high, low))
+        new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]) if len(order) else np.empty(0, bool)
+        first = order[new]
+        ids, n = self.merged(slices(data, start[first], size[first]), size[first])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        ends = np.cumsum(n)
+        return slices(ids, (ends - n)[which], n[which]), n[which]
+
+    def of_chunks(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, each by itself, one after another, and how many each has."""
+        flat = slices(data, start, size)
+        ends = np.cumsum(size)
+        at = ends - size
+        kind = _KIND[flat]
+        lead = np.flatnonzero(_LEAD[flat])
+        lead = lead[lead + 1 < len(flat)]
+        lead = lead[~((flat[lead] == 0xC3) & ((flat[lead + 1] == 0x97) | (flat[lead + 1] == 0xB7)))]
+        kind[lead] = kind[lead + 1] = _LETTER
+        before = np.concatenate([[_OTHER], kind[:-1]])
+        inner = np.ones(len(flat), bool)
+        inner[at] = False
+        white = (kind == _SPACE) | (kind == _WHITE)
+        odd = (kind == _HARD) | (inner & ((kind == _SPACE) | (white & (before >= _SPACE) & (before <= _WHITE))))
+        hard = np.diff(np.concatenate([[0], np.cumsum(odd)])[np.append(at, len(flat))]) > 0
+        hard |= size > self.window
+        for token in self.special:
+            for i in np.flatnonzero(size == len(token)).tolist():
+                hard[i] |= flat[at[i]:ends[i]].tobytes() == token
+        begin = np.flatnonzero(~inner | ((kind != before) & (before != _SPACE)))
+        of = np.searchsorted(at, begin, "right") - 1
+        length = np.diff(np.append(begin, len(flat)))
+        easy = ~hard[of]
+        ids, n = self.of_words(flat, begin[easy], length[easy])
+        many = np.bincount(of[easy], n, len(size)).astype(np.int64)
+        if not hard.any():
+            return ids, many
+        own, counts, words, which = [], [], [], []
+        for i in np.flatnonzero(hard).tolist():
+            text = flat[at[i]:ends[i]].tobytes()
+            if text in self.special:
+                words.append(None)
+                which.append((i, self.special[text]))
+                continue
+            for m in _SPLIT.finditer(text.decode()):
+                words.append(m.group().encode())
+                which.append((i, None))
+        short = [w if w is not None and len(w) <= self.window else b"" for w in words]
+        lens = np.fromiter(map(len, short), np.int64, len(short))
+        some, k = self.of_words(np.frombuffer(b"".join(short), np.uint8), np.cumsum(lens) - lens, lens) if lens.any() else (np.empty(0, np.uint32), np.zeros(len(short), np.int64))
+        where = np.concatenate([[0], np.cumsum(k)])
+        by_chunk: dict[int, list[np.ndarray]] = {}
+        for j, (i, special) in enumerate(which):
+            parts = by_chunk.setdefault(i, [])
+            if special is not None:
+                parts.append(np.array([special], np.uint32))
+            elif short[j]:
+                parts.append(some[where[j]:where[j + 1]])
+            else:
+                parts += self.stream(words[j])
+        own = [np.concatenate(p) if p else np.empty(0, np.uint32) for p in by_chunk.values()]
+        counts = np.fromiter(map(len, own), np.int64, len(own))
+        pool = np.concatenate([ids, *own])
+        begin = np.cumsum(many) - many
+        begin[list(by_chunk)], many[list(by_chunk)] = len(ids) + np.cumsum(counts) - counts, counts
+        return slices(pool, begin, many), many
+
+    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks begin: at texts, special tokens, and spaces that follow anything but white space."""
+        a, b = int(offsets[0]), int(offsets[-1])
+        at = np.flatnonzero(data[a:b] == 0x20) + a
+        at = at[at > a]
+        before = data[at - 1]
+        ok = ~_WHITE_ASCII[before]
+        wide = np.flatnonzero(before >= 0x80)  # the last byte of a character that may be white space
+        if len(wide):
+            x = at[wide]
+            two, three = data[np.maximum(x - 2, 0)], data[np.maximum(x - 3, 0)]
+            ok[wide] = ~((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3)))
+        parts = [at[ok], offsets[:-1][np.diff(offsets) > 0]]
+        if self.special_re:
+            for m in self.special_re.finditer(data[a:b]):
+                x, y = m.start() + a, m.end() + a
+                if offsets[np.searchsorted(offsets, x, "right")] >= y:
+                    parts.append(np.array([x, y] if y < b else [x]))
+        start = np.sort(np.concatenate(parts))
+        return start[np.concatenate([[True], start[1:] != start[:-1]])] if len(start) else start
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts ``data[offsets[i]:offsets[i + 1]]``, one after another, and where each text's begin."""
+        start = self.chunks(data, offsets)
+        size = np.diff(np.append(start, offsets[-1]))
+        low, high = identities(data, start, size)
+        h = hashed(low, high)
+        order = np.argsort(h)
+        same = (h[order][1:] == h[order][:-1]) & (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])
+        first = order[np.concatenate([[True], ~same])] if len(order) else order
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(np.concatenate([[True], ~same])) - 1 if len(order) else 0
+        known = np.minimum(np.searchsorted(self.hash, h[first]), max(len(self.hash) - 1, 0))
+        have = (self.hash[known] == h[first]) & (self.low[known] == low[first]) & (self.high[known] == high[first]) if len(self.hash) else np.zeros(len(first), bool)
+        if len(self.hash) + len(first) - have.sum() > REMEMBERED:
+            self._forget()
+            have[:] = False
+        new = first[~have]
+        if len(new):
+            ids, n = self.of_chunks(data, start[new], size[new])
+            where = np.searchsorted(self.hash, h[new])
+            put = lambda old, values: np.insert(old, where, values)
+            self.at, self.n = put(self.at, len(self.pool) + np.cumsum(n) - n), put(self.n, n)
+            self.hash, self.low, self.high = put(self.hash, h[new]), put(self.low, low[new]), put(self.high, high[new])
+            self.pool = np.concatenate([self.pool, ids])
+        # What equals in hash but not in identity stands beside it: look on until it is found.
+        known = np.searchsorted(self.hash, h[first])
+        off = np.flatnonzero((self.low[known] != low[first]) | (self.high[known] != high[first])) if len(first) else known
+        while len(off):
+            known[off] += 1
+            off = off[(self.low[known[off]] != low[first][off]) | (self.high[known[off]] != high[first][off])]
+        n = self.n[known][which]
+        ids = slices(self.pool, self.at[known][which], n)
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offsets, "left")]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """All texts in blocks of about ``STRETCH`` bytes: range of texts, their ids, and where each one's begin. A longer text comes in several blocks, one after another, cut where all before is settled."""
+        for lo, hi in spans(offsets, STRETCH):
+            a, b = int(offsets[lo]), int(offsets[hi])
+            if b - a <= STRETCH:
+                yield (lo, hi, *self.block(data, offsets[lo:hi + 1]))
+                continue
+            while a < b:
+                to = min(b, a + STRETCH)
+                while to < b:
+                    # A settled place with the text around it; the block ends at the last one, or reads on until there is one.
+                    settled = self.chunks(data, np.array([a, to]))
+                    if len(settled) > 1 and not self._within_special(data, int(settled[-1]), b):
+                        to = int(settled[-1])
+                        break
+                    to = min(b, to + STRETCH)
+                yield (lo, hi, *self.block(data, np.array([a, to])))
+                a = to
+
+    def _within_special(self, data: np.ndarray, at: int, end: int) -> bool:
+        """A special token has no space inside, but one may go across the end of what has been looked at."""
+        return bool(self.special) and any(data[at:min(end, at + len(t))].tobytes() == t for t in self.special)
+
+    def decoded(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the tokens of some texts, and where each text's begin: what the byte-to-text decoder reads next."""
+        n = self.flat_len[ids]
+        return slices(self.flat, self.flat_at[ids], n), np.concatenate([[0], np.cumsum(n)])[first]
 
 
 def sufficient_lookahead(left: np.ndarray, right: np.ndarray, made: np.ndarray, size: list[int]) -> int:
@@ -247,27 +365,6 @@ def sufficient_lookahead(left: np.ndarray, right: np.ndarray, made: np.ndarray,
     return longest + max(size)
 
 
-def stretches(text: bytes) -> Iterator[bytes]:
-    """``text`` in parts of about ``STRETCH`` bytes, cut between a visible ASCII character and a space: no token goes across."""
-    at = 0
-    while len(text) - at > STRETCH:
-        m = _EDGE.search(text, at + STRETCH)
-        if not m:
-            break
-        yield text[at:m.end()]
-        at = m.end()
-    if at < len(text):
-        yield text[at:]
-
-
-def pieces(stretch: bytes) -> list[bytes]:
-    """Parts of a stretch that are encoded each by itself: cut before single spaces, or wherever the pattern cuts."""
-    if _ODD.search(stretch):
-        return [x.encode() for x in _SPLIT.findall(stretch.decode())]
-    first, *rest = stretch.split(b" ")
-    return ([first] if first else []) + [b" " + x for x in rest]
-
-
 _made: dict[str, Vocabulary] = {}
 
 
@@ -283,35 +380,59 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Text:
+    """One text on its way through: what has come out so far, as digests and an incremental byte-to-text decoder that keeps the bytes of a character that isn't complete."""
+
+    def __init__(self, keep: bool):
+        self.n, self.sha, self.text_sha = 0, hashlib.sha256(), hashlib.sha256()
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+        self.ids = [] if keep else None
+
+    def take(self, ids: np.ndarray, raw: np.ndarray) -> None:
+        self.n += len(ids)
+        self.sha.update(ids)
+        self.text_sha.update(self.state.decode(raw.tobytes()).encode())
+        if self.ids is not None:
+            self.ids.append(ids.astype(np.int32))
+
+    def end(self) -> tuple:
+        self.text_sha.update(self.state.decode(b"", True).encode())
+        return self.n, self.sha.hexdigest(), self.text_sha.hexdigest()
+
+
 def _round_trip(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            keys, column = batch.column(0), batch.column(1)
-            lo = 0
-            while lo < batch.num_rows:
-                hi, held = lo, 0
-                own: list[bytes] = []
-                while hi < batch.num_rows and held < 1 << 22:
-                    own.append(column[hi].as_py() or b"")
-                    held += len(own[-1])
-                    hi += 1
-                n, ids, sha, text_sha = [], [], [], []
-                for parts in v.encode(own):
-                    digest, text_digest = hashlib.sha256(), hashlib.sha256()
-                    for p in parts:
-                        digest.update(p)
-                    for t in v.decode(parts):
-                        text_digest.update(t.encode())
-                    n.append(sum(map(len, parts)) // 4)
-                    sha.append(digest.hexdigest())
-                    text_sha.append(text_digest.hexdigest())
-                    if with_ids:
-                        ids.append(np.frombuffer(b"".join(parts), np.int32))
-                cols = [keys.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sha), pa.array(text_sha)]
+            data, off = texts(batch.column(1))
+            done, rows, now, at = 0, [], _Text(with_ids), 0
+
+            def out(done=0):
+                n, sha, text_sha = zip(*(r.end() for r in rows), strict=True)
+                cols = [batch.column(0).slice(done, len(rows)), pa.array(n, pa.int64()), pa.array(sha), pa.array(text_sha)]
                 names = ["_key", "n_tokens", "ids_sha256", "decoded_sha256"]
-                yield pa.record_batch(cols + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names + ["ids"] * with_ids)
-                lo = hi
+                if with_ids:
+                    flat = [x for r in rows for x in r.ids]
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))))
+                return pa.record_batch(cols, names + ["ids"] * with_ids)
+
+            for lo, hi, ids, first in v.encode(data, off):
+                raw, begin = v.decoded(ids, first)
+                if lo != at:  # a long text has ended
+                    rows.append(now)
+                    now, at = _Text(with_ids), lo
+                for i in range(len(first) - 1):
+                    now.take(ids[first[i]:first[i + 1]], raw[begin[i]:begin[i + 1]])
+                    if len(first) > 2 or int(off[hi] - off[lo]) <= STRETCH:
+                        rows.append(now)
+                        now, at = _Text(with_ids), at + 1
+                if rows and at == hi:
+                    yield out(done)
+                    done, rows = done + len(rows), []
+            if at < batch.num_rows:
+                rows.append(now)
+            if rows:
+                yield out(done)
 
     return run
 

@@ -32,13 +32,12 @@ def shard(df: DataFrame, shards: int = 40, seed: int = 17, key: str = "doc_id",
     total = groups.agg(F.sum("n")).first()[0] or 0
     part = within.join(groups, "s").withColumn("f", (F.col("r") - F.col("r0") + 0.5) / F.col("n")).drop("r", "r0", "n")
     placed = globally_ranked(part, [F.col("f"), F.col("s"), *tie], "at")
-    n, m = F.lit(total).cast("long"), F.lit(shards).cast("long")
     return placed.select(
         F.col("k").alias(key), "size", "text_crc32", F.lit("rows").alias("law"),
         F.expr(f"cast((at * {shards}L) div {max(total, 1)}L as int)").alias("shard"), "at",
     ).select(
         key, "size", "text_crc32", "law", "shard",
-        (F.col("at") - F.ceil(F.col("shard") * n / m).cast("long")).alias("slot"),
+        F.expr(f"at - (shard * {total}L + {shards - 1}L) div {shards}L").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not told:
         told = getattr(spark.sparkContext, "_tessella_dir", None)
         if told is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             told = spark.sparkContext._tessella_dir = "file://" + tempfile.mkdtemp(prefix="tessella-")
             _drop_at_exit(spark, told)
     return told
@@ -80,12 +82,13 @@ def globally_ranked(df: DataFrame, keys: list[Column], rank: str, weight: str |
         sums = placed.groupBy(part.alias("_p")).agg(F.sum(weight).alias("_n")).orderBy("_p").collect()
         w = Window.partitionBy(part).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
         within = F.coalesce(F.sum(weight).over(w), F.lit(0))
-    starts, total = {}, 0
+    starts, total = [], 0
     for r in sums:
-        starts[r["_p"]] = total
+        starts.append((r["_p"], total))
         total += r["_n"] or 0
-    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), part) if starts else F.lit(0)
-    return placed.withColumn(rank, (within + offset).cast("long")).drop("_at")
+    # A row for each partition.
+    before = spark.createDataFrame(starts, "_part long, _before long")
+    return placed.withColumn("_part", part).withColumn(rank, within).join(F.broadcast(before), "_part").withColumn(rank, (F.col(rank) + F.col("_before")).cast("long")).drop("_at", "_part", "_before")
 
 
 def with_group_extreme(df: DataFrame, keys: list[str], value: str, out: str, how: str = "min") -> DataFrame:

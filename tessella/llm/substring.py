@@ -159,7 +159,7 @@ def _suffixes(window: int, anchor: int, hot: np.ndarray):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             told, told_off = texts(batch.column(2))
             for lo, hi in spans(off):
-                known = np.unique(np.frombuffer(told[told_off[lo]:told_off[hi]].tobytes(), _KEY))
+                known = np.sort(np.frombuffer(told[told_off[lo]:told_off[hi]].tobytes(), _KEY))
                 if not len(known):
                     continue
                 w = words_of(data, off[lo:hi + 1], EXACT)

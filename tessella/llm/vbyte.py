@@ -10,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, default_vocabulary
-from .shared import documents, globally_ranked, scratch_path, stored
-
-#: Most distinct pieces that a Python worker remembers.
-REMEMBERED = 1_000_000
-#: A row of a file: where it is among the rows of its part, the document, its number of ids, control and data bytes.
-ROW = "doc_id long, n_tokens long, control binary, data binary"
+from .bpe import _WHITE_ASCII, STRETCH, Vocabulary, default_vocabulary
+from .exchange import slices
+from .shared import documents, scratch_path, stored
+from .words import texts
+
+#: Bytes of a text that is handed to the library.
+TEXT = 1 << 16
+#: A row of a file: its number among the rows of its part, the ids of the part before it, the document, its number of ids,
+#: control and data bytes. Parts are folders; they ascend as their numbers do, and rows within them.
+ROW = "row long, begin long, doc_id long, n_tokens long, control binary, data binary"
+_IDS = "part int, row long, begin long, doc_id long, n_tokens long, ids binary"
 #: Bytes of each of a control byte's four numbers, and of all four.
 _SIZES = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 
@@ -41,7 +45,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class _Encoder(Vocabulary):
-    """The tokenizers library, asked once for each word that a worker sees; texts are cut into words where its own pattern cuts."""
+    """The tokenizers library, asked once for each chunk that a worker sees.
+
+    Chunks that begin with a space and don't end with white space are handed over one after another as one text, which the
+    library cuts before each of them; their tokens' lengths tell where each ends. The others are texts of their own.
+    """
 
     def __init__(self, path: str):
         import os
@@ -53,43 +61,69 @@ class _Encoder(Vocabulary):
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
-        self.words: dict[bytes, bytes] = {}
 
-    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = words
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            for w, e in zip(some, self.lib.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, np.uint32).tobytes()
-        ids = [self.words[w] for w in words]
-        return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-
-    def stream(self, word: bytes):
-        yield self.merged([word])[0]
+    def _library(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+
+    def of_chunks(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        end = data[start + size - 1]
+        row = (data[start] == 0x20) & (size > 1) & (end < 0x80) & ~_WHITE_ASCII[end]
+        order = np.argsort(~row, kind="stable")
+        start, size, k = start[order], size[order], int(row.sum())
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = slices(data, start, size)
+        ids, lens = [], [np.zeros(0, np.int64)]
+        cuts = np.unique(np.append(np.searchsorted(ends[: k + 1], np.arange(0, ends[k], TEXT)), k))
+        long = [flat[ends[i]:ends[j]].tobytes().decode() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for (i, j), x in zip(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), self._library(long), strict=True):
+            till = np.searchsorted(np.cumsum(self.flat_len[x]), ends[i + 1:j + 1] - ends[i], "left") + 1
+            ids.append(x)
+            lens.append(np.diff(np.concatenate([[0], till])))
+        for i in range(k, len(size), 10_000):
+            some = self._library([flat[ends[j]:ends[j + 1]].tobytes().decode() for j in range(i, min(len(size), i + 10_000))])
+            ids += some
+            lens.append(np.fromiter(map(len, some), np.int64, len(some)))
+        n = np.concatenate(lens)
+        back = np.argsort(order, kind="stable")
+        return slices(np.concatenate([*ids, np.empty(0, np.uint32)]), (np.cumsum(n) - n)[back], n[back]), n[back]
 
 
 _made: dict[str, _Encoder] = {}
 
 
 def _encode(path: str, end: int):
+    """Ids of texts in the order of a partition, with the number and the begin of each in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _made.setdefault(path, None) or _Encoder(path)
-        _made[path] = encoder
+        if path not in _made:
+            _made[path] = _Encoder(path)
+        encoder = _made[path]
+        last = np.array([end], np.uint32)
+        row = begin = 0
+
+        def out(batch: pa.RecordBatch, lo: int, ids: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal row, begin
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            small = [x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
+            one = pa.record_batch([batch.column(0).slice(lo, len(ids)), pa.array(np.arange(row, row + len(ids))), pa.array(begin + np.cumsum(n) - n), batch.column(1).slice(lo, len(ids)), pa.array(n), pa.array(small, pa.binary())],
+                                  [c.split()[0] for c in _IDS.split(", ")])
+            row, begin = row + len(ids), begin + int(n.sum())
+            return one
+
         for batch in batches:
-            column, lo = batch.column(1), 0
-            while lo < batch.num_rows:
-                hi, held, own = lo, 0, []
-                while hi < batch.num_rows and held < 1 << 22:
-                    own.append(column[hi].as_py() or b"")
-                    held += len(own[-1])
-                    hi += 1
-                ids = [np.append(np.frombuffer(b"".join(x), np.uint32), np.uint32(end)) for x in encoder.encode(own)]
-                small = [x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())], ["doc_id", "n_tokens", "ids"])
-                lo = hi
+            data, off = texts(batch.column(2))
+            at, own = 0, []
+            for lo, hi, ids, first in encoder.encode(data, off):
+                if own and lo != at:
+                    yield out(batch, at, [np.concatenate([*own, last])])
+                    own = []
+                at = lo
+                if int(off[hi] - off[lo]) > STRETCH:  # a text in several blocks
+                    own.append(ids)
+                else:
+                    yield out(batch, lo, [np.concatenate([ids[x:y], last]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
+            if own:
+                yield out(batch, at, [np.concatenate([*own, last])])
 
     return run
 
@@ -113,57 +147,65 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _writer(rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).to_pylist()
-            c = [pack(rank[_ids(k, x.as_buffer())]) for k, x in zip(n, batch.column(2), strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x[0] for x in c], pa.binary()), pa.array([x[1] for x in c], pa.binary())], ["doc_id", "n_tokens", "control", "data"])
+            n = batch.column(4).to_pylist()
+            c = [pack(rank[_ids(k, x.as_buffer())]) for k, x in zip(n, batch.column(5), strict=True)]
+            yield pa.record_batch([*batch.columns[:5], pa.array([x[0] for x in c], pa.binary()), pa.array([x[1] for x in c], pa.binary())], ["part", "row", "begin", "doc_id", "n_tokens", "control", "data"])
 
     return run
 
 
 def write_ids(df: DataFrame, path: str, vocab: str | None = None, key: str = "doc_id", text: str = "text", end: int = 0) -> None:
-    """The ids of all texts, ``end`` after each, into two tables under ``path``: ``ids`` (rows as in ``ROW``, in ascending key order over its parts) and ``ranks`` (id of each rank, one row).
+    """The ids of all texts, ``end`` after each, into two tables under ``path``: ``ids`` (rows as in ``ROW``, in folders ``part=``, in ascending key order by part and row) and ``ranks`` (id of each rank, one row).
 
     Null and empty texts have the end id alone. Null keys come first, repeated rows follow one another. No rows: no
     files of ids. The most frequent id has rank 0, ties go to the smaller id; the table of ranks is as large as the
-    vocabulary, the only thing that each task gets whole.
+    vocabulary, the only thing that each task gets whole. Other columns are not read.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Arrow batches keep the order of the sorted partitions, and so do the files.
-    ordered = rows.repartitionByRange(n, F.col("doc_id"), F.xxhash64("t")).sortWithinPartitions("doc_id", "t")
-    ids = stored(ordered.mapInArrow(_encode(vocab or default_vocabulary(), end), "doc_id long, n_tokens long, ids binary"), "ids")
+    ordered = rows.repartitionByRange(n, F.col("doc_id"), F.xxhash64("t")).sortWithinPartitions("doc_id", "t").select(F.spark_partition_id().alias("part"), "doc_id", "t")
+    ids = stored(ordered.mapInArrow(_encode(vocab or default_vocabulary(), end), _IDS), "ids")
     found = ids.select("n_tokens", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = [r["id"] for r in sorted(found, key=lambda r: (-r["n"], r["id"]))]
     rank = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame([(by_rank,)], "ids array<long>").write.parquet(f"{path}/ranks")
-    ids.mapInArrow(_writer(rank), ROW).write.option("compression", "none").parquet(f"{path}/ids")
+    packed_ = ids.mapInArrow(_writer(rank), "part int, " + ROW)
+    packed_.sortWithinPartitions("part", "row").write.option("compression", "none").partitionBy("part").parquet(f"{path}/ids")
 
 
 def _reader(by_rank: np.ndarray, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc, ids = [], []
-            for n, c, d in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for n, c, d in zip(batch.column(4).to_pylist(), batch.column(5), batch.column(6), strict=True):
                 x = by_rank[unpack(c.as_buffer(), d.as_buffer(), n)]
                 crc.append(zlib.crc32(x))
                 if with_ids:
                     ids.append(x.view(np.int32))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(crc, pa.int64())] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []),
-                                  ["doc_id", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+            yield pa.record_batch([*batch.columns[:5], pa.array(crc, pa.int64())] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []),
+                                  ["part", "row", "begin", "doc_id", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     return run
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (and ids) of each document, decoded from the files."""
+    """doc_id, start (ids of all documents before it in the files), n_tokens, ids_crc32 (and ids) of each document, decoded from the files."""
     by_rank = np.array(spark.read.schema("ids array<long>").parquet(f"{path}/ranks").first()["ids"], np.uint32)
-    return spark.read.schema(ROW).parquet(f"{path}/ids").mapInArrow(_reader(by_rank, with_ids), "doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    rows = spark.read.schema(ROW + ", part int").parquet(f"{path}/ids").select("part", *[c.split()[0] for c in ROW.split(", ")])
+    found = rows.mapInArrow(_reader(by_rank, with_ids), "part int, row long, begin long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    # One number for each part; the parts ascend.
+    sizes = rows.groupBy("part").agg(F.max(F.col("begin") + F.col("n_tokens")).alias("n")).orderBy("part").collect()
+    before, total = [], 0
+    for r in sizes:
+        before.append((r["part"], total))
+        total += r["n"]
+    starts = spark.createDataFrame(before, "part int, before long")
+    return found.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op3_vbyte_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "vbyte")
     write_ids(documents(spark, sf_dir), path)
-    rows = read_ids(spark, path)
-    return globally_ranked(rows, [F.col("doc_id"), F.col("n_tokens"), F.col("ids_crc32")], "start", weight="n_tokens").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_ids(spark, path)
