@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not told:
         told = getattr(spark.sparkContext, "_tessella_dir", None)
         if told is None:
-            if not spark.sparkContext.master.startswith("local["):
+            if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             told = spark.sparkContext._tessella_dir = "file://" + tempfile.mkdtemp(prefix="tessella-")
             _drop_at_exit(spark, told)

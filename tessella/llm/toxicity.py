@@ -3,9 +3,11 @@
 Training counts, over the distinct labelled texts, in how many toxic and other texts each word, and each begin of words
 (``HEAD`` bytes: stems of compounds and inflected words), stands. A word's score is its log-odds under Dirichlet priors
 drawn from all of them, or else those of its begin; where neither is significant it is a small negative number, so that
-a segment must earn its length. A linear-time scan finds all maximal segments of a text; their
-scores are calibrated by the extreme-value law of the best segment of a random text (E = K n exp(-lambda S)), and a
-rising curve, fitted to counts of all training texts, turns a text's best value into a probability.
+a segment must earn its length. A linear-time scan finds all maximal segments of a text. Their scores are calibrated by the
+extreme-value law of the best segment of a random text (E = K n exp(-lambda S)); lambda is the root of the score's moment
+equation, K the estimate of greatest likelihood on the training texts that aren't toxic. All significant passages of a text
+are aggregated by the law of the sum of the r best; a rising curve, fitted to counts of all training texts,
+turns that value into a probability.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from .words import LETTERS, signed, spans, texts, words_of
 
 #: Labelled documents to learn from, about: of more, a sample by hash of the id. Their ids and labels are broadcast.
 LABELLED = 100_000
-#: Most words of the lexicon, the most significant first: what each task gets whole.
-LEXICON = 50_000
 #: Least |z| of a word's log-odds.
 SIGNIFICANT = 3.0
 #: Pseudo-texts of the priors: shared out by how often a word stands in texts at all, and for each word.
@@ -64,10 +64,23 @@ class Model:
             out[near[ok]] = self.scores[at[ok]]
         return out
 
-    def value(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """-ln E of a text's best segment: large if chance doesn't bring it about. Texts without a positive word: ``LOW``."""
-        x = self.lam * best - np.log(max(self.k, 1e-12) * np.maximum(n, 1))
-        return np.clip(np.where(best > 0, x, LOW), LOW, HIGH)
+    def value(self, scores: list[float], n: int) -> float:
+        """-ln of the chance of a text's passages (their scores, and the words of the text): large if chance doesn't bring them about.
+
+        With x = lambda S - ln(K n), the best alone has the chance exp(-x); the r best, whose x sum up to T, have about
+        exp(-T) T^(r-1) / (r! (r-1)!). The least over all r counts, each r at half the weight of the one before it.
+        Only passages of a positive x come in beside the best. Without any: ``LOW``.
+        """
+        if not scores:
+            return LOW
+        x = self.lam * np.sort(scores)[::-1] - np.log(max(self.k, 1e-12) * max(n, 1))
+        best = x[0]
+        x = x[x >= -np.log(E_VALUE)]
+        if len(x) > 1:
+            r = np.arange(1, len(x) + 1)
+            total, steps = np.cumsum(x), np.cumsum(np.log(r))
+            best = max(best, float((total + steps + (steps - np.log(r)) - (r - 1) * (np.log(np.maximum(total, 1)) + np.log(2))).max()))
+        return float(np.clip(best, LOW, HIGH))
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         tilt = (value - LOW) / (HIGH - LOW)  # keeps apart what the curve holds equal
@@ -118,16 +131,18 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.append(np.bincount(which, minlength=len(u)), hi - lo).astype(np.int64))], ["word", "y", "n"])
 
 
-def _best(model: Model, words) -> tuple[np.ndarray, np.ndarray]:
-    """The best segment's score of each text, and its number of words."""
+def _judged(model: Model, words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The value, the best segment's score, the number of significant passages, and the number of words of each text."""
     s = model.of(words)
     first = words.first
     n = np.diff(first)
-    best = np.zeros(len(n))
+    value, best, many = np.full(len(n), LOW), np.zeros(len(n)), np.zeros(len(n), np.int64)
     has = np.unique(np.searchsorted(first, np.flatnonzero(s > 0), "right") - 1)
     for i in has.tolist():
-        best[i] = max(x[2] for x in segments(s[first[i]:first[i + 1]]))
-    return best, n
+        scores = [x[2] for x in segments(s[first[i]:first[i + 1]])]
+        value[i], best[i] = model.value(scores, int(n[i])), max(scores)
+        many[i] = sum(model.k * n[i] * np.exp(-model.lam * x) <= E_VALUE for x in scores)
+    return value, best, many, n
 
 
 def _scored(model: Model):
@@ -135,11 +150,10 @@ def _scored(model: Model):
         for batch in batches:
             data, off = texts(batch.column(1))
             for lo, hi in spans(off):
-                best, n = _best(model, words_of(data, off[lo:hi + 1], LETTERS, HEAD))
-                value = model.value(best, n)
+                value, best, many, n = _judged(model, words_of(data, off[lo:hi + 1], LETTERS, HEAD))
                 p = model.probability(value)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(value), pa.array(best), pa.array(n)],
-                                      ["_key", "score", "predicted", "value", "best", "n_words"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(value), pa.array(best), pa.array(many), pa.array(n)],
+                                      ["_key", "score", "predicted", "value", "best", "n_passages", "n_words"])
 
     return run
 
@@ -147,7 +161,7 @@ def _scored(model: Model):
 def train(labelled: DataFrame, text: str = "text", label: str = "label") -> Model:
     """A model from rows (text, label 0/1; others are left out). Equal texts count once, toxic if any is.
 
-    The driver sees the lexicon (``LEXICON`` words at most), sums, and ``BINS`` counts. Without both labels every score is the
+    The driver sees the lexicon (significant words of the texts learnt from, of which ``labelled_documents`` bounds the number), sums, and ``BINS`` counts. Without both labels every score is the
     share of label 1 (0 without rows).
     """
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
@@ -164,7 +178,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label") -> Mode
     a0 = m - y + share * PRIOR + FLAT
     odds = F.log(a1 / (n1 + PRIOR + 1 - a1)) - F.log(a0 / (n0 + PRIOR + 1 - a0))
     words = (counts.where("word <> 0").withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a1 + 1 / a0))
-             .where(F.abs("z") >= SIGNIFICANT).orderBy(F.abs("z").desc(), "word").limit(LEXICON)
+             .where(F.abs("z") >= SIGNIFICANT)
              .select("word", "odds", "y", "n").toPandas())
     h = words["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -186,7 +200,7 @@ def _values(model: Model):
         for batch in batches:
             data, off = texts(batch.column(1))
             for lo, hi in spans(off):
-                v = model.value(*_best(model, words_of(data, off[lo:hi + 1], LETTERS, HEAD)))
+                v = _judged(model, words_of(data, off[lo:hi + 1], LETTERS, HEAD))[0]
                 yield pa.record_batch([batch.column(2).slice(lo, hi - lo), pa.array(((v - LOW) / (HIGH - LOW) * BINS).astype(np.int32))], ["y", "bin"])
 
     return run
@@ -206,32 +220,36 @@ def _lambda(score: np.ndarray, p: np.ndarray) -> float:
 
 
 def _k(model: Model, rows: DataFrame) -> float:
-    """K from the texts that aren't toxic: the sum of exp(lambda S) over all segments' chances is n K; its estimate is the share of words that begin a segment."""
-    r = (rows.where("y = 0").select(F.lit(0).cast("long").alias("k"), "t").mapInArrow(_scored(model), "_key long, score double, predicted int, value double, best double, n_words long")
-         .agg(F.sum((F.col("best") > 0).cast("long")), F.sum("n_words")).first())
-    return max((r[0] or 0) + 1.0, 1.0) / max(float(r[1] or 0), 1.0)
+    """K of greatest likelihood from the texts that aren't toxic: with a best score S among n words, P(S <= x) = exp(-K n exp(-lambda x)), so K is the number of texts over the sum of n exp(-lambda S)."""
+    r = (rows.where("y = 0").select(F.lit(0).cast("long").alias("k"), "t").mapInArrow(_scored(model), "_key long, score double, predicted int, value double, best double, n_passages long, n_words long")
+         .where("n_words > 0").agg(F.count("*"), F.sum(F.col("n_words") * F.exp(-F.lit(model.lam) * F.col("best")))).first())
+    return best_k(r[0], r[1] or 0.0)
+
+
+def best_k(texts_: int, total: float) -> float:
+    return (texts_ + 1.0) / (total + 1.0)
 
 
 def _rising(binned) -> tuple[np.ndarray, np.ndarray]:
-    """The closest rising curve to the bins' shares of label 1 (pool adjacent violators), as corners at the pools' means."""
+    """The closest rising curve to the bins' shares of label 1 (pool adjacent violators): level within a pool, a straight line between two."""
     counts = np.zeros((2, BINS + 1))
     for r in binned:
         counts[r["y"], r["bin"]] += r["count"]
-    pools: list[list[float]] = []  # label 1, all, sum of x
+    pools: list[list[float]] = []  # label 1, all, first and last bin
     for i in np.flatnonzero(counts.sum(axis=0)).tolist():
-        n = counts[:, i].sum()
-        pools.append([counts[1, i], n, n * (LOW + (i + 0.5) * (HIGH - LOW) / BINS)])
+        pools.append([counts[1, i], counts[:, i].sum(), i, i])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    return np.array([x / n for _, n, x in pools]), np.array([(y + 0.1) / (n + 0.2) for y, n, _ in pools])
+            y, n, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + y, pools[-1][1] + n, pools[-1][2], last]
+    x = np.array([LOW + (i + 0.5) * (HIGH - LOW) / BINS for *_, i, j in pools for i in (i, j)])
+    return x, np.array([(y + 0.1) / (n + 0.2) for y, n, *_ in pools for _ in range(2)])
 
 
 def score_texts(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, score, predicted, value, best and n_words of each text. Null and empty texts get the score of a text without any toxic word; repeated rows and null keys are rows like others."""
+    """Key, score, predicted, value, best, n_passages and n_words of each text. Null and empty texts get the score of a text without any toxic word; repeated rows and null keys are rows like others."""
     rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").cast("binary").alias("t"))
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(_scored(model), f"_key {kind}, score double, predicted int, value double, best double, n_words long").withColumnRenamed("_key", key)
+    return rows.mapInArrow(_scored(model), f"_key {kind}, score double, predicted int, value double, best double, n_passages long, n_words long").withColumnRenamed("_key", key)
 
 
 def passages(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,4 +297,4 @@ def op7_max_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(labelled_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     out = score_texts(docs, model)
-    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.col("best").alias("best_segment"))
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.col("best").alias("best_segment"), "n_passages")
