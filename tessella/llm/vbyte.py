@@ -66,8 +66,10 @@ class _Encoder(Vocabulary):
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
 
     def of_chunks(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        end = data[start + size - 1]
-        row = (data[start] == 0x20) & (size > 1) & (end < 0x80) & ~_WHITE_ASCII[end]
+        last = start + size - 1
+        end, two, three = data[last], data[np.maximum(last - 1, 0)], data[np.maximum(last - 2, 0)]
+        # A last byte beyond ASCII may end a white space character only after these.
+        row = (data[start] == 0x20) & (size > 1) & ~_WHITE_ASCII[end] & ~((end >= 0x80) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3))))
         order = np.argsort(~row, kind="stable")
         start, size, k = start[order], size[order], int(row.sum())
         ends = np.concatenate([[0], np.cumsum(size)])
