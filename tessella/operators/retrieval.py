@@ -29,37 +29,17 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", lowercase
 def bm25_index(docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, lowercase: bool = False) -> dict[str, DataFrame]:
     """postings(term, key, tf), terms(term, df, idf), lengths(key, len, norm). Lengths count documents without terms too."""
     p = postings(docs, key, text, lowercase)
+    once = docs.select(F.explode(F.array_distinct(tokens(F.col(text), lowercase))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     lengths = docs.select(key, F.coalesce(F.size(tokens(F.col(text), lowercase)), F.lit(0)).cast("long").alias("len")).withColumn("len", F.greatest("len", F.lit(0)))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).select("n", F.when(F.col("avg") <= 0, 1.0).otherwise(F.col("avg")).alias("avg"))
     norms = lengths.crossJoin(F.broadcast(stats)).select(key, "len", (k1 * (1 - b + b * F.col("len") / F.col("avg"))).alias("norm"))
-    terms = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    terms = once.crossJoin(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return {"postings": p, "terms": terms, "lengths": norms}
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", query: str = "item_id", text: str = "text", k1: float = 1.5, b: float = 0.75, lowercase: bool = False) -> DataFrame:
-    """query, key, score, rank. A query is the set of its terms; documents without any of them don't appear.
-
-    Documents are tokenised once: their term counts are filtered by the queries' terms while they are still rows of one
-    task, lengths travel with them, and document frequencies are counted on what is left.
-    """
-    q = queries.select(query, F.explode(F.array_distinct(tokens(F.col(text), lowercase))).alias("term"))
-    wanted = small(q.select("term").distinct())
-    t = docs.select(key, tokens(F.col(text), lowercase).alias("ts")).withColumn("len", F.greatest(F.coalesce(F.size("ts"), F.lit(0)), F.lit(0)).cast("long"))
-    stats = docs.select(F.greatest(F.coalesce(F.size(tokens(F.col(text), lowercase)), F.lit(0)), F.lit(0)).cast("long").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    n, avg = stats.first()
-    avg = avg if avg and avg > 0 else 1.0
-    p = (t.select(key, "len", F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("term", key, "len").agg(F.count("*").alias("tf")))
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = k1 * (1 - b + b * F.col("len") / F.lit(float(avg)))
-    weighed = q.join(df, "term").withColumn("idf", idf)
-    hits = p.join(small(weighed), "term").select(query, key, (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("s"))
-    return topk(hits.groupBy(query, key).agg(F.sum("s").alias("score")), k, query, key)
-
-
-def topk(scored: DataFrame, k: int, query: str, key: str) -> DataFrame:
-    """Rows of rank 1..k of each query by (score rounded to 9 places, key)."""
-    w = Window.partitionBy(query).orderBy(F.round("score", 9).desc(), F.col(key))
+def topk(scored: DataFrame, k: int, query: str, key: str, *more: str) -> DataFrame:
+    """Rows of rank 1..k of each query (and each value of ``more``) by (score rounded to 9 places, key)."""
+    w = Window.partitionBy(query, *more).orderBy(F.round("score", 9).desc(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 0))
 
 
@@ -151,6 +131,15 @@ def late_interaction_topk(doc_tokens: DataFrame, query_tokens: DataFrame, k: int
     return topk(maxsim(tokens_, query_tokens), k, "qid", "doc_id")
 
 
+def recall_at_budgets(rankings: dict[int, DataFrame], exact: DataFrame) -> DataFrame:
+    """budget, micro (found over all exact results), macro (mean of the queries' shares) and n_lossless (queries with all found) for the ranking of each budget."""
+    out = None
+    for budget, r in rankings.items():
+        one = recall(r, exact).agg(F.lit(budget).alias("budget"), F.round(F.sum("n_found") / F.sum("n_exact"), 6).alias("micro"), F.round(F.avg("recall"), 6).alias("macro"), F.count_if(F.col("recall") == 1).alias("n_lossless"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """qid, n_exact, n_found, recall of each query of ``exact``; a query without exact results has 1."""
     found = exact.select("qid", "doc_id").join(approximate.select("qid", "doc_id", F.lit(1).alias("hit")), ["qid", "doc_id"], "left")
@@ -170,6 +159,8 @@ def rrf(rankings: list[DataFrame], query: str, key: str, constant: int = 60, k:
 
 def interleave(rankings: list[DataFrame], query: str, key: str, k: int = 10) -> DataFrame:
     """Round-robin: first of each, second of each, ...; a repeated key keeps its first place and that ranking's score."""
+    if len(rankings) < 2:
+        raise ValueError("fusion needs two rankings at least")
     rows = None
     for i, r in enumerate(rankings):
         one = r.select(query, key, "score", "rank", F.lit(i).alias("source"))

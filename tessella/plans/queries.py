@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import retrieval as R
-from ..operators import runs, search
+from ..operators import bm25, runs, search
 from ..registry import query
 from ..streaming import log
 
@@ -60,7 +60,13 @@ SELECT item_id, doc_id, round(score, 6) score, CAST(row_number() OVER (PARTITION
 
 
 def _bm25(spark, d, k1=1.5, b=0.75, k=10):
-    return R.bm25_topk(_t(spark, d, "documents"), _t(spark, d, "benchmark"), k, k1=k1, b=b)
+    return bm25.bm25_topk(_t(spark, d, "documents"), _t(spark, d, "benchmark"), k, k1=k1, b=b)
+
+
+def _two_rankings(spark, d):
+    """Both parameter sets in one pass over the documents."""
+    both = bm25.rank(bm25.build(_t(spark, d, "documents")), _t(spark, d, "benchmark"), 32, params=[(1.5, 0.75), (0.9, 0.4)])
+    return [both.where(F.col("setting") == i).drop("setting") for i in (0, 1)]
 
 
 @query("bm25_topk", _bm25_sql(1.5, 0.75, 10))
@@ -72,14 +78,14 @@ def bm25_topk(spark, d):
 s AS (SELECT item_id, doc_id, sum(1.0 / (60 + CAST(rank AS DOUBLE))) score FROM u GROUP BY ALL)
 SELECT item_id, doc_id, round(score, 6) score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INT) rank FROM s QUALIFY rank <= 10""")
 def fusion_rrf(spark, d):
-    return R.rrf([_bm25(spark, d, k=32), _bm25(spark, d, 0.9, 0.4, 32)], "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return R.rrf(_two_rankings(spark, d), "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("fusion_interleave", f"""WITH a AS ({_bm25_sql(1.5, 0.75, 32)}), b AS ({_bm25_sql(0.9, 0.4, 32)}), u AS (SELECT *, 0 source FROM a UNION ALL SELECT *, 1 FROM b),
 f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY rank, source) = 1)
 SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY rank, source) AS INT) AS place FROM f QUALIFY place <= 10""")
 def fusion_interleave(spark, d):
-    return R.interleave([_bm25(spark, d, k=32), _bm25(spark, d, 0.9, 0.4, 32)], "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
+    return R.interleave(_two_rankings(spark, d), "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
 
 
 @query("null_topk", "SELECT item_id, CAST(NULL AS BIGINT) doc_id, CAST(NULL AS DOUBLE) score FROM benchmark WHERE false")
