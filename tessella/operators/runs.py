@@ -52,8 +52,11 @@ def by_arm(draws: DataFrame) -> DataFrame:
     return draws.groupBy("benchmark", "arm", "pid").agg(F.bool_or("solved").alias("solved"), F.count("*").alias("n_draws"), F.count_if("solved").alias("n_solved"))
 
 
-def pairs(draws: DataFrame, a: str, b: str) -> DataFrame:
-    """Problems that both arms have tried: benchmark, pid, a, b (solved by each)."""
+def pairs(draws: DataFrame, a: str, b: str, without_errors: bool = False) -> DataFrame:
+    """Problems that both arms have tried: benchmark, pid, a, b (solved by each); if asked for, without those where either has a row of status error."""
+    if without_errors:
+        bad = draws.where(F.col("arm").isin(a, b) & (F.col("status") == "error")).select("benchmark", "pid").distinct()
+        draws = draws.join(bad, ["benchmark", "pid"], "left_anti")
     arms = by_arm(draws)
     left = arms.where(F.col("arm") == a).select("benchmark", "pid", F.col("solved").alias("a"))
     return left.join(arms.where(F.col("arm") == b).select("benchmark", "pid", F.col("solved").alias("b")), ["benchmark", "pid"])
@@ -65,7 +68,7 @@ def compare(paired: DataFrame) -> DataFrame:
     g = paired.rollup("benchmark").agg(
         F.count("*").alias("n"), one(F.col("a")).alias("n_a"), one(F.col("b")).alias("n_b"), one(F.col("a") & F.col("b")).alias("both"),
         one(F.col("a") & ~F.col("b")).alias("only_a"), one(~F.col("a") & F.col("b")).alias("only_b"), one(F.col("a") | F.col("b")).alias("either"))
-    return g.withColumn("delta", F.round((F.col("n_b") - F.col("n_a")) / F.col("n"), 6)).withColumn("union_gain", F.col("either") - F.greatest("n_a", "n_b")).withColumn("p", F.round(stats.mcnemar(F.col("only_a"), F.col("only_b")), 6)).withColumn("baseline_is_subset", F.col("only_a") == 0)
+    return g.withColumn("delta", F.round((F.col("n_b") - F.col("n_a")) / F.col("n"), 6)).withColumn("union_gain", F.col("either") - F.greatest("n_a", "n_b")).withColumn("union_rate", F.round(F.col("either") / F.col("n"), 6)).withColumn("p", F.round(stats.mcnemar(F.col("only_a"), F.col("only_b")), 6)).withColumn("baseline_is_subset", F.col("only_a") == 0)
 
 
 def solve_rates(draws: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def solve_rates(draws: DataFrame) -> DataFrame:
 
 def coverage(draws: DataFrame, k: int, *keys: str) -> DataFrame:
     """keys, draws taken, mean pass@k over all problems that any draw has tried; a missing draw counts as unsolved."""
-    c = draws.groupBy(*keys, "pid").agg(F.countDistinct(F.when(F.col("solved"), F.col("seed"))).alias("c"))
+    c = draws.groupBy(*dict.fromkeys([*keys, "benchmark", "pid"])).agg(F.countDistinct(F.when(F.col("solved"), F.col("seed"))).alias("c"))
     return (c.groupBy(*keys, "c").count().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k))))
             .withColumn("p", stats.pass_at_k(F.lit(k), F.col("c"), F.col("k"))).groupBy(*keys, "k").agg(F.round(F.sum(F.col("p") * F.col("count")) / F.sum("count"), 6).alias("coverage")))
 

@@ -184,12 +184,6 @@ def retrieval_stats(spark, d):
 # --- corpus -----------------------------------------------------------------------------------------------------------
 
 
-@query("corpus_filter", "SELECT doc_id, source, lang FROM documents WHERE lang IN ('en', 'de') AND (starts_with(source, 'src1') OR starts_with(source, 'src2')) AND length(text) <= 4000")
-def corpus_filter(spark, d):
-    prefixes = F.array(F.lit("src1"), F.lit("src2"))
-    return _t(spark, d, "documents").where(F.col("lang").isin("en", "de") & F.exists(prefixes, lambda p: F.col("source").startswith(p)) & (F.length("text") <= 4000)).select("doc_id", "source", "lang")
-
-
 @query("corpus_fingerprint", "SELECT count(*) || ':' || substr(sha256(string_agg(p_name || '\n', '' ORDER BY p_partkey)), 1, 16) fingerprint FROM part")
 def corpus_fingerprint(spark, d):
     """One digest of all names in order: names are sent as sorted parts, their text is one row, as the definition asks for."""
@@ -197,24 +191,6 @@ def corpus_fingerprint(spark, d):
     return _t(spark, d, "part").agg(F.count("*").alias("n"), F.sha2(F.array_join(names, ""), 256).alias("h")).select(F.concat(F.col("n").cast("string"), F.lit(":"), F.substr("h", F.lit(1), F.lit(16))).alias("fingerprint"))
 
 
-@query("gloss_join", "SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END, '') gloss FROM documents d LEFT JOIN labels l USING (doc_id)")
-def gloss_join(spark, d):
-    g = _t(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("gloss"))
-    return _t(spark, d, "documents").select("doc_id").join(g, "doc_id", "left").fillna("", ["gloss"])
-
-
-@query("gloss_coverage", "SELECT count(*) n, count(l.doc_id) n_found, round(count(l.doc_id) / count(*), 4) coverage FROM documents d LEFT JOIN labels l USING (doc_id)")
-def gloss_coverage(spark, d):
-    found = _t(spark, d, "labels").select("doc_id", F.lit(1).alias("hit"))
-    return _t(spark, d, "documents").select("doc_id").join(found, "doc_id", "left").agg(F.count("*").alias("n"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 4).alias("coverage"))
-
-
-@query("json_config_match", "SELECT event_id, json_extract_string(props, '$.k') k FROM events WHERE json_extract_string(props, '$.k') = '7'")
-def json_config_match(spark, d):
-    k = F.get_json_object("props", "$.k")
-    return _t(spark, d, "events").where(k == "7").select("event_id", k.alias("k"))
-
-
 @query("discover_latest", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) = 1")
 def discover_latest(spark, d):
     return runs.latest(_t(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", "event_id").drop("ts")
@@ -311,13 +287,6 @@ def contamination_verbatim(spark, d):
     return long.unionByName(docs.select("doc_id", "text").join(R.small(brief), F.col("text").contains(F.col("item"))).select("doc_id", "item_id"))
 
 
-@query("one_step_citation", r"SELECT conv_id, regexp_extract(steps[1], '^(\S+)\s+([A-Za-z_][A-Za-z0-9_.]*)', 2) head FROM (SELECT conv_id, list(trim(text) ORDER BY turn) FILTER (WHERE trim(text) <> '' AND role = 'user') steps FROM conversations GROUP BY conv_id) WHERE len(steps) = 1")
-def one_step_citation(spark, d):
-    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda x: x["text"]).alias("t"))
-    steps = c.select("conv_id", text.nonblank(F.col("t")).alias("s")).where(F.size("s") == 1)
-    return steps.select("conv_id", F.regexp_extract(F.col("s")[0], r"^(\S+)\s+([A-Za-z_][A-Za-z0-9_.]*)", 2).alias("head"))
-
-
 @query("tactic_heads", r"SELECT role, regexp_extract(text, '^\s*([A-Za-z_][A-Za-z0-9_'']*)', 1) head, count(*) n FROM conversations GROUP BY ALL")
 def tactic_heads(spark, d):
     return _t(spark, d, "conversations").groupBy("role", text.head(F.col("text")).alias("head")).agg(F.count("*").alias("n"))
@@ -334,11 +303,6 @@ def classify_area(spark, d):
     return _t(spark, d, "documents").groupBy(text.area(F.col("text")).alias("area")).agg(F.count("*").alias("n"))
 
 
-@query("root_quality", "SELECT role, count(*) n, round(avg(length(text)), 6) mean, max(length(text)) best FROM conversations WHERE turn = 0 GROUP BY role")
-def root_quality(spark, d):
-    return _t(spark, d, "conversations").where("turn = 0").groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean"), F.max(F.length("text")).cast("long").alias("best"))
-
-
 @query("failure_modes", "SELECT event_type status, CASE WHEN event_type = 'click' THEN (CASE user_id % 3 WHEN 0 THEN 'max_expansions' WHEN 1 THEN 'wall_clock' ELSE 'exhausted (None)' END) ELSE event_type END AS \"mode\", count(*) n FROM events GROUP BY ALL")
 def failure_modes(spark, d):
     e = _t(spark, d, "events")
@@ -353,13 +317,14 @@ def budget_labels(spark, d):
 
 
 # --- draws ------------------------------------------------------------------------------------------------------------
-_DRAWS = "draws AS (SELECT user_id % 2 benchmark, event_type arm, (day(ts) - 1) % 8 seed, user_id pid, max(value) >= 100 solved FROM events GROUP BY ALL)"
+_DRAWS = "draws AS (SELECT user_id % 2 benchmark, event_type arm, (day(ts) - 1) % 8 seed, user_id // 2 pid, max(value) >= 100 solved FROM events GROUP BY ALL)"
 _ARMS = _DRAWS + ", arms AS (SELECT benchmark, arm, pid, bool_or(solved) solved, count(*) n_draws, count(*) FILTER (WHERE solved) n_solved FROM draws GROUP BY ALL)"
 
 
 def draws(spark, d):
+    """Problems of both benchmarks have the same ids: whatever joins them has to join the benchmark as well."""
     e = _t(spark, d, "events")
-    return e.groupBy((F.col("user_id") % 2).alias("benchmark"), F.col("event_type").alias("arm"), ((F.day("ts") - 1) % 8).cast("long").alias("seed"), F.col("user_id").alias("pid")).agg((F.max("value") >= 100).alias("solved"))
+    return e.groupBy((F.col("user_id") % 2).alias("benchmark"), F.col("event_type").alias("arm"), ((F.day("ts") - 1) % 8).cast("long").alias("seed"), F.expr("user_id div 2").alias("pid")).agg((F.max("value") >= 100).alias("solved"))
 
 
 @query("set_union_by_arm", f"WITH {_ARMS} SELECT * FROM arms")
@@ -373,7 +338,7 @@ _TAIL = "least(1.0, 2 * list_sum(list_transform(range(0, least({0}, {1}) + 1), l
 
 @query("compare_pooled", f"""WITH {_ARMS}, {_PAIR}, g AS (SELECT benchmark, count(*) n, count(*) FILTER (WHERE a) n_a, count(*) FILTER (WHERE b) n_b, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) only_a,
 count(*) FILTER (WHERE b AND NOT a) only_b, count(*) FILTER (WHERE a OR b) AS either FROM pr GROUP BY ROLLUP (benchmark))
-SELECT *, round((n_b - n_a) / n, 6) delta, either - greatest(n_a, n_b) union_gain, CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE round({_TAIL.format('only_a', 'only_b')}, 6) END p, only_a = 0 baseline_is_subset FROM g""")
+SELECT *, round((n_b - n_a) / n, 6) delta, either - greatest(n_a, n_b) union_gain, round(either / n, 6) union_rate, CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE round({_TAIL.format('only_a', 'only_b')}, 6) END p, only_a = 0 baseline_is_subset FROM g""")
 def compare_pooled(spark, d):
     return runs.compare(runs.pairs(draws(spark, d), "click", "view"))
 
@@ -389,17 +354,17 @@ def exclusive_wins(spark, d):
     return runs.pairs(draws(spark, d), "click", "view").where("a <> b").select("benchmark", "pid", F.when(F.col("a"), "click").otherwise("view").alias("winner"))
 
 
-@query("multi_arm_intersection", f"WITH {_ARMS}, k AS (SELECT count(DISTINCT arm) k FROM arms) SELECT benchmark, pid, count(*) FILTER (WHERE solved) n_arms FROM arms, k GROUP BY benchmark, pid, k HAVING count(*) = k")
+@query("multi_arm_intersection", f"WITH {_ARMS}, k AS (SELECT benchmark, count(DISTINCT arm) k FROM arms GROUP BY benchmark) SELECT benchmark, pid, count(*) FILTER (WHERE solved) n_arms FROM arms JOIN k USING (benchmark) GROUP BY benchmark, pid, k HAVING count(*) = k")
 def multi_arm_intersection(spark, d):
     a = runs.by_arm(draws(spark, d))
-    k = a.agg(F.countDistinct("arm").alias("k"))
-    return a.groupBy("benchmark", "pid").agg(F.count("*").alias("n"), F.count_if("solved").alias("n_arms")).crossJoin(F.broadcast(k)).where("n = k").select("benchmark", "pid", "n_arms")
+    k = a.groupBy("benchmark").agg(F.countDistinct("arm").alias("k"))
+    return a.groupBy("benchmark", "pid").agg(F.count("*").alias("n"), F.count_if("solved").alias("n_arms")).join(k, "benchmark").where("n = k").select("benchmark", "pid", "n_arms")
 
 
-@query("won_vs_control", f"WITH {_ARMS} SELECT x.arm, x.pid FROM arms x WHERE x.solved AND x.arm <> 'view' AND NOT EXISTS (SELECT 1 FROM arms y WHERE y.arm = 'view' AND y.solved AND y.pid = x.pid)")
+@query("won_vs_control", f"WITH {_ARMS} SELECT x.benchmark, x.arm, x.pid FROM arms x WHERE x.solved AND x.arm <> 'view' AND NOT EXISTS (SELECT 1 FROM arms y WHERE y.arm = 'view' AND y.solved AND y.pid = x.pid AND y.benchmark = x.benchmark)")
 def won_vs_control(spark, d):
     a = runs.by_arm(draws(spark, d)).where("solved")
-    return a.where("arm <> 'view'").select("arm", "pid").join(a.where("arm = 'view'").select("pid"), "pid", "left_anti").select("arm", "pid")
+    return a.where("arm <> 'view'").select("benchmark", "arm", "pid").join(a.where("arm = 'view'").select("benchmark", "pid"), ["benchmark", "pid"], "left_anti").select("benchmark", "arm", "pid")
 
 
 @query("verification_discount", f"WITH {_DRAWS} SELECT d.benchmark, arm, seed, pid, solved AND l.doc_id IS NULL solved, solved AND l.doc_id IS NOT NULL discounted FROM draws d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = pid")
@@ -415,7 +380,7 @@ def solve_rate(spark, d):
 _PASS = "1 - list_reduce(list_concat([1.0::DOUBLE], list_transform(range(0, k), lambda i: greatest(0.0, CAST(8 - c - i AS DOUBLE) / (8 - i)))), lambda x, y: x * y)"
 
 
-@query("passk_curve", f"WITH {_DRAWS}, c AS (SELECT arm, pid, count(DISTINCT CASE WHEN solved THEN seed END) c FROM draws GROUP BY ALL), g AS (SELECT arm, c, k, count(*) n FROM c, unnest(range(1, 9)) t(k) GROUP BY ALL) SELECT arm, CAST(k AS INT) k, round(sum(({_PASS}) * n) / sum(n), 6) coverage FROM g GROUP BY arm, k")
+@query("passk_curve", f"WITH {_DRAWS}, c AS (SELECT benchmark, arm, pid, count(DISTINCT CASE WHEN solved THEN seed END) c FROM draws GROUP BY ALL), g AS (SELECT arm, c, k, count(*) n FROM c, unnest(range(1, 9)) t(k) GROUP BY ALL) SELECT arm, CAST(k AS INT) k, round(sum(({_PASS}) * n) / sum(n), 6) coverage FROM g GROUP BY arm, k")
 def passk_curve(spark, d):
     return runs.coverage(draws(spark, d), 8, "arm")
 
@@ -425,30 +390,30 @@ def ensemble_curve(spark, d):
     return runs.coverage(draws(spark, d).where(F.col("arm").isin("click", "view")), 8, "benchmark")
 
 
-@query("budget_matched", f"""WITH {_DRAWS}, c AS (SELECT arm, pid, count(DISTINCT CASE WHEN solved THEN seed END) c FROM draws WHERE arm IN ('click', 'view') GROUP BY ALL UNION ALL SELECT 'both', pid, count(DISTINCT CASE WHEN solved THEN seed END) FROM draws WHERE arm IN ('click', 'view') GROUP BY pid),
+@query("budget_matched", f"""WITH {_DRAWS}, c AS (SELECT benchmark, arm, pid, count(DISTINCT CASE WHEN solved THEN seed END) c FROM draws WHERE arm IN ('click', 'view') GROUP BY ALL UNION ALL SELECT benchmark, 'both', pid, count(DISTINCT CASE WHEN solved THEN seed END) FROM draws WHERE arm IN ('click', 'view') GROUP BY benchmark, pid),
 g AS (SELECT arm, c, CASE WHEN arm = 'both' THEN 4 ELSE 8 END k FROM c) SELECT arm, CAST(k AS INT) k, round(sum({_PASS}), 6) solved FROM g GROUP BY arm, k""")
 def budget_matched(spark, d):
     x = draws(spark, d).where(F.col("arm").isin("click", "view"))
     # One pass: each draw counts for its arm and for both.
-    both = x.withColumn("arm", F.explode(F.array("arm", F.lit("both")))).groupBy("arm", "pid").agg(F.countDistinct(F.when(F.col("solved"), F.col("seed"))).alias("c"))
+    both = x.withColumn("arm", F.explode(F.array("arm", F.lit("both")))).groupBy("benchmark", "arm", "pid").agg(F.countDistinct(F.when(F.col("solved"), F.col("seed"))).alias("c"))
     return both.withColumn("k", F.when(F.col("arm") == "both", 4).otherwise(8)).groupBy("arm", "k").agg(F.round(F.sum(stats.pass_at_k(F.lit(8), F.col("c"), F.col("k"))), 6).alias("solved"))
 
 
-@query("noise_floor", f"""WITH {_DRAWS}, p AS (SELECT x.arm, x.seed s, y.seed t, count(*) FILTER (WHERE x.solved <> y.solved) / count(*) r FROM draws x JOIN draws y ON x.arm = y.arm AND x.pid = y.pid AND x.seed < y.seed GROUP BY ALL)
+@query("noise_floor", f"""WITH {_DRAWS}, p AS (SELECT x.arm, x.seed s, y.seed t, count(*) FILTER (WHERE x.solved <> y.solved) / count(*) r FROM draws x JOIN draws y ON x.arm = y.arm AND x.benchmark = y.benchmark AND x.pid = y.pid AND x.seed < y.seed GROUP BY ALL)
 SELECT arm, count(*) n_pairs, round(min(r), 6) lo, round(avg(r), 6) mean, round(max(r), 6) hi FROM p GROUP BY arm""")
 def noise_floor(spark, d):
-    x = draws(spark, d).select("arm", "pid", "seed", "solved")
-    y = x.select("arm", "pid", F.col("seed").alias("t"), F.col("solved").alias("z"))
-    p = x.join(y, ["arm", "pid"]).where("seed < t").groupBy("arm", "seed", "t").agg((F.count_if(F.col("solved") != F.col("z")) / F.count("*")).alias("r"))
+    x = draws(spark, d).select("benchmark", "arm", "pid", "seed", "solved")
+    y = x.select("benchmark", "arm", "pid", F.col("seed").alias("t"), F.col("solved").alias("z"))
+    p = x.join(y, ["benchmark", "arm", "pid"]).where("seed < t").groupBy("arm", "seed", "t").agg((F.count_if(F.col("solved") != F.col("z")) / F.count("*")).alias("r"))
     return p.groupBy("arm").agg(F.count("*").alias("n_pairs"), F.round(F.min("r"), 6).alias("lo"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.max("r"), 6).alias("hi"))
 
 
-@query("seed_cross_pairs", f"WITH {_DRAWS} SELECT x.seed s, y.seed t, count(*) n, count(*) FILTER (WHERE x.solved AND NOT y.solved) only_x, count(*) FILTER (WHERE y.solved AND NOT x.solved) only_y FROM draws x JOIN draws y ON x.pid = y.pid WHERE x.arm = 'click' AND y.arm = 'view' GROUP BY ALL")
+@query("seed_cross_pairs", f"WITH {_DRAWS} SELECT x.seed s, y.seed t, count(*) n, count(*) FILTER (WHERE x.solved AND NOT y.solved) only_x, count(*) FILTER (WHERE y.solved AND NOT x.solved) only_y FROM draws x JOIN draws y ON x.pid = y.pid AND x.benchmark = y.benchmark WHERE x.arm = 'click' AND y.arm = 'view' GROUP BY ALL")
 def seed_cross_pairs(spark, d):
     x = draws(spark, d)
-    a = x.where("arm = 'click'").select("pid", F.col("seed").alias("s"), F.col("solved").alias("x"))
-    b = x.where("arm = 'view'").select("pid", F.col("seed").alias("t"), F.col("solved").alias("y"))
-    return a.join(b, "pid").groupBy("s", "t").agg(F.count("*").alias("n"), F.count_if(F.col("x") & ~F.col("y")).alias("only_x"), F.count_if(F.col("y") & ~F.col("x")).alias("only_y"))
+    a = x.where("arm = 'click'").select("benchmark", "pid", F.col("seed").alias("s"), F.col("solved").alias("x"))
+    b = x.where("arm = 'view'").select("benchmark", "pid", F.col("seed").alias("t"), F.col("solved").alias("y"))
+    return a.join(b, ["benchmark", "pid"]).groupBy("s", "t").agg(F.count("*").alias("n"), F.count_if(F.col("x") & ~F.col("y")).alias("only_x"), F.count_if(F.col("y") & ~F.col("x")).alias("only_y"))
 
 
 @query("spread", f"WITH {_DRAWS}, s AS (SELECT arm, seed, count(*) FILTER (WHERE solved) n FROM draws GROUP BY ALL) SELECT arm, round(avg(n), 6) mean, round(stddev_samp(n), 6) sd FROM s GROUP BY arm")
@@ -456,13 +421,6 @@ def spread(spark, d):
     return draws(spark, d).groupBy("arm", "seed").agg(F.count_if("solved").alias("n")).groupBy("arm").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("sd"))
 
 
-@query("distinctness", f"WITH {_DRAWS} SELECT x.arm a, y.arm b, count(*) n, round(avg(CASE WHEN x.seed = y.seed THEN 1.0 ELSE 0.0 END), 6) identical FROM draws x JOIN draws y ON x.pid = y.pid AND x.arm < y.arm WHERE x.solved AND y.solved GROUP BY ALL")
-def distinctness(spark, d):
-    x = draws(spark, d).where("solved").select("pid", "arm", "seed")
-    y = x.select("pid", F.col("arm").alias("b"), F.col("seed").alias("t"))
-    return x.join(y, "pid").where("arm < b").groupBy(F.col("arm").alias("a"), "b").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("seed") == F.col("t"), 1.0).otherwise(0.0)), 6).alias("identical"))
-
-
 @query("table1_pivot", f"WITH {_ARMS} SELECT benchmark, count(*) FILTER (WHERE solved AND arm = 'click') click, count(*) FILTER (WHERE solved AND arm = 'view') AS \"view\", count(DISTINCT CASE WHEN solved THEN pid END) any_arm FROM arms GROUP BY benchmark")
 def table1_pivot(spark, d):
     a = runs.by_arm(draws(spark, d))
@@ -476,16 +434,6 @@ def status_mix(spark, d):
     return g.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("arm")), 6))
 
 
-@query("loser_profile", "SELECT event_type status, count(*) n, median(value) FILTER (WHERE user_id % 3 = 0) med FROM events GROUP BY event_type")
-def loser_profile(spark, d):
-    return _t(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.median(F.when(F.col("user_id") % 3 == 0, F.col("value"))).alias("med"))
-
-
-@query("win_profile", r"SELECT head, count(*) n FROM (SELECT regexp_extract(text, '^\s*([A-Za-z_][A-Za-z0-9_'']*)', 1) head FROM conversations) GROUP BY head ORDER BY n DESC, head LIMIT 8")
-def win_profile(spark, d):
-    return _t(spark, d, "conversations").groupBy(text.head(F.col("text")).alias("head")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "head").limit(8)
-
-
 # --- exact tests and resampling ---------------------------------------------------------------------------------------
 _LC = "lgamma(CAST({0} AS DOUBLE) + 1) - lgamma(CAST({1} AS DOUBLE) + 1) - lgamma(CAST({0} - {1} AS DOUBLE) + 1)"
 
@@ -536,26 +484,6 @@ def permutation_md5(spark, d):
     return m.crossJoin(F.broadcast(o)).agg(F.round((F.count_if(F.abs("m") >= F.col("o") - 1e-12) + 1) / F.lit(_B + 1), 6).alias("p"))
 
 
-@query("permutation_numpy")
-def permutation_numpy(spark, d):
-    """The same test with a seeded generator's stream, on the counts of +1 and -1 (all that the statistic depends on): p, lo, hi of a bootstrap before it."""
-    import numpy as np
-    import pandas as pd
-
-    c = _diffs(spark, d).groupBy("x").count()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rng, n = np.random.default_rng(0), {float(x): int(k) for x, k in zip(rows["x"], rows["count"], strict=True)}
-        total, plus, minus = sum(n.values()), n.get(1.0, 0), n.get(-1.0, 0)
-        boot = rng.multinomial(total, [plus / total, minus / total, 1 - (plus + minus) / total], 10_000)
-        lo, hi = np.quantile((boot[:, 0] - boot[:, 1]) / total, [0.025, 0.975])
-        flips = 2 * rng.binomial(plus + minus, 0.5, 10_000) - (plus + minus)
-        p = ((np.abs(flips) >= abs(plus - minus)).sum() + 1) / 10_001
-        return pd.DataFrame({"p": [float(p)], "lo": [float(lo)], "hi": [float(hi)]})
-
-    return c.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "p double, lo double, hi double")
-
-
 @query("perm_two_sample_md5", f"""WITH v AS (SELECT doc_id, CAST(quality AS DOUBLE) x, toxic FROM labels), k AS (SELECT count(*) FILTER (WHERE toxic = 1) na, count(*) n, sum(x) s FROM v), o AS (SELECT abs(avg(x) FILTER (WHERE toxic = 1) - avg(x) FILTER (WHERE toxic = 0)) o FROM v),
 r AS (SELECT b, x, row_number() OVER (PARTITION BY b ORDER BY md5(b || '-' || doc_id), doc_id) r FROM v, unnest(range(0, {_B})) t(b)), m AS (SELECT b, sum(x) FILTER (WHERE r <= na) sa FROM r, k GROUP BY b)
 SELECT round((count(*) FILTER (WHERE abs(coalesce(sa, 0) / na - (s - coalesce(sa, 0)) / (n - na)) >= o - 1e-12) + 1) / ({_B} + 1), 6) p FROM m, k, o""")
@@ -576,13 +504,6 @@ def generation_budget(spark, d):
     return g.select("n_seeds", "n_arms", n.alias("generations"), F.round(n / 4194304, 6).alias("ratio"))
 
 
-@query("project_hours", "SELECT p_partkey, round((p_size * 0.1::DOUBLE * 2 + p_size * 0.05::DOUBLE * 2 * 2) * 1.06::DOUBLE * 1.25::DOUBLE, 6) AS \"hours\" FROM part")
-def project_hours(spark, d):
-    """Hours of retrieval and generation of a measured run, scaled to twice the expansions and twice the samples, with both surcharges."""
-    more, samples = 2, 2
-    return _t(spark, d, "part").select("p_partkey", F.round((F.col("p_size") * 0.1 * more + F.col("p_size") * 0.05 * more * samples) * 1.06 * 1.25, 6).alias("hours"))
-
-
 # --- search and streams -----------------------------------------------------------------------------------------------
 
 

@@ -22,6 +22,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     from .plans import queries as _  # noqa: F401
+    from .plans import run_queries as _  # noqa: F401, F811
 
 
 def queries() -> dict:

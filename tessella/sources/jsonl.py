@@ -38,7 +38,7 @@ def quarantine(spark: SparkSession, path: str, schema: str, good_path: str, bad_
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row per file: name and text."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
