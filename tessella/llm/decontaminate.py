@@ -78,20 +78,21 @@ class _Segment:
     def list_of(self, slot: int) -> np.ndarray:
         return self.places[self.term_first[slot]:self.term_first[slot + 1]].astype(np.int64)
 
-    def phrase(self, slots: np.ndarray, offsets: np.ndarray, slack: int = 0) -> np.ndarray:
-        """Places where a phrase begins; with slack, each term may stand that far from its place (a proximity match)."""
+    def phrase(self, slots: np.ndarray, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a phrase begins, and the documents; with slack, each term may stand so far from its place (a proximity match), in the same document."""
         size = self.term_first[slots + 1] - self.term_first[slots]
-        found = None
-        for j in np.argsort(size, kind="stable"):
-            at = self.list_of(slots[j]) - offsets[j]
-            if found is None:
-                found = at
-            else:
-                lo, hi = np.searchsorted(at, found - slack), np.searchsorted(at, found + slack, "right")
-                found = found[hi > lo]
-            if not len(found):
+        order = np.argsort(size, kind="stable")
+        at = self.list_of(slots[order[0]])
+        doc = np.searchsorted(self.first, at, "right") - 1
+        begin = at - order[0]
+        for j in order[1:]:
+            places = self.list_of(slots[j])
+            low, high = np.maximum(begin + j - slack, self.first[doc]), np.minimum(begin + j + slack, self.first[doc + 1] - 1)
+            ok = np.searchsorted(places, high, "right") > np.searchsorted(places, low)
+            begin, doc = begin[ok], doc[ok]
+            if not len(begin):
                 break
-        return found
+        return begin, doc
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -133,19 +134,16 @@ def _searcher(items: Items, slack: int):
             seg = _Segment(row)
             slots = seg.slots(items.low, items.high)[items.term]
             missing = np.concatenate([[0], np.cumsum(slots < 0)])
-            starts, which = [], []
+            starts, docs, which = [], [], []
             for i in np.flatnonzero(missing[items.at + items.size] == missing[items.at]).tolist():
-                k = int(items.size[i])
-                at = seg.phrase(slots[items.at[i]:items.at[i] + k], np.arange(k), slack)
+                at, doc = seg.phrase(slots[items.at[i]:items.at[i] + items.size[i]], slack)
                 if len(at):
-                    at = at[at >= 0]
-                    doc = np.searchsorted(seg.first, at, "right") - 1
-                    starts.append(at[at + k <= seg.first[np.minimum(doc + 1, len(seg.first) - 1)]])
-                    which.append(np.full(len(starts[-1]), i))
-            if not starts or not sum(map(len, starts)):
+                    starts.append(at)
+                    docs.append(doc)
+                    which.append(np.full(len(at), i))
+            if not starts:
                 continue
-            s, which = np.concatenate(starts), np.concatenate(which)
-            doc = np.searchsorted(seg.first, s, "right") - 1
+            s, doc, which = np.concatenate(starts), np.concatenate(docs), np.concatenate(which)
             order = np.argsort(doc, kind="stable")
             s, which, doc = s[order], which[order], doc[order]
             b = bounds(doc)

@@ -250,12 +250,13 @@ def _tree(window: int, bits: int):
         x, data = joined(table, _LEAF), texts_of(table)
         off = np.concatenate([[0], np.cumsum(x["size"].astype(np.int64))])
         doc, place = repeated_windows(x, words_of(data, off, EXACT), window)
+        # In order of document and place, each once: what follows one another is a range.
         order = np.lexsort((place, doc))
+        order = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)])] if len(order) else order
         doc, place = doc[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (np.diff(place) > 1)])) if len(doc) else np.empty(0, np.int64)
         r = np.zeros(len(first), _RANGE)
-        last = np.append(first[1:], len(doc)) - 1
-        r["at"], r["n"] = place[first], place[last] - place[first] + 1
+        r["at"], r["n"] = place[first], np.diff(np.append(first, len(doc)))
         return _answers(doc[first], r, bits)
 
     return run
