@@ -201,12 +201,19 @@ def _suffixes(window: int, anchor: int, hot: np.ndarray):
     return run
 
 
-def _sorted_depths(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of ``rows`` (words of suffixes, -1 beyond their ends) and the common prefix of each with the one before it."""
-    order = np.lexsort(rows.T[::-1])
+def _sorted_depths(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``rows`` (words of suffixes as numbers of ``bits`` bits, 0 beyond their ends) and the common prefix of each with the one before it. As many words as fit make one sort key."""
+    per = max(1, 63 // bits)
+    keys = []
+    for at in range(0, rows.shape[1], per):
+        key = np.zeros(len(rows), np.int64)
+        for j in range(at, min(at + per, rows.shape[1])):
+            key = (key << bits) | rows[:, j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
     x = rows[order]
     same = np.concatenate([np.zeros((1, rows.shape[1]), bool), x[1:] == x[:-1]])
-    return order, np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    return order, np.where(same.all(axis=1), rows.shape[1], np.argmin(same, axis=1))
 
 
 def _nodes(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
@@ -218,24 +225,35 @@ def _nodes(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
 
 def repeated_windows(x: np.ndarray, w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents and places of the windows of a group's suffixes that repeat an earlier window."""
-    _, word = np.unique(np.rec.fromarrays([w.high, w.low]), return_inverse=True)
-    word = np.append(word.reshape(-1), -1).astype(np.int32)
+    order = np.lexsort((w.high, w.low))
+    new = np.concatenate([[True], (w.low[order][1:] != w.low[order][:-1]) | (w.high[order][1:] != w.high[order][:-1])]) if len(order) else np.empty(0, bool)
+    word = np.zeros(len(order) + 1, np.int32)
+    word[order] = np.cumsum(new)
+    bits = int(new.sum()).bit_length()
     n, left, first = x["n"].astype(np.int64), x["left"].astype(np.int64), w.first[:-1]
     at = first + left
     step = np.arange(window)
-    right = np.where(step < (w.first[1:] - at)[:, None], word[np.minimum(at[:, None] + step, len(word) - 1)], -1)
-    back = np.where(step < left[:, None], word[np.maximum(at[:, None] - 1 - step, 0)], -1)
-    to_right, to_left = _sorted_depths(right), _sorted_depths(back[:, : max(1, int(left.max(initial=0)))])
+    right = np.where(step < (w.first[1:] - at)[:, None], word[np.minimum(at[:, None] + step, len(word) - 1)], 0)
+    back = np.where(step < left[:, None], word[np.maximum(at[:, None] - 1 - step, 0)], 0)
+    to_right, to_left = _sorted_depths(right, bits), _sorted_depths(back[:, : max(1, int(left.max(initial=0)))], bits)
     doc, place = [], []
     for d in range(int(left.max(initial=0)) + 1):
         has = np.flatnonzero((d <= left) & (left - d < n))
         if len(has) < 2:
             continue
-        node, before = _nodes(*to_right, window - d)[has], _nodes(*to_left, d)[has]
+        node = _nodes(*to_right, window - d)[has] * (len(x) + 1) + _nodes(*to_left, d)[has]
+        # Leaves alone in their node have nothing to give.
+        order = np.argsort(node, kind="stable")
+        size = np.diff(bounds(node[order]))
+        has, node = has[order], node[order]
+        many = np.repeat(size > 1, size)
+        has, node = has[many], node[many]
+        if not len(has):
+            continue
         own, begin = x["doc"][has], x["at"][has] + left[has] - d
-        order = np.lexsort((begin, own, before, node))
-        node, before, own, begin = node[order], before[order], own[order], begin[order]
-        again = (node[1:] == node[:-1]) & (before[1:] == before[:-1])
+        order = np.lexsort((begin, own, node))
+        node, own, begin = node[order], own[order], begin[order]
+        again = node[1:] == node[:-1]
         # Rows that repeat a document stand in one place: the first of a run of equal places decides for all of them.
         repeat = (own[1:] == own[:-1]) & (begin[1:] == begin[:-1])
         fresh = np.flatnonzero(np.concatenate([[True], ~(again & repeat)]))
