@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _WHITE_ASCII, STRETCH, Vocabulary, default_vocabulary
+from .bpe import _WHITE_ASCII, STRETCH, Vocabulary, default_vocabulary, vocabulary
 from .exchange import slices
 from .shared import documents, scratch_path, stored
 from .words import texts
@@ -93,13 +93,13 @@ class _Encoder(Vocabulary):
 _made: dict[str, _Encoder] = {}
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, library: bool = True):
     """Ids of texts in the order of a partition, with the number and the begin of each in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _made:
+        if library and path not in _made:
             _made[path] = _Encoder(path)
-        encoder = _made[path]
+        encoder = _made[path] if library else vocabulary(path)
         last = np.array([end], np.uint32)
         row = begin = 0
 
@@ -156,18 +156,19 @@ def _writer(rank: np.ndarray):
     return run
 
 
-def write_ids(df: DataFrame, path: str, vocab: str | None = None, key: str = "doc_id", text: str = "text", end: int = 0) -> None:
+def write_ids(df: DataFrame, path: str, vocab: str | None = None, key: str = "doc_id", text: str = "text", end: int = 0, library: bool = True) -> None:
     """The ids of all texts, ``end`` after each, into two tables under ``path``: ``ids`` (rows as in ``ROW``, in folders ``part=``, in ascending key order by part and row) and ``ranks`` (id of each rank, one row).
 
     Null and empty texts have the end id alone. Null keys come first, repeated rows follow one another. No rows: no
     files of ids. The most frequent id has rank 0, ties go to the smaller id; the table of ranks is as large as the
-    vocabulary, the only thing that each task gets whole. Other columns are not read.
+    vocabulary, the only thing that each task gets whole. Other columns are not read. Without ``library`` the transducer
+    of ``bpe`` gives the ids, the same ones for less time.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("doc_id"), F.xxhash64("t")).sortWithinPartitions("doc_id", "t").select(F.spark_partition_id().alias("part"), "doc_id", "t")
-    ids = stored(ordered.mapInArrow(_encode(vocab or default_vocabulary(), end), _IDS), "ids")
+    ids = stored(ordered.mapInArrow(_encode(vocab or default_vocabulary(), end, library), _IDS), "ids")
     found = ids.select("n_tokens", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = [r["id"] for r in sorted(found, key=lambda r: (-r["n"], r["id"]))]
     rank = np.zeros(max(by_rank, default=0) + 1, np.uint32)

@@ -138,10 +138,11 @@ def test_transducer_in_blocks(monkeypatch, stretch):
         assert r["ids"] == lib.encode(t or "", add_special_tokens=False).ids and r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
-def test_vbyte_files_are_in_order(spark):
+@pytest.mark.parametrize("library", [True, False])
+def test_vbyte_files_are_in_order(spark, library):
     rows = [(i * 7 % 101, prose(rng.randint(0, 30))) for i in range(101)] + [(5, "again"), (None, "no key"), (200, None)]
     path = scratch_path(spark, "order")
-    vbyte.write_ids(frame(spark, rows, 7), path)
+    vbyte.write_ids(frame(spark, rows, 7), path, library=library)
     got = vbyte.read_ids(spark, path, with_ids=True).orderBy("start").collect()
     keys = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert keys == sorted(keys) and len(got) == len(rows)
