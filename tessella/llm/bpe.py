@@ -27,7 +27,7 @@ from .words import bounds, hashed, identities, spans, texts
 #: Most distinct chunks that a Python worker remembers.
 REMEMBERED = 1_000_000
 #: Bytes of text that are encoded at once.
-STRETCH = 1 << 22
+STRETCH = 1 << 21
 #: Fixed value: the public byte-level pattern that splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(PATTERN)

@@ -39,7 +39,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = texts(batch.column(1))
         ids = batch.column(0).cast(pa.int64())
         for lo, hi in spans(off):
-            w = words_of(data, off[lo:hi + 1], LETTERS)
+            w = words_of(data, off[lo:hi + 1], LETTERS, identity=True)
             order, at = _terms(w)
             own = ids.slice(lo, hi - lo)
             one = lambda x: packed(x, np.array([0, len(x)]))
@@ -117,7 +117,7 @@ class Items:
 
 def windows_of(items: list[tuple[str, str | None]], n: int = WINDOW) -> Items:
     """All windows of all items; a window that repeats within its item counts once, by its words."""
-    w = words_of(*texts(pa.array([t for _, t in items], pa.string())), LETTERS)
+    w = words_of(*texts(pa.array([t for _, t in items], pa.string())), LETTERS, identity=True)
     order, first = _terms(w)
     term = np.empty(len(order), np.int32)
     term[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))

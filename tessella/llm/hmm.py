@@ -67,7 +67,7 @@ _ADDED = np.dtype([("doc", "<i8"), ("base", "<f8"), ("model", "<f8"), ("known",
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = texts(batch.column(0))
-        for lo, hi in spans(off, 1 << 24):
+        for lo, hi in spans(off, 1 << 23):
             u, n = np.unique(words_of(data, off[lo:hi + 1], LOWER).hash, return_counts=True)
             if len(u):
                 r = np.zeros(len(u), _WORD)

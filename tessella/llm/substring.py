@@ -162,7 +162,7 @@ def _suffixes(window: int, anchor: int, hot: np.ndarray):
                 known = np.sort(np.frombuffer(told[told_off[lo]:told_off[hi]].tobytes(), _KEY))
                 if not len(known):
                     continue
-                w = words_of(data, off[lo:hi + 1], EXACT)
+                w = words_of(data, off[lo:hi + 1], EXACT, identity=True)
                 begin, least, place = _windows(w, window, anchor)
                 ok = known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least
                 begin, least, place = begin[ok], least[ok], place[ok]
@@ -267,7 +267,7 @@ def _tree(window: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         x, data = joined(table, _LEAF), texts_of(table)
         off = np.concatenate([[0], np.cumsum(x["size"].astype(np.int64))])
-        doc, place = repeated_windows(x, words_of(data, off, EXACT), window)
+        doc, place = repeated_windows(x, words_of(data, off, EXACT, identity=True), window)
         # In order of document and place, each once: what follows one another is a range.
         order = np.lexsort((place, doc))
         order = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)])] if len(order) else order

@@ -118,7 +118,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = texts(batch.column(0))
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for lo, hi in spans(off, 1 << 24):
+        for lo, hi in spans(off, 1 << 22):
             w = words_of(data, off[lo:hi + 1], LETTERS, HEAD)
             h, d = np.concatenate([w.hash, w.head]), np.tile(w.doc(), 2)
             order = np.lexsort((h, d))

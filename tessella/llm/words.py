@@ -58,11 +58,11 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    #: Both halves of each word's identity.
-    low: np.ndarray
-    high: np.ndarray
     #: Hash of each word's first bytes, if asked for.
     head: np.ndarray | None = None
+    #: Both halves of each word's identity, if asked for.
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -95,8 +95,8 @@ def hashed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return mix(mix(low + U(0x9E3779B97F4A7C15)) ^ (high * U(0xD6E8FEB86659FD93)))
 
 
-def _block(b: np.ndarray, cuts: np.ndarray, table, head: int) -> tuple[np.ndarray, ...]:
-    """Starts, ends, identities and hashes of the heads of the words of ``b``; no word goes across an offset in ``cuts``."""
+def _block(b: np.ndarray, cuts: np.ndarray, table, head: int, identity: bool) -> tuple[np.ndarray, ...]:
+    """Starts, ends, hashes, hashes of the heads and identities of the words of ``b``; no word goes across an offset in ``cuts``."""
     word, code = table
     mask = word[b]
     st, en = mask.copy(), mask.copy()
@@ -107,18 +107,18 @@ def _block(b: np.ndarray, cuts: np.ndarray, table, head: int) -> tuple[np.ndarra
     en[cuts - 1] = mask[cuts - 1]
     start, end = np.flatnonzero(st), np.flatnonzero(en) + 1
     if not len(start):
-        return start, end, np.empty(0, U), np.empty(0, U), np.empty(0, U)
+        return start, end, *[np.empty(0, U)] * 4
     low, high = identities(code[b], start, end - start)
     heads = np.empty(0, U)
     if head:
         n = np.minimum(end - start, head)
         first = identities(code[b], start, n) if head > 8 else (np.ndarray(len(b), "<u8", np.concatenate([code[b], np.zeros(8, np.uint8)]), 0, (1,))[start] & _MASK[n], n.astype(U))
         heads = mix(hashed(*first) ^ U(0xA5A5A5A5A5A5A5A5))
-    return start, end, low, high, heads
+    return start, end, hashed(low, high), heads, *((low, high) if identity else [np.empty(0, U)] * 2)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, table, head: int = 0) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8 bytes); with ``head``, their first so many bytes hashed too."""
+def words_of(data: np.ndarray, offsets: np.ndarray, table, head: int = 0, identity: bool = False) -> Words:
+    """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8 bytes); with ``head``, their first so many bytes hashed too; with ``identity``, their identities as well."""
     word = table[0]
     at, stop_at = int(offsets[0]), int(offsets[-1])
     parts = []
@@ -138,15 +138,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table, head: int = 0) -> Wor
                 nxt = offsets[np.searchsorted(offsets, at, "right")]
                 to = min(to, int(nxt)) if nxt > at else to
         lo, hi = np.searchsorted(offsets, at, "left"), np.searchsorted(offsets, to, "right")
-        s, e, *rest = _block(data[at:to], np.asarray(offsets[lo:hi]) - at, table, head)
+        s, e, *rest = _block(data[at:to], np.asarray(offsets[lo:hi]) - at, table, head, identity)
         parts.append((s + at, e + at, *rest))
         at = to
     if not parts:
-        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), *[np.empty(0, U)] * 3)]
-    start, end, low, high, heads = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), *[np.empty(0, U)] * 4)]
+    start, end, h, heads, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     first = np.searchsorted(start, offsets, "left")
     base = np.repeat(offsets[:-1], np.diff(first))
-    return Words(hashed(low, high), start - base, end - base, first, low, high, heads if head else None)
+    return Words(h, start - base, end - base, first, heads if head else None, *((low, high) if identity else ()))
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
