@@ -252,8 +252,8 @@ def score_texts(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     return rows.mapInArrow(_scored(model), f"_key {kind}, score double, predicted int, value double, best double, n_passages long, n_words long").withColumnRenamed("_key", key)
 
 
-def passages(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every significant passage: key, begin and end (bytes of the text), passage, score, e_value."""
+def passages(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", e_value: float = E_VALUE) -> DataFrame:
+    """Every passage with ``e_value`` matches by chance at most: key, begin and end (bytes of the text), passage, score, e_value."""
     rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").cast("binary").alias("t"))
     kind = rows.schema["_key"].dataType.simpleString()
 
@@ -268,7 +268,7 @@ def passages(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                     a, b = int(w.first[i]), int(w.first[i + 1])
                     for x, y, v in segments(s[a:b]):
                         e = model.k * (b - a) * np.exp(-model.lam * v)
-                        if e <= E_VALUE:
+                        if e <= e_value:
                             p, q = int(w.start[a + x]), int(w.end[a + y - 1])
                             out.append((lo + i, p, q, data[off[lo + i] + p:off[lo + i] + q].tobytes().decode(), float(v), float(e)))
                 if out:
