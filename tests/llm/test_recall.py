@@ -37,5 +37,6 @@ def test_walk_meets_every_list_within_the_ratio(copies):
     c = ann.fit(x, 600, 1.0)
     for q in c.lifted(x[::200], True):
         d = np.sqrt(((c.at - q) ** 2).sum(axis=1))
-        at, _ = c.walk(q)
-        assert set(np.flatnonzero(d <= ann.RATIO * np.sort(d)[1]).tolist()) <= set(at.tolist())
+        for ratio in (1.05, 1.3, float("inf")):
+            at, _ = c.walk(q, ratio)
+            assert set(np.flatnonzero(d <= ratio * np.sort(d)[1]).tolist()) <= set(at.tolist())
