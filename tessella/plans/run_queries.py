@@ -332,6 +332,18 @@ def pooled_report(spark, d):
     return reports.tested(reports.differences(paired(spark, d)), _B)
 
 
+@query("stream_tests")
+def stream_tests(spark, d):
+    """lo, hi, p of 10,000 resamples and sign flips from one seeded generator over the differences in order of their problems; the number of problems bounds the row that holds them."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, p = reports.stream_tests(rows.sort_values(["benchmark", "pid"])["x"])
+        return pd.DataFrame({"lo": [lo], "hi": [hi], "p": [p]})
+
+    return reports.differences(paired(spark, d)).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "lo double, hi double, p double")
+
+
 @query("heterogeneous", f"WITH {_X}, g AS (SELECT benchmark, sum(x) d FROM v GROUP BY benchmark) SELECT count(DISTINCT CASE WHEN d <> 0 THEN sign(d) END) > 1 heterogeneous FROM g")
 def heterogeneous(spark, d):
     return reports.heterogeneous(reports.differences(paired(spark, d)).groupBy("benchmark").agg(F.sum("x").alias("delta")))
