@@ -7,8 +7,8 @@
    dropped; the others are confirmed on the full sets, and linked classes get one label.
 4. Buckets in which several labels are left are compared once more across labels; members of one label need no more
    pairs, as links within it can't change the groups. Small buckets give pairs that are confirmed like the stars. In
-   larger ones, blocks of members with their full sets meet each other, and only links that join two labels leave the
-   task: a spanning forest, not all pairs.
+   larger ones, blocks of members with their full sets meet each other (but for those of the bucket's largest label among
+   themselves), and only links that join two labels leave the task: a spanning forest, not all pairs.
 """
 
 from __future__ import annotations
@@ -260,9 +260,16 @@ def near_duplicates(df: DataFrame, num: int = 80, den: int = 100, size: int = SH
            .where(F.least("n_shingles", "b_n") * den >= F.greatest("n_shingles", "b_n") * num)
            .where(_estimate("sig", "b_sig") >= _floor(threshold)).select(F.col("id").alias("a"), "b").distinct())
     large = rest.where(F.col("n") > SMALL)
-    blocks = large.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    # The members of a bucket's largest label need not meet one another: their sets go out once for each block of the others,
+    # of which there are few, and only the others meet all blocks. Others have the blocks 0..ks-1, the largest label ks..ks+kb-1.
+    of_label = large.groupBy("band", "label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    many = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    blocks = (of_label.groupBy("band").agg(F.max(F.struct("m", "label", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+              .select("band", F.col("top.label").alias("largest"), many(F.col("top.m"), F.col("top.s")).alias("kb"), many(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("ks")))
     sets = stored(bodies.join(large.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "id long, shingles binary"), "sets")
-    dealt = (large.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1))))
+    inner = F.col("label") == F.col("largest")
+    dealt = (large.join(blocks, "band").withColumn("block", F.when(inner, F.col("ks") + F.pmod(F.xxhash64("id"), F.col("kb"))).otherwise(F.pmod(F.xxhash64("id"), F.col("ks"))))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inner, F.col("ks")).otherwise(F.col("ks") + F.col("kb")) - 1))))
     sides = dealt.select("band", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "id", "label", "sig",
                          F.explode(F.when(F.col("block") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("block") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))).alias("side"))
     forest = sides.join(sets, "id").groupBy("band", "b0", "b1").applyInArrow(_forest(num, den, _floor(threshold)), "a long, b long")
