@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import admissible, clean_step, identifiers, nonblank, prompt_block, strip
+from .text import CHEAT, admissible, clean_step, identifiers, nonblank, prompt_block, strip
 
 #: Chat formats as (what comes before the question, what comes after it).
 CHATS = {
@@ -74,9 +74,6 @@ def contains_cheat(text: Column) -> Column:
     return text.rlike(CHEAT)
 
 
-#: Fixed value: words that leave a proof open.
-CHEAT = r"(^|[^A-Za-z0-9_.])(sorry|admit|sorryAx)($|[^A-Za-z0-9_])"
-
 
 def names_premise(step: Column, closers: list[str], repertoire: Column) -> Column:
     """Whether a step of a fixed repertoire names a premise: it is none of the closers. Null for other policies, whose steps can't be told."""

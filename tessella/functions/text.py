@@ -26,6 +26,9 @@ AREAS = {
     "order / lattice": r"\b(Lattice|PartialOrder|sSup|sInf|Galois|OrderIso|IsGLB|IsLUB)\b",
     "set / logic": r"\b(Set\.|Finset|Function\.Injective|Function\.Surjective|Equiv|Cardinal)\b",
 }
+#: Words that leave a proof open, and a way to prove that isn't allowed.
+CHEAT = r"(^|[^A-Za-z0-9_.])(sorry|admit|sorryAx)($|[^A-Za-z0-9_])"
+NATIVE = r"(^|[^A-Za-z0-9_.'])native_decide($|[^A-Za-z0-9_'])"
 #: What models echo before an answer.
 ECHOES = ["Assistant:", "TACTIC:", "tactic:"]
 
@@ -62,8 +65,8 @@ def head(step: Column) -> Column:
 def admissible(tactic: Column, longest: int = 2000) -> Column:
     """Why a step is refused, the first reason that holds; null if none does. Null steps are empty."""
     return (F.when(tactic.isNull() | (strip(tactic) == ""), "empty").when(F.length(tactic) > longest, "too long")
-            .when(tactic.rlike(r"(^|[^A-Za-z0-9_.])(sorry|admit|sorryAx)($|[^A-Za-z0-9_])"), "unproved")
-            .when(tactic.rlike(r"(^|[^A-Za-z0-9_.'])native_decide($|[^A-Za-z0-9_'])"), "native").when(tactic.contains("apply?"), "search"))
+            .when(tactic.rlike(CHEAT), "unproved")
+            .when(tactic.rlike(NATIVE), "native").when(tactic.contains("apply?"), "search"))
 
 
 def area(statement: Column) -> Column:
@@ -79,7 +82,7 @@ def step_outcome(status: Column, goals: Column, messages: Column, severities: Co
     state, left = F.lower(strip(status)), F.size(goals) > 0
     open_ = state.startswith("incomplete") | state.contains("open goals")
     finished = state.startswith("completed") | (state == "done") | (state == "")
-    return (F.when(F.exists(severities, lambda x: x == "error"), "error").when(said.rlike(r"(^|[^A-Za-z0-9_.])(sorry|admit|sorryAx)($|[^A-Za-z0-9_])"), "error")
+    return (F.when(F.exists(severities, lambda x: x == "error"), "error").when(said.rlike(CHEAT), "error")
             .when(open_ & ~left, "error").when(open_ | left, "progress").when(finished, "proved").otherwise("progress"))
 
 
