@@ -74,7 +74,6 @@ def contains_cheat(text: Column) -> Column:
     return text.rlike(CHEAT)
 
 
-
 def names_premise(step: Column, closers: list[str], repertoire: Column) -> Column:
     """Whether a step of a fixed repertoire names a premise: it is none of the closers. Null for other policies, whose steps can't be told."""
     return F.when(repertoire, ~strip(step).isin(*closers))

@@ -44,6 +44,10 @@ def _counted(lowercase: bool):
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", lowercase: bool = False) -> DataFrame:
     """key, len, terms, tfs of every document; null texts have no terms."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    # A few files of one row group each would be a few tasks: they are dealt out. Many files need no shuffle.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(docs.inputFiles()) < cores:
+        rows = rows.repartition(2 * cores)
     return rows.mapInArrow(_counted(lowercase), f"key {rows.schema['key'].dataType.simpleString()}, len long, terms array<string>, tfs array<int>")
 
 
