@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op6_posting_list_ann
 from .bpe import op2_bpe_streaming
 from .decontaminate import op9_positional_decontamination
+from .funnel import op11_forward_sweep_funnels
 from .hmm import op1_hmm_language_model
 from .neardup import op5_bbit_minhash
 from .sharding import op8_stratified_sharding
@@ -13,7 +14,7 @@ from .toxicity import op7_max_segment_toxicity
 from .vbyte import op3_vbyte_ids
 from .warc import op4_warc_chunks
 
-_ALL = [op1_hmm_language_model, op2_bpe_streaming, op3_vbyte_ids, op4_warc_chunks, op5_bbit_minhash, op6_posting_list_ann, op7_max_segment_toxicity, op8_stratified_sharding, op9_positional_decontamination, op10_suffix_tree_dedup]
+_ALL = [op1_hmm_language_model, op2_bpe_streaming, op3_vbyte_ids, op4_warc_chunks, op5_bbit_minhash, op6_posting_list_ann, op7_max_segment_toxicity, op8_stratified_sharding, op9_positional_decontamination, op10_suffix_tree_dedup, op11_forward_sweep_funnels]
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -54,6 +55,27 @@ j AS (SELECT doc_id, count(DISTINCT item) n_items, array_to_string(list_sort(lis
 SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated
 FROM d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN j ON j.doc_id = d.doc_id""",
+        "op11_forward_sweep_funnels": """
+WITH c AS (SELECT DISTINCT client_id, kind, ts FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL),
+f AS (SELECT * FROM (VALUES ('A', 'view', 'click', 'view', 'purchase', 'error'), ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')) v(funnel, k1, k2, k3, k4, ex)),
+a1 AS (SELECT funnel, client_id, ts x1, k2, k3, k4, ex FROM f JOIN c ON c.kind = f.k1),
+a2 AS (SELECT a1.funnel, a1.client_id, a1.x1, min(c.ts) x2 FROM a1 JOIN c ON c.client_id = a1.client_id AND c.kind = a1.k2 AND c.ts > a1.x1 AND c.ts <= a1.x1 + INTERVAL 60 MINUTE GROUP BY ALL),
+b2 AS (SELECT DISTINCT a2.*, k3, k4, ex FROM a2 JOIN f ON f.funnel = a2.funnel),
+g2 AS (SELECT * FROM b2 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.client_id = b2.client_id AND c.kind = b2.ex AND c.ts > b2.x1 AND c.ts <= b2.x2)),
+a3 AS (SELECT g2.funnel, g2.client_id, g2.x1, g2.x2, min(c.ts) x3 FROM g2 JOIN c ON c.client_id = g2.client_id AND c.kind = g2.k3 AND c.ts > g2.x2 AND c.ts <= g2.x2 + INTERVAL 60 MINUTE GROUP BY ALL),
+b3 AS (SELECT a3.*, k4, ex FROM a3 JOIN f ON f.funnel = a3.funnel),
+g3 AS (SELECT * FROM b3 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.client_id = b3.client_id AND c.kind = b3.ex AND c.ts > b3.x2 AND c.ts <= b3.x3)),
+a4 AS (SELECT g3.funnel, g3.client_id, g3.x1, g3.x3, min(c.ts) x4 FROM g3 JOIN c ON c.client_id = g3.client_id AND c.kind = g3.k4 AND c.ts > g3.x3 AND c.ts <= g3.x3 + INTERVAL 60 MINUTE GROUP BY ALL),
+b4 AS (SELECT a4.*, ex FROM a4 JOIN f ON f.funnel = a4.funnel),
+g4 AS (SELECT * FROM b4 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.client_id = b4.client_id AND c.kind = b4.ex AND c.ts > b4.x3 AND c.ts <= b4.x4)),
+s AS (SELECT funnel, client_id, 2 step, epoch_us(x2) - epoch_us(x1) d FROM g2 UNION ALL SELECT funnel, client_id, 3, epoch_us(x3) - epoch_us(x2) FROM g3 UNION ALL SELECT funnel, client_id, 4, epoch_us(x4) - epoch_us(x3) FROM g4),
+r AS (SELECT funnel, client_id, step, d, row_number() OVER (PARTITION BY funnel, client_id, step ORDER BY d) p, count(*) OVER (PARTITION BY funnel, client_id, step) n FROM s),
+t AS (SELECT funnel, client_id, max(CASE WHEN step = 2 THEN n END) n2, max(CASE WHEN step = 3 THEN n END) n3, max(CASE WHEN step = 4 THEN n END) n4,
+  max(CASE WHEN step = 2 AND p = (90 * n + 99) // 100 THEN d END) t2, max(CASE WHEN step = 3 AND p = (90 * n + 99) // 100 THEN d END) t3, max(CASE WHEN step = 4 AND p = (90 * n + 99) // 100 THEN d END) t4 FROM r GROUP BY funnel, client_id),
+o AS (SELECT funnel, client_id, count(*) n1 FROM a1 GROUP BY funnel, client_id),
+q AS (SELECT o.funnel, o.client_id, n1, coalesce(n2, 0) n2, coalesce(n3, 0) n3, coalesce(n4, 0) n4, CAST(CASE WHEN n4 > 0 THEN 4 WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END AS INTEGER) deepest, t2, t3, t4
+  FROM o LEFT JOIN t ON t.funnel = o.funnel AND t.client_id = o.client_id)
+SELECT funnel, client_id, CAST(n1 AS BIGINT) n1, CAST(n2 AS BIGINT) n2, CAST(n3 AS BIGINT) n3, CAST(n4 AS BIGINT) n4, deepest, t2, t3, t4, count(*) OVER (PARTITION BY funnel, deepest) same_depth FROM q""",
         "op10_suffix_tree_dedup": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w FROM documents),
 p AS (SELECT doc_id, s, hash(array_to_string(w[s:s + 19], ' ')) a, md5_number(array_to_string(w[s:s + 19], ' ')) b FROM d, unnest(range(1, CAST(greatest(len(w) - 18, 1) AS BIGINT))) t(s)),
