@@ -9,12 +9,13 @@ from .funnel import op11_forward_sweep_funnels
 from .hmm import op1_hmm_language_model
 from .neardup import op5_bbit_minhash
 from .sharding import op8_stratified_sharding
+from .simhash import op12_vantage_point_simhash
 from .substring import op10_suffix_tree_dedup
 from .toxicity import op7_max_segment_toxicity
 from .vbyte import op3_vbyte_ids
 from .warc import op4_warc_chunks
 
-_ALL = [op1_hmm_language_model, op2_bpe_streaming, op3_vbyte_ids, op4_warc_chunks, op5_bbit_minhash, op6_posting_list_ann, op7_max_segment_toxicity, op8_stratified_sharding, op9_positional_decontamination, op10_suffix_tree_dedup, op11_forward_sweep_funnels]
+_ALL = [op1_hmm_language_model, op2_bpe_streaming, op3_vbyte_ids, op4_warc_chunks, op5_bbit_minhash, op6_posting_list_ann, op7_max_segment_toxicity, op8_stratified_sharding, op9_positional_decontamination, op10_suffix_tree_dedup, op11_forward_sweep_funnels, op12_vantage_point_simhash]
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
