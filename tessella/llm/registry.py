@@ -7,6 +7,7 @@ from .bpe import op2_bpe_streaming
 from .decontaminate import op9_positional_decontamination
 from .funnel import op11_forward_sweep_funnels
 from .hmm import op1_hmm_language_model
+from .lexical import op13_max_tree_search
 from .neardup import op5_bbit_minhash
 from .sharding import op8_stratified_sharding
 from .simhash import op12_vantage_point_simhash
@@ -15,7 +16,8 @@ from .toxicity import op7_max_segment_toxicity
 from .vbyte import op3_vbyte_ids
 from .warc import op4_warc_chunks
 
-_ALL = [op1_hmm_language_model, op2_bpe_streaming, op3_vbyte_ids, op4_warc_chunks, op5_bbit_minhash, op6_posting_list_ann, op7_max_segment_toxicity, op8_stratified_sharding, op9_positional_decontamination, op10_suffix_tree_dedup, op11_forward_sweep_funnels, op12_vantage_point_simhash]
+_ALL = [op1_hmm_language_model, op2_bpe_streaming, op3_vbyte_ids, op4_warc_chunks, op5_bbit_minhash, op6_posting_list_ann, op7_max_segment_toxicity, op8_stratified_sharding, op9_positional_decontamination, op10_suffix_tree_dedup, op11_forward_sweep_funnels, op12_vantage_point_simhash, op13_max_tree_search]
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -77,6 +79,16 @@ o AS (SELECT funnel, client_id, count(*) n1 FROM a1 GROUP BY funnel, client_id),
 q AS (SELECT o.funnel, o.client_id, n1, coalesce(n2, 0) n2, coalesce(n3, 0) n3, coalesce(n4, 0) n4, CAST(CASE WHEN n4 > 0 THEN 4 WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END AS INTEGER) deepest, t2, t3, t4
   FROM o LEFT JOIN t ON t.funnel = o.funnel AND t.client_id = o.client_id)
 SELECT funnel, client_id, CAST(n1 AS BIGINT) n1, CAST(n2 AS BIGINT) n2, CAST(n3 AS BIGINT) n3, CAST(n4 AS BIGINT) n4, deepest, t2, t3, t4, count(*) OVER (PARTITION BY funnel, deepest) same_depth FROM q""",
+        "op13_max_tree_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') w FROM documents),
+g AS (SELECT count(*) n, CAST(sum(len(w)) AS BIGINT) l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, x, count(*) r FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) x FROM benchmark) GROUP BY item_id, x),
+p AS (SELECT doc_id, n, x, count(*) tf FROM (SELECT doc_id, len(w) n, unnest(w) x FROM d) WHERE x IN (SELECT x FROM q) GROUP BY doc_id, n, x),
+f AS (SELECT x, CAST(floor(1000 * ln((2 * g.n + 2) / (2 * count(*) + 1))) AS BIGINT) weight FROM p, g GROUP BY x, g.n),
+s AS (SELECT q.item_id, p.doc_id, CAST(sum(q.r * f.weight * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * g.n) // g.l)))) AS BIGINT) score
+  FROM q JOIN p ON p.x = q.x JOIN f ON f.x = q.x, g GROUP BY q.item_id, p.doc_id),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) "rank" FROM s WHERE score > 0)
+SELECT item_id, "rank", doc_id, score FROM r WHERE "rank" <= 20""",
         "op10_suffix_tree_dedup": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w FROM documents),
 p AS (SELECT doc_id, s, hash(array_to_string(w[s:s + 19], ' ')) a, md5_number(array_to_string(w[s:s + 19], ' ')) b FROM d, unnest(range(1, CAST(greatest(len(w) - 18, 1) AS BIGINT))) t(s)),
