@@ -106,13 +106,18 @@ def clean_step(step: Column) -> Column:
     return out
 
 
+#: A line that begins a declaration, behind white space, one attribute and modifiers; and one that imports.
+DECLARATION = r"(?m)^\s*(?:@\[[^\]]*\]\s*)?(?:(?:private|protected|noncomputable|nonrec)\s+)*(?:theorem|lemma|example|def|instance|abbrev)\b"
+IMPORT = r"(?m)^\s*import\s+\S+"
+
+
 def declaration_parts(text: Column) -> Column:
-    """imports, preamble and declaration of a problem file; declaration is null if there is none."""
-    decl = r"(?ms)^((?:@\[[^\]]*\]\s*)*(?:(?:private|protected|noncomputable|nonrec)\s+)*(?:theorem|lemma|example|def|abbrev|instance)\b.*)"
-    d = F.regexp_extract(text, decl, 1)
-    imports = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(import\s+\S+)"), F.lit(1))
-    before = F.when(d != "", F.substr(text, F.lit(1), F.length(text) - F.length(d))).otherwise(text)
-    return F.struct(imports.alias("imports"), strip(F.regexp_replace(before, r"(?m)^\s*import\s+\S+[^\n]*\n?", "")).alias("preamble"), F.when(d != "", strip(d)).alias("declaration"))
+    """imports, preamble and declaration of a problem file: from the first line that begins a declaration on, imports aside. Declaration is null if there is none."""
+    rest = F.regexp_replace(text, IMPORT, "")
+    d = F.regexp_extract(rest, rf"(?s)({DECLARATION}.*)", 1)
+    before = F.when(d != "", F.substr(rest, F.lit(1), F.length(rest) - F.length(d))).otherwise(rest)
+    imports = F.transform(F.regexp_extract_all(text, F.lit(f"({IMPORT})"), F.lit(1)), strip)
+    return F.struct(imports.alias("imports"), strip(before).alias("preamble"), F.when(d != "", strip(d)).alias("declaration"))
 
 
 def prompt_block(premises: Column, limit: int = 6) -> Column:

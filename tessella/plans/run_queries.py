@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts, stats, text
 from ..operators import guards, reports, retrieval, runs
 from ..registry import query
-from ..sources import corpora, rundirs
+from ..sources import corpora, rundirs, scratch
 from .queries import IDENT, _li, _t
 
 # --- tables -----------------------------------------------------------------------------------------------------------
@@ -64,9 +64,19 @@ def filter_prop(spark, d):
     return c.groupBy("kind").agg(F.count("*").alias("n")).join(props, "kind", "left").fillna(0, ["n_props"])
 
 
-@query("extract_filter", "SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, '(^_|\\.rec$|\\.match_\\d+|\\._|\\.proof_\\d+)') AND p_type NOT IN ('rec', 'quot')")
+_MADE = "['" + "', '".join(corpora.GENERATED) + "']"
+
+
+@query("extract_filter", f"""
+WITH n AS (SELECT p_partkey, replace(p_name, ' ', '.') || CASE p_partkey % 9 WHEN 0 THEN '.rec' WHEN 1 THEN '.eq_' || p_size WHEN 2 THEN '.record' WHEN 3 THEN '._x' WHEN 4 THEN '.match_1foo' WHEN 5 THEN '.3' ELSE '' END AS name,
+  CASE WHEN p_size % 10 = 0 THEN 'rec' ELSE 'theorem' END kind FROM part)
+SELECT p_partkey, name FROM n
+WHERE len(list_filter(string_split(name, '.'), lambda c: list_contains({_MADE}, c) OR regexp_full_match(c, '_.*|(eq_|proof_|match_)?[0-9]+'))) = 0 AND kind <> 'rec'""")
 def extract_filter(spark, d):
-    return corpora.written_names(_t(spark, d, "part"), "p_name", "p_type").select("p_partkey", "p_name")
+    k = F.col("p_partkey") % 9
+    ending = F.when(k == 0, ".rec").when(k == 1, F.concat(F.lit(".eq_"), F.col("p_size").cast("string"))).when(k == 2, ".record").when(k == 3, "._x").when(k == 4, ".match_1foo").when(k == 5, ".3").otherwise("")
+    n = _t(spark, d, "part").select("p_partkey", F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")), ending).alias("name"), F.when(F.col("p_size") % 10 == 0, "rec").otherwise("theorem").alias("kind"))
+    return corpora.written_names(n).select("p_partkey", "name")
 
 
 _G = "g AS (SELECT conv_id doc_id, max_by(trim(text), turn) gloss FROM conversations WHERE trim(text) <> '' GROUP BY conv_id)"
@@ -106,14 +116,12 @@ def corpus_agreement(spark, d):
 
 
 # --- runs -------------------------------------------------------------------------------------------------------------
-@query("json_config_match", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) k FROM events WHERE json_extract_string(props, '$.k') = CAST(user_id % 8 AS VARCHAR)")
+@query("json_config_match", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) k FROM events
+WHERE CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'None' ELSE json_extract_string(props, '$.k') END = CAST(user_id % 8 AS VARCHAR)""")
 def json_config_match(spark, d):
-    """Every value that the key may have is a specification of its own."""
-    out = None
-    for v in range(8):
-        one = _t(spark, d, "events").where((F.col("user_id") % 8 == v) & rundirs.matches(F.col("props"), [f"k={v}"], "$."))
-        out = one if out is None else out.unionByName(one)
-    return out.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k = rundirs.config_text(F.col("props"), "$.k")
+    return _t(spark, d, "events").where(k == (F.col("user_id") % 8).cast("string")).select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 _LABEL = "arm || CASE WHEN k % 2 = 0 THEN '@' || CASE WHEN k % 4 = 0 THEN '50k' ELSE CAST(k AS VARCHAR) END ELSE '' END"
@@ -135,35 +143,75 @@ def seeds_of(spark, d):
     return attempts(spark, d).groupBy("arm").agg(F.array_sort(F.collect_set("seed")).alias("seeds"))
 
 
-@query("failed_verification", f"WITH {_A} SELECT DISTINCT benchmark, pid FROM a JOIN labels ON doc_id = pid WHERE toxic = 1")
+#: Runs of the events: a benchmark, an arm and a seed; those of two seeds in three have a budget of candidates.
+_RUN = "'b' || benchmark || '-' || arm || '-s' || seed"
+_BUDGET = "CASE WHEN seed % 3 > 0 THEN '@' || (seed % 3) || 'k' ELSE '' END"
+
+
+def run_folders(spark: SparkSession, d: str) -> str:
+    """Writes the events as run folders, with the attempts in order of the events, a manifest and a verification report for each run; returns where."""
+    root = scratch.path_for(spark, "runs")
+    a = attempts(spark, d).withColumn("run", F.concat(F.lit("b"), "benchmark", F.lit("-"), "arm", F.lit("-s"), "seed"))
+    line = F.struct(F.col("pid").cast("string").alias("problem_id"), "arm", "status", F.col("solved").alias("proved"), "proof", "n_expansions", F.col("value").alias("elapsed_s"), "limit_hit")
+    rundirs.write_files(a.select("run", "event_id", F.to_json(line).alias("value")), root, "attempts.jsonl", "event_id")
+    each = a.groupBy("run", "benchmark", "arm", "seed").agg(F.count_if("solved").alias("n"), F.countDistinct("pid").cast("int").alias("n_problems"))
+    config = F.struct(F.col("benchmark").cast("string").alias("benchmark"), "arm", F.when(F.col("seed") % 3 > 0, F.col("seed") % 3 * 1000).alias("n_candidates"), F.when(F.col("seed") % 2 > 0, "llm").alias("policy_kind"), "n_problems")
+    manifest = F.struct(F.col("run").alias("run_id"), "seed", config.alias("config"), F.when(F.col("n") > 0, F.struct(F.col("n").alias("n_proved"))).alias("outcome"))
+    rundirs.write_files(each.select("run", F.to_json(manifest).alias("value")), root, "manifest.json")
+    toxic = _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("pid")).distinct()
+    bad = a.select("run", "pid").distinct().join(toxic, "pid").groupBy("run").agg(F.sort_array(F.collect_list(F.struct(F.col("pid").cast("string").alias("problem_id"), F.lit("refused").alias("reason")))).alias("failures"))
+    report = F.struct(F.lit(True).alias("complete"), F.size("failures").alias("n_failed"), "failures")
+    rundirs.write_files(bad.select("run", F.to_json(report).alias("value")), root, "verification.json")
+    return root
+
+
+_BAD = "f AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)"
+
+
+@query("failed_verification", f"WITH {_A}, {_BAD} SELECT DISTINCT {_RUN} run, CAST(pid AS VARCHAR) problem_id FROM a JOIN f ON doc_id = pid")
 def failed_verification(spark, d):
-    report = _t(spark, d, "labels").where("toxic = 1").groupBy("quality").agg(F.collect_list(F.struct(F.col("doc_id").alias("problem_id"))).alias("failures"))
-    bad = report.select(F.explode("failures").alias("f")).select(F.col("f.problem_id").alias("pid")).distinct()
-    return attempts(spark, d).select("benchmark", "pid").distinct().join(bad, "pid", "left_semi")
+    return rundirs.failed(spark, run_folders(spark, d))
 
 
-@query("load_arm", f"WITH {_A}, f AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), l AS (SELECT benchmark, arm, seed, pid, max_by(solved, event_id) solved FROM a GROUP BY ALL) SELECT benchmark, arm, seed, pid, solved AND f.doc_id IS NULL solved, solved AND f.doc_id IS NOT NULL discounted FROM l LEFT JOIN f ON f.doc_id = pid")
+@query("load_arm", f"""
+WITH {_A}, {_BAD},
+l AS (SELECT benchmark, arm, seed, pid, max_by(solved, event_id) solved, max_by(status, event_id) status FROM a GROUP BY ALL)
+SELECT CAST(benchmark AS VARCHAR) benchmark, arm || {_BUDGET} "label", CAST(seed AS INT) seed, CAST(pid AS VARCHAR) problem_id, solved AND doc_id IS NULL solved,
+  solved AND doc_id IS NOT NULL discounted, CASE WHEN doc_id IS NOT NULL THEN 'verify_failed' ELSE status END status, seed % 2 = 0 attributable
+FROM l LEFT JOIN f ON doc_id = pid""")
 def load_arm(spark, d):
-    last = runs.last_rows(attempts(spark, d).select("benchmark", "arm", "seed", "pid", "solved", F.col("event_id").alias("line_no")), "benchmark", "arm", "seed", "pid")
-    return runs.discounted(last, _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("pid")), "pid").select("benchmark", "arm", "seed", "pid", "solved", "discounted")
+    return rundirs.arm(spark, run_folders(spark, d)).select("benchmark", "label", "seed", "problem_id", "solved", "discounted", "status", "attributable")
 
 
-@query("load_draw", f"WITH {_D}, f AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) SELECT benchmark || '/' || pid pid, arm, seed, solved AND f.doc_id IS NULL solved, proof FROM dr LEFT JOIN f ON f.doc_id = pid")
+@query("load_draw", f"""
+WITH {_D}, {_BAD}
+SELECT benchmark || ':' || pid pid, arm || {_BUDGET} "label", CAST(seed AS INT) seed, solved AND doc_id IS NULL solved, proof FROM dr LEFT JOIN f ON doc_id = pid""")
 def load_draw(spark, d):
-    out = runs.discounted(draws(spark, d), _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("pid")), "pid")
-    return out.select(F.concat_ws("/", F.col("benchmark").cast("string"), F.col("pid").cast("string")).alias("pid"), "arm", "seed", "solved", "proof")
+    return rundirs.draw(spark, run_folders(spark, d)).select("pid", "label", "seed", "solved", "proof")
 
 
-@query("export_results", f"WITH {_A}, u AS (SELECT user_id FROM a GROUP BY user_id HAVING bool_or(solved)) SELECT event_id, user_id, arm, status, solved, n_expansions, limit_hit FROM a WHERE user_id IN (SELECT user_id FROM u)")
+@query("discover_runs", f"""
+WITH {_A}
+SELECT {_RUN} run, CAST(benchmark AS VARCHAR) benchmark, CASE WHEN seed % 2 > 0 THEN 'llm' ELSE 'repertoire' END policy, CAST(count(DISTINCT pid) AS INT) n_problems
+FROM a WHERE seed % 3 = 1 GROUP BY benchmark, arm, seed HAVING bool_or(solved)""")
+def discover_runs(spark, d):
+    return rundirs.discover(spark, run_folders(spark, d), specs=["n_candidates=1000"]).select("run", "benchmark", "policy", "n_problems")
+
+
+@query("export_results", f"""
+WITH {_A}, x AS (SELECT *, {_RUN} run FROM a)
+SELECT run, CAST(pid AS VARCHAR) problem_id, status, solved proved, n_expansions, limit_hit FROM x WHERE run IN (SELECT run FROM x GROUP BY run HAVING bool_or(solved))""")
 def export_results(spark, d):
-    a = attempts(spark, d)
-    done = a.groupBy("user_id").agg(F.bool_or("solved").alias("finished")).where("finished")
-    return a.join(done, "user_id", "left_semi").select("event_id", "user_id", "arm", "status", "solved", "n_expansions", "limit_hit")
+    out = scratch.path_for(spark, "export")
+    rundirs.export(spark, run_folders(spark, d), out)
+    return spark.read.schema(f"{rundirs.ATTEMPT}, run string").json(f"{out}/attempts").select("run", "problem_id", "status", "proved", "n_expansions", "limit_hit")
 
 
-@query("finalize_outcome", f"WITH {_A} SELECT arm, count(*) n_attempted, count(*) FILTER (WHERE solved) n_proved, round(count(*) FILTER (WHERE solved) / count(*), 4) rate, round(sum(value), 1) elapsed_s FROM a GROUP BY arm")
+@query("finalize_outcome", f"""
+WITH {_A}, p AS (SELECT {_RUN} run, pid, count(*) n, count(*) FILTER (WHERE solved) s, sum(CAST(value AS DECIMAL(20, 6))) e FROM a GROUP BY ALL)
+SELECT run, CAST(sum(n) AS BIGINT) n_attempted, CAST(sum(s) AS BIGINT) n_proved, round(sum(s) / sum(n), 4) rate, CAST(round(sum(e), 1) AS DOUBLE) elapsed_s, count(*) FILTER (WHERE n > 1) n_twice FROM p GROUP BY run""")
 def finalize_outcome(spark, d):
-    return attempts(spark, d).groupBy("arm").agg(F.count("*").alias("n_attempted"), F.count_if("solved").alias("n_proved"), F.round(F.count_if("solved") / F.count("*"), 4).alias("rate"), F.round(F.sum("value"), 1).alias("elapsed_s"))
+    return rundirs.outcomes(rundirs.attempts(spark, run_folders(spark, d), rundirs.ATTEMPT)[0])
 
 
 @query("statements_lookup", f"WITH {_A} SELECT event_id, coalesce(length(text), -1) n_chars FROM a LEFT JOIN documents ON doc_id = pid")
@@ -247,10 +295,13 @@ def problem_statements(spark, d):
     return _t(spark, d, "benchmark").select("item_id", F.md5(corpora.problem_statement(pre, F.col("text"))).alias("digest"))
 
 
-@query("split_statements", """WITH x AS (SELECT p_partkey, 'import Mathlib' || chr(10) || 'import A.B' || chr(10) || 'open ' || p_brand || chr(10) || chr(10) || 'theorem t' || p_partkey || ' : ' || p_name || ' := by' || chr(10) || '  simp' t FROM part)
-SELECT p_partkey, ['import Mathlib', 'import A.B'] imports, 'open ' || split_part(split_part(t, 'open ', 2), chr(10), 1) preamble, substr(t, strpos(t, 'theorem t')) declaration FROM x""")
+@query("split_statements", """
+WITH x AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 2 = 0 THEN '@[simp] private ' ELSE '' END || 'theorem t' || p_partkey || ' : ' || p_name || ' := by' || chr(10) || '  simp' d FROM part)
+SELECT p_partkey, ['import Mathlib', 'import A.B'] imports, 'open ' || p_brand preamble, d declaration FROM x""")
 def split_statements(spark, d):
-    t = F.concat(F.lit("import Mathlib\nimport A.B\nopen "), "p_brand", F.lit("\n\ntheorem t"), F.col("p_partkey").cast("string"), F.lit(" : "), "p_name", F.lit(" := by\n  simp"))
+    """Imports with white space before them, declarations with and without attribute, modifier and indent."""
+    mark = F.when(F.col("p_partkey") % 2 == 0, "  @[simp] private ").otherwise("")
+    t = F.concat(F.lit("import Mathlib\n\timport A.B\nopen "), "p_brand", F.lit("\n\n"), mark, F.lit("theorem t"), F.col("p_partkey").cast("string"), F.lit(" : "), "p_name", F.lit(" := by\n  simp"))
     return _t(spark, d, "part").select("p_partkey", text.declaration_parts(t).alias("d")).select("p_partkey", "d.imports", "d.preamble", "d.declaration")
 
 

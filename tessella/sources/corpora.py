@@ -69,16 +69,17 @@ def corpus_filter(df: DataFrame, kinds: list[str] | None = None, props_only: boo
 
 
 def read_problems(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Problems of a JSON lines file: problem_id, source, imports, preamble, declaration, statement. A statement without a declaration raises."""
+    """Problems of a JSON lines file: problem_id, source, imports, preamble, declaration, informal_statement, reference_proof, raw, statement. A statement without a declaration raises; blank informal statements and proofs are none."""
     rows = spark.read.schema("id string, formal_statement string, formal_proof string, informal_statement string").option("lineSep", "\n").json(path)
-    return _problems(rows.select(F.col("id").alias("problem_id"), F.col("formal_statement").alias("text"), "informal_statement"), source, True)
+    some = lambda c: F.nullif(strip(F.col(c)), F.lit("")).alias(c)
+    return _problems(rows.select(F.col("id").alias("problem_id"), F.col("formal_statement").alias("text"), some("informal_statement"), some("formal_proof").alias("reference_proof")), source, True)
 
 
 def _problems(rows: DataFrame, source: str, must: bool) -> DataFrame:
     d = rows.withColumn("d", declaration_parts(F.col("text")))
     declared = F.when(F.col("d.declaration").isNull(), F.raise_error(F.concat(F.lit("no declaration in "), F.col("problem_id")))).otherwise(F.col("d.declaration")) if must else F.col("d.declaration")
     rest = [c for c in rows.columns if c not in ("problem_id", "text")]
-    return d.select("problem_id", F.lit(source).alias("source"), F.col("d.imports").alias("imports"), F.col("d.preamble").alias("preamble"), declared.alias("declaration"), *rest).withColumn("statement", problem_statement(F.col("preamble"), F.col("declaration")))
+    return d.select("problem_id", F.lit(source).alias("source"), F.col("d.imports").alias("imports"), F.col("d.preamble").alias("preamble"), declared.alias("declaration"), *rest, F.col("text").alias("raw")).withColumn("statement", problem_statement(F.col("preamble"), F.col("declaration")))
 
 
 def problem_statement(preamble: Column, declaration: Column) -> Column:
@@ -165,10 +166,17 @@ def seen_names(theorems: DataFrame, tactics: str = "traced_tactics") -> DataFram
     return steps.select(F.explode(F.from_json(F.col("t.annotated")[1], "array<struct<full_name: string>>")).alias("p")).select(F.col("p.full_name").alias("name")).where("name is not null").distinct()
 
 
-#: Names that a compiler makes by itself.
-GENERATED = r"(\._|\.match_\d+|\.proof_\d+|\.rec$|\.recOn$|\.casesOn$|\.noConfusion|\.brecOn$|\.below$|\.sizeOf_spec$|\.injEq$|^_)"
+#: Components of names that a compiler makes by itself, whole and numbered.
+GENERATED = ["rec", "recOn", "casesOn", "brecOn", "below", "ibelow", "binductionOn", "ndrec", "ndrecOn", "noConfusion", "noConfusionType", "injEq", "inj", "sizeOf_spec", "sizeOf_inst",
+             "toCtorIdx", "ofNat_toCtorIdx", "ctorIdx", "eq_def", "eq_unfold", "induct", "fun_cases", "match_def", "sizeOf_eq"]
+NUMBERED = r"^(_.*|(eq_|proof_|match_)?[0-9]+)$"
+
+
+def generated(name: Column) -> Column:
+    """Whether any component of a dotted name, as a whole, is one that a compiler makes. A name that only begins like one (``Nat.eq_zero``) isn't."""
+    return F.exists(F.split(name, r"\."), lambda c: c.isin(GENERATED) | c.rlike(NUMBERED))
 
 
 def written_names(df: DataFrame, name: str = "name", kind: str = "kind") -> DataFrame:
     """Entries that somebody has written: none that the compiler makes, neither recursors nor quotients."""
-    return df.where(~F.col(name).rlike(GENERATED) & ~F.col(kind).isin("rec", "quot"))
+    return df.where(~generated(F.col(name)) & ~F.col(kind).isin("rec", "quot"))

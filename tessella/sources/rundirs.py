@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import ast
 import datetime as dt
 import json
 import subprocess
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import budget_label
 from ..operators.runs import GuardError, last_rows
 
 ATTEMPT = "problem_id string, source string, arm string, status string, proved boolean, proof array<string>, n_expansions int, n_tactics_tried int, n_lean_calls int, elapsed_s double, limit_hit string, error string"
-TRACE = ATTEMPT + ", trace array<struct<depth: int, logprob: double, tactic: string>>"
-REPORT = "complete boolean, n_claimed int, n_verified int, n_failed int, failures array<struct<problem_id: string, reason: string>>"
+TRACE = ATTEMPT + ", trace array<struct<depth: int, logprob: double, tactic: string, outcome: string, elapsed_s: double, error: string>>"
+REPORT = ("benchmark string, complete boolean, n_claimed int, n_verified int, n_failed int, "
+          "failures array<struct<problem_id: string, reason: string, proof: array<string>, errors: array<string>, command: string>>")
 #: Columns that an export keeps.
 KEEP = [c.split()[0] for c in ATTEMPT.split(", ")]
 
@@ -24,19 +28,47 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _rename(spark: SparkSession, source: str, target: str, replace: bool) -> None:
+    """One rename that either replaces ``target`` in the same step or refuses to."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    how = getattr(fs, "Options$Rename")
+    options = spark._sc._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE if replace else how.NONE
+    source, target = fs.Path(source), fs.Path(target)
+    qualified = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target)
+    fs.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration()).rename(qualified.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(source), qualified, options)
+
+
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
-    """A small file, whole or not at all: written beside its place and renamed."""
+    """A small file, whole or not at all: written beside its place, then renamed over it in one step, so that a reader meets the old text or the new one."""
     fs, p = _fs(spark, path)
     if fs.exists(p) and not replace:
         raise GuardError(f"{path} exists")
-    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(beside)
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(beside))
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"{path} could not be written")
+    _rename(spark, beside, path, replace)
+
+
+def write_files(rows: DataFrame, root: str, name: str, *order: str) -> None:
+    """Lines (run, value, columns of ``order``) as ``name`` in the folder of each run: a folder of part files whose names are in the lines' order.
+
+    Runs are listed by the driver, lines are not. A run that has the file already is refused.
+    """
+    spark, beside = rows.sparkSession, f"{root}/_{name}.{uuid.uuid4().hex}"
+    fs, p = _fs(spark, beside)
+    rows.repartitionByRange("run", *order).sortWithinPartitions("run", *order).select("run", "value").write.partitionBy("run").text(beside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for own in fs.listStatus(p):
+        folder = own.getPath().getName()
+        if folder.startswith("run="):
+            run = f"{root}/{unquote(folder[4:])}"
+            if fs.exists(path(f"{run}/{name}")):
+                raise GuardError(f"{run} has its {name} already")
+            fs.mkdirs(path(run))
+            fs.rename(own.getPath(), path(f"{run}/{name}"))
+    fs.delete(p, True)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -81,26 +113,47 @@ def finalize(spark: SparkSession, root: str, run_id: str, outcome: dict) -> None
     write_text(spark, f"{root}/{run_id}/manifest.json", json.dumps(manifest, indent=1))
 
 
-def _folder() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+def _folder(name: str) -> Column:
+    """The run to which a file belongs; ``name`` is a file or a folder of parts."""
+    return F.url_decode(F.regexp_extract(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")), rf"([^/]+)/{name.replace('.', '[.]')}(/[^/]+)?$", 1))
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """run (folder), text, benchmark, arm, policy, seed, started, n_problems, finished of every run under ``root``."""
-    rows = spark.read.text(f"{root}/*/manifest.json", wholetext=True).select(_folder().alias("run"), F.col("value").alias("text"))
+    """run (folder), text, benchmark, arm, n_candidates, policy, seed, started, n_problems, finished, label of every run under ``root``.
+
+    A run's label is its arm with its budget of candidates, if it has one: ``li@1k`` and ``li@50k`` are two arms. Runs that
+    don't name a policy are of a time when all used the fixed repertoire.
+    """
+    rows = spark.read.text(f"{root}/*/manifest.json", wholetext=True).select(_folder("manifest.json").alias("run"), F.col("value").alias("text"))
     at = lambda path: F.get_json_object("text", f"$.{path}")
-    return rows.select("run", "text", at("config.benchmark").alias("benchmark"), at("config.arm").alias("arm"), at("config.policy_kind").alias("policy"), at("seed").cast("int").alias("seed"),
-                       at("started_utc").alias("started"), at("config.n_problems").cast("int").alias("n_problems"), F.coalesce(at("outcome"), F.lit("")).isin("", "null", "{}", "false").__invert__().alias("finished"))
+    out = rows.select("run", "text", at("config.benchmark").alias("benchmark"), F.coalesce(at("config.arm"), F.lit("?")).alias("arm"), at("config.n_candidates").cast("int").alias("n_candidates"),
+                      F.coalesce(F.nullif(at("config.policy_kind"), F.lit("")), F.lit("repertoire")).alias("policy"), at("seed").cast("int").alias("seed"), at("started_utc").alias("started"), at("config.n_problems").cast("int").alias("n_problems"),
+                      F.coalesce(at("outcome"), F.lit("")).isin("", "null", "{}", "false").__invert__().alias("finished"))
+    return out.withColumn("label", run_label(F.col("arm"), F.col("n_candidates")))
+
+
+def run_label(arm: Column, n_candidates: Column) -> Column:
+    """``arm@budget``, or the arm alone where no budget is told."""
+    return F.when(F.coalesce(n_candidates, F.lit(0)) == 0, arm).otherwise(budget_label(arm, n_candidates))
+
+
+def config_text(text: Column, path: str) -> Column:
+    """A configuration's value at a JSON path as text: ``True``, ``False``, ``None`` (null or missing), numbers and strings as they stand, lists and mappings as compact JSON."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+    value = F.get_json_object(text, path)
+    return F.when(value.isNull(), "None").when(kind == "BOOLEAN", F.initcap(value)).otherwise(value)
 
 
 def matches(text: Column, specs: list[str], root: str = "$.config.") -> Column:
-    """Whether a JSON text holds every ``dotted.key=value``; values are compared as text."""
+    """Whether a JSON text holds every ``dotted.key=value``; values are compared as text, in the way of ``config_text``. Lists and mappings may be written as Python or as JSON."""
     out = F.lit(True)
     for spec in specs:
         path, sep, value = spec.partition("=")
         if not sep or not path:
             raise ValueError(f"{spec!r} isn't key=value")
-        out = out & F.coalesce(F.get_json_object(text, root + path) == value, F.lit(False))
+        if value[:1] in ("[", "{"):
+            value = json.dumps(ast.literal_eval(value), separators=(",", ":"), ensure_ascii=False)
+        out = out & (config_text(text, root + path) == value)
     return out
 
 
@@ -113,10 +166,12 @@ def discover(spark: SparkSession, root: str, benchmark: str | None = None, polic
     return out.orderBy("run")
 
 
-def _lines(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """run, line_no (from 0), line of a file of every run; lines end at line feeds only."""
-    whole = spark.read.text(f"{root}/*/{name}", wholetext=True).select(_folder().alias("run"), F.split("value", "\n").alias("lines"))
-    return whole.select("run", F.posexplode("lines").alias("line_no", "line")).where(F.trim("line") != "")
+def _lines(spark: SparkSession, root: str, name: str, run: str = "*") -> DataFrame:
+    """run, line_no (from 0, blank lines counted), line of a file of every run; lines end at line feeds only. A long log is read by several tasks."""
+    at = F.col("_metadata")
+    rows = spark.read.option("lineSep", "\n").text(f"{root}/{run}/{name}").select(_folder(name).alias("run"), F.col("value").alias("line"), at["file_name"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+    w = Window.partitionBy("run").orderBy("file", "block", "row")
+    return rows.select("run", (F.row_number().over(w) - 1).alias("line_no"), "line").where(F.trim("line") != "")
 
 
 def _parsed(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -125,9 +180,9 @@ def _parsed(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     return parsed.where(ok).select("run", "line_no", "r.*").drop("_bad"), parsed.where(~F.coalesce(ok, F.lit(False))).select("run", "line_no", F.octet_length("line").alias("n_bytes"), "line")
 
 
-def attempts(spark: SparkSession, root: str, schema: str = TRACE) -> tuple[DataFrame, DataFrame]:
+def attempts(spark: SparkSession, root: str, schema: str = TRACE, run: str = "*") -> tuple[DataFrame, DataFrame]:
     """Good rows of all runs (run, line_no and the columns) and bad ones (run, line_no, n_bytes, line): torn rows are neither counted nor lost."""
-    return _parsed(_lines(spark, root, "attempts.jsonl"), schema)
+    return _parsed(_lines(spark, root, "attempts.jsonl", run), schema)
 
 
 def reports(spark: SparkSession, root: str) -> DataFrame:
@@ -135,7 +190,7 @@ def reports(spark: SparkSession, root: str) -> DataFrame:
     fs, p = _fs(spark, f"{root}/*/verification.json")
     if not fs.globStatus(p):
         return spark.createDataFrame([], f"run string, {REPORT}")
-    whole = spark.read.text(f"{root}/*/verification.json", wholetext=True).select(_folder().alias("run"), F.from_json("value", REPORT).alias("r"))
+    whole = spark.read.text(f"{root}/*/verification.json", wholetext=True).select(_folder("verification.json").alias("run"), F.from_json("value", REPORT).alias("r"))
     return whole.select("run", "r.*")
 
 
@@ -155,18 +210,27 @@ def unverified_reason(has_report: Column, complete: Column, n_failed: Column, n_
 
 
 def arm(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each run and problem, the last that was written; ``solved`` only where verification hasn't refused the proof (``discounted`` where it has)."""
-    good = attempts(spark, root)[0]
+    """One row for each run and problem, the last that was written; ``solved`` only where verification hasn't refused the proof (``discounted`` where it has, whose status is ``verify_failed``).
+
+    ``attributable``: whether the steps show which premises they use, as those of the fixed repertoire alone do.
+    """
+    good = attempts(spark, root)[0].drop("arm")
     last = last_rows(good, "run", "problem_id")
-    return _discount(last.withColumn("solved", F.coalesce("proved", F.lit(False))), failed(spark, root)).join(manifests(spark, root).select("run", "benchmark", F.col("arm").alias("label"), "seed"), "run")
+    out = _discount(last.withColumn("solved", F.coalesce("proved", F.lit(False))), failed(spark, root)).join(_named(spark, root), "run")
+    return out.withColumn("status", F.when(F.col("refused"), "verify_failed").otherwise(F.col("status"))).withColumn("attributable", F.col("policy") == "repertoire").drop("refused")
+
+
+def _named(spark: SparkSession, root: str) -> DataFrame:
+    return manifests(spark, root).select("run", "benchmark", "arm", "label", "policy", "seed")
 
 
 def draw(spark: SparkSession, root: str) -> DataFrame:
-    """run, benchmark, label, seed, pid (``benchmark/problem``, so that equal ids of two benchmarks stay apart), solved by any row, discounted, proof."""
-    good = attempts(spark, root)[0].join(manifests(spark, root).select("run", "benchmark", F.col("arm").alias("label"), "seed"), "run")
+    """run, benchmark, arm, label, policy, seed, problem_id, pid (``benchmark:problem``, so that equal ids of two benchmarks stay apart), solved by any row, discounted, proof."""
+    keys = ["run", "benchmark", "arm", "label", "policy", "seed", "problem_id"]
+    good = attempts(spark, root)[0].drop("arm").join(_named(spark, root), "run")
     solved = F.coalesce("proved", F.lit(False))
-    once = good.groupBy("run", "benchmark", "label", "seed", "problem_id").agg(F.bool_or(solved).alias("solved"), F.max_by(proof_text(F.col("proof")), F.when(solved, F.col("line_no"))).alias("proof"))
-    return _discount(once, failed(spark, root)).withColumn("pid", F.concat_ws("/", "benchmark", "problem_id"))
+    once = good.groupBy(*keys).agg(F.bool_or(solved).alias("solved"), F.max_by(proof_text(F.coalesce("proof", F.array().cast("array<string>"))), F.when(solved, F.col("line_no"))).alias("proof"))
+    return _discount(once, failed(spark, root)).drop("refused").withColumn("pid", F.concat_ws(":", "benchmark", "problem_id"))
 
 
 def proof_text(steps: Column) -> Column:
@@ -177,12 +241,12 @@ def proof_text(steps: Column) -> Column:
 def _discount(rows: DataFrame, refused: DataFrame) -> DataFrame:
     j = rows.join(refused.withColumn("_f", F.lit(True)), ["run", "problem_id"], "left")
     bad = F.coalesce("_f", F.lit(False))
-    return j.withColumn("discounted", F.col("solved") & bad).withColumn("solved", F.col("solved") & ~bad).drop("_f")
+    return j.withColumn("refused", bad).withColumn("discounted", F.col("solved") & bad).withColumn("solved", F.col("solved") & ~bad).drop("_f")
 
 
 def raw(spark: SparkSession, root: str) -> DataFrame:
     """Attempts as they were written with their run's label: no verification discount."""
-    return attempts(spark, root)[0].join(manifests(spark, root).select("run", "benchmark", F.col("arm").alias("label"), "seed"), "run")
+    return attempts(spark, root)[0].drop("arm").join(_named(spark, root), "run")
 
 
 def export(spark: SparkSession, root: str, path: str) -> int:
@@ -194,27 +258,50 @@ def export(spark: SparkSession, root: str, path: str) -> int:
 
 
 def repair(spark: SparkSession, root: str, run: str, dry_run: bool = False) -> int:
-    """Takes bad rows out of a run's attempts: a byte-identical backup, the bad rows in a file of their own, then the good rows in one rename. Returns the number of bad rows."""
-    bad = [r["line"] for r in attempts(spark, root)[1].where(F.col("run") == run).orderBy("line_no").collect()]
-    if bad and not dry_run:
+    """Takes bad rows out of a run's attempts, which are a file: a byte-identical backup (``.bak``), the bad rows as they are in a file of their own, then the good rows in one rename.
+
+    Returns the number of bad rows. Lines stay on the executors; they are never decoded, so a row that is torn inside a character stays as it is.
+    """
+    good, bad = _parsed(_lines(spark, root, "attempts.jsonl", run), ATTEMPT)
+    n = bad.count()
+    if n and not dry_run:
         path = f"{root}/{run}/attempts.jsonl"
-        whole = read_text(spark, path)
-        write_text(spark, f"{path}.bak", whole, replace=False)
-        write_text(spark, f"{root}/{run}/attempts.bad.jsonl", "".join(x + "\n" for x in bad))
-        out = set(bad)
-        write_text(spark, path, "".join(x + "\n" for x in whole.split("\n") if x.strip() and x not in out))
-    return len(bad)
+        fs, p = _fs(spark, path)
+        backup = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.bak")
+        if fs.exists(backup):
+            raise GuardError(f"{path}.bak exists")
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, fs, backup, False, False, spark._jsc.hadoopConfiguration())
+        lines = _lines(spark, root, "attempts.jsonl", run)
+        _write_lines(lines.join(bad.select("line_no"), "line_no", "left_semi"), f"{root}/{run}/attempts.bad.jsonl")
+        _write_lines(lines.join(good.select("line_no"), "line_no", "left_semi"), path)
+    return n
+
+
+def _write_lines(lines: DataFrame, path: str) -> None:
+    """One file of the lines in order, renamed into its place; a single task writes it, line by line."""
+    spark, beside = lines.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
+    lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.text(beside)
+    fs, p = _fs(spark, beside)
+    part = [f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-")]
+    _rename(spark, part[0], path, True)
+    fs.delete(p, True)
+
+
+def outcomes(good: DataFrame) -> DataFrame:
+    """run, n_attempted, n_proved, rate (4 places), elapsed_s, n_twice (problems with several rows) of each run's good rows. Times are summed as decimals, so their order doesn't matter."""
+    once = good.groupBy("run", "problem_id").agg(F.count("*").alias("n"), F.count_if("proved").alias("proved"), F.sum(F.col("elapsed_s").cast("decimal(20,6)")).alias("elapsed_s"))
+    return once.groupBy("run").agg(F.sum("n").alias("n_attempted"), F.sum("proved").alias("n_proved"), F.round(F.sum("proved") / F.sum("n"), 4).alias("rate"), F.round(F.sum("elapsed_s"), 1).cast("double").alias("elapsed_s"), F.count_if(F.col("n") > 1).alias("n_twice"))
 
 
 def outcome(good: DataFrame, n_problems: int) -> dict:
-    """Counts of a run from its rows; refused if a problem has two rows, or if there are too few or too many."""
-    twice = good.groupBy("problem_id").count().where("count > 1").count()
-    n, solved, elapsed = good.agg(F.count("*"), F.count_if("proved"), F.round(F.sum("elapsed_s"), 1)).first()
-    if twice:
-        raise GuardError(f"{twice} problems have several rows")
+    """Counts of one run from its rows; refused if a problem has two rows, or if there are too few or too many."""
+    row = outcomes(good.withColumn("run", F.lit(""))).first()
+    n = row["n_attempted"] if row else 0
+    if row and row["n_twice"]:
+        raise GuardError(f"{row['n_twice']} problems have several rows")
     if n != n_problems:
         raise GuardError(f"{n} rows, {'fewer' if n < n_problems else 'more'} than the {n_problems} problems")
-    return {"n_attempted": n, "n_proved": solved, "rate": round(solved / n, 4) if n else 0.0, "elapsed_s": elapsed}
+    return {"n_attempted": n, "n_proved": row["n_proved"] if row else 0, "rate": row["rate"] if row else 0.0, "elapsed_s": row["elapsed_s"] if row else None}
 
 
 def same_config(before: dict, now: dict, but: tuple[str, ...] = ()) -> None:

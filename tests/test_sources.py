@@ -1,5 +1,6 @@
 """Run folders, corpora, shards and indices on small files."""
 import json
+import os
 
 import numpy as np
 import pytest
@@ -46,7 +47,7 @@ def test_runs(spark, root, tmp_path):
     arm = {(r.run, r.problem_id): (r.solved, r.discounted) for r in rundirs.arm(spark, path).collect()}
     assert arm[ids[0], "2"] == (True, False) and arm[ids[1], "2"] == (False, True) and arm[ids[1], "1"] == (True, False)
     draw = {(r.run, r.pid): (r.solved, r.proof) for r in rundirs.draw(spark, path).collect()}
-    assert draw[ids[0], "b/2"] == (True, "exact h") and not draw[ids[1], "b/2"][0]
+    assert draw[ids[0], "b:2"] == (True, "exact h") and not draw[ids[1], "b:2"][0]
     assert rundirs.raw(spark, path).where("proved").count() == 4
     why = {r.run: r.reason for r in rundirs.unverified(rundirs.manifests(spark, path), rundirs.reports(spark, path)).collect()}
     assert why == {ids[0]: "no report", ids[1]: None, ids[2]: "no report"}
@@ -71,6 +72,73 @@ def test_repair_and_finish(spark, root, tmp_path):
         rundirs.same_config({"a": 1}, {"a": 2, "c": 3})
 
 
+def test_values_are_compared_as_text(spark):
+    config = {"flag": True, "off": False, "x": None, "s": "true", "n": 32, "f": 0.5, "list": ["a", 1], "search": {"max": 64}}
+    row = spark.createDataFrame([(json.dumps({"config": config}),)], "text string")
+    holds = ["flag=True", "off=False", "x=None", "absent=None", "search.absent=None", "n.deeper=None", "s=true", "n=32", "f=0.5", "list=['a', 1]", "search.max=64"]
+    fails = ["flag=true", "s=True", "x=", "n=32.0", "absent=", "list=['a']", "search.max=None"]
+    got = row.select(*[rundirs.matches(F.col("text"), [x]).alias(str(i)) for i, x in enumerate(holds + fails)]).first()
+    assert list(got) == [True] * len(holds) + [False] * len(fails)
+
+
+def test_labels_hold_the_budget(spark, tmp_path):
+    path = str(tmp_path)
+    for n in (1000, 50000, 300, None):
+        run = rundirs.create(spark, path, f"r{n}", {"benchmark": "b", "arm": "li", "n_candidates": n} | ({} if n else {"policy_kind": "llm"}))
+        (tmp_path / run / "attempts.jsonl").write_text(json.dumps(attempt("1", True) | {"trace": [{"depth": 0, "logprob": -1, "tactic": "x", "outcome": "error", "elapsed_s": 0.5, "error": "e"}]}) + "\n")
+    assert {r.label for r in rundirs.manifests(spark, path).collect()} == {"li@1k", "li@50k", "li@300", "li"}
+    for read in (rundirs.arm, rundirs.draw, rundirs.raw):
+        assert sorted(r.label for r in read(spark, path).collect()) == ["li", "li@1k", "li@300", "li@50k"]
+    assert {r.label: r.attributable for r in rundirs.arm(spark, path).collect()} == {"li@1k": True, "li@50k": True, "li@300": True, "li": False}
+    step = rundirs.attempts(spark, path)[0].first().trace[0]
+    assert (step.outcome, step.elapsed_s, step.error) == ("error", 0.5, "e")
+
+
+def test_repair_keeps_every_byte(spark, tmp_path):
+    path = str(tmp_path)
+    run = rundirs.create(spark, path, "r", {"benchmark": "b"})
+    good = [json.dumps(attempt(str(i), True, error="\u2028 ∀" if i else None), ensure_ascii=False).encode() for i in range(3)]
+    torn = good[1][: good[1].index("∀".encode()) + 2]  # inside a character
+    whole = b"\n".join([good[0], torn, b"", good[1], b"\xff\xfe{", good[2]]) + b"\n"
+    log = tmp_path / run / "attempts.jsonl"
+    log.write_bytes(whole)
+    assert sorted((r.line_no, r.n_bytes) for r in rundirs.attempts(spark, path)[1].collect()) == [(1, len(torn)), (4, 3)]
+    assert rundirs.repair(spark, path, run) == 2
+    assert (tmp_path / run / "attempts.jsonl.bak").read_bytes() == whole
+    assert (tmp_path / run / "attempts.bad.jsonl").read_bytes() == torn + b"\n\xff\xfe{\n"
+    assert log.read_bytes() == b"\n".join(good) + b"\n"
+    assert rundirs.repair(spark, path, run) == 0
+
+
+def test_a_manifest_is_never_away(spark, tmp_path):
+    path = str(tmp_path / "x.json")
+    rundirs.write_text(spark, path, "one")
+    rundirs.write_text(spark, path, "two")
+    assert rundirs.read_text(spark, path) == "two"
+    with pytest.raises(GuardError):
+        rundirs.write_text(spark, path, "three", replace=False)
+    (tmp_path / "y.json").write_text("three")
+    with pytest.raises(Exception, match="exist"):  # someone else has been quicker
+        rundirs._rename(spark, str(tmp_path / "y.json"), path, False)
+    assert rundirs.read_text(spark, path) == "two"
+    assert sorted(f for f in os.listdir(tmp_path) if not f.startswith(".")) == ["x.json", "y.json"]
+
+
+def test_names_that_compilers_make(spark):
+    made = ["Foo.eq_1", "Foo.inj", "Foo.ndrec", "Foo.eq_def", "Foo.toCtorIdx", "Foo.rec.bar", "rec", "Foo._x", "_x", "Foo.match_12", "Foo.proof_3.x", "Foo.3", "Foo.noConfusionType"]
+    own = ["Foo.noConfusionLemma", "Foo.match_1foo", "Nat.eq_zero_of_le_zero", "Foo.eq_", "Foo.record", "Foo.x_", "Foo.inj'"]
+    rows = spark.createDataFrame([(x, "theorem") for x in made + own] + [("A.b", "rec"), ("A.c", "quot")], "name string, kind string")
+    assert sorted(r.name for r in corpora.written_names(rows).collect()) == sorted(own)
+
+
+def test_declarations(spark):
+    texts = ["import Mathlib\nopen Nat\n\n  theorem a : x := by\n    simp\n", "@[simp] private noncomputable def f := 1", "lemma b : y", "\timport A.B\nset_option x true\n\n\tlemma c\n", "open Nat", "import A\nimport B\n-- note\n@[a, b]\n  protected theorem d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.explode(F.array(text.declaration_parts(F.col("t")))).alias("d")).select("d.*").collect()
+    assert [tuple(r) for r in rows] == [
+        (["import Mathlib"], "open Nat", "theorem a : x := by\n    simp"), ([], "", "@[simp] private noncomputable def f := 1"), ([], "", "lemma b : y"),
+        (["import A.B"], "set_option x true", "lemma c"), ([], "open Nat", None), (["import A", "import B"], "-- note", "@[a, b]\n  protected theorem d")]
+
+
 def test_corpora(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("ROOT_X", "/data")
     (tmp_path / "c.yaml").write_text("a: ${ROOT_X}/b\nl: [1, '${ROOT_X}']\n")
