@@ -151,6 +151,7 @@ class ShardSearch:
     """The postings and trees of a block's terms in one shard."""
 
     def __init__(self, number: np.ndarray, top: np.ndarray, trees: list[np.ndarray], posts: list[np.ndarray], ids: np.ndarray):
+        number = number.astype(np.int64)  # keys of a term and a node need all 64 bits
         order = np.argsort(number)
         number, trees, posts = number[order], [trees[i] for i in order], [posts[i] for i in order]
         self.ids, self.number, self.top = ids, number, top[order]

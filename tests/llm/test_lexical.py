@@ -67,6 +67,13 @@ def test_awkward_rows(spark):
     assert measured(spark, docs, one, 0) == [] and measured(spark, docs, one.where("false")) == []
 
 
+def test_thousands_of_query_terms(spark):
+    rows = [(i, " ".join(f"t{rng.randint(0, 6000)}" for _ in range(50))) for i in range(300)]
+    items = [(i, " ".join(f"t{j}" for j in range(1000 * i, 1000 * i + 1000))) for i in range(6)]
+    got = measured(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got == brute(rows, items)
+
+
 def test_long_lengths_do_not_overflow():
     n = np.array([1, 10**8, 3])
     assert lexical.impacts(np.array([1, 2, 3]), n, 10**11, 10**13).tolist() == [(10**9 * t) // (1000 * t + 12 * (75 + 25 * int(x) * 10**11 // 10**13)) for t, x in zip((1, 2, 3), n, strict=True)]
