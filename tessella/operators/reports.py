@@ -115,18 +115,6 @@ def discordance(wins: DataFrame, heads_shown: int = 8) -> tuple[DataFrame, DataF
     return summary, heads, wins.groupBy("arm", "area").agg(F.count("*").alias("n"))
 
 
-def novelty(cited: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_cited, n_unseen, unseen (share of a problem's cited names that aren't seen, null without any), any_unseen. cited: keys, names (array)."""
-    one = cited.select(*keys, F.explode_outer("names").alias("name")).join(seen.select("name").distinct().withColumn("_s", F.lit(True)), "name", "left")
-    g = one.groupBy(*keys).agg(F.count("name").alias("n_cited"), F.count_if(F.col("name").isNotNull() & F.col("_s").isNull()).alias("n_unseen"))
-    return g.withColumn("unseen", F.when(F.col("n_cited") > 0, F.col("n_unseen") / F.col("n_cited"))).withColumn("any_unseen", F.when(F.col("n_cited") > 0, F.col("n_unseen") > 0))
-
-
-def stratum(problems: DataFrame, by: str) -> DataFrame:
-    """by, n, n_citing, mean_unseen, unseen_rate: averages over problems that cite anything."""
-    return problems.groupBy(by).agg(F.count("*").alias("n"), F.count("unseen").alias("n_citing"), F.round(F.avg("unseen"), 6).alias("mean_unseen"), F.round(F.avg(F.col("any_unseen").cast("double")), 6).alias("unseen_rate"))
-
-
 def policy_stats(counters: DataFrame, by: str) -> DataFrame:
     """Means for each expansion and each candidate, and rates, of summed counters (by, n_prompts, n_free, n_generated, n_empty, n_cheats, n_kept, chars, logprob); null where there is nothing to divide by."""
     total = counters.groupBy(by).agg(*[F.sum(c).alias(c) for c in ("n_prompts", "n_free", "n_generated", "n_empty", "n_cheats", "n_kept", "chars", "logprob")])

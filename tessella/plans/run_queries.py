@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts, stats, text
-from ..operators import guards, reports, retrieval, runs
+from ..operators import guards, names, reports, retrieval, runs
 from ..registry import query
 from ..sources import corpora, rundirs, scratch
 from .queries import IDENT, _li, _t
@@ -261,15 +261,40 @@ def clean_steps(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", text.clean_step(raw).alias("step"))
 
 
-@query("one_step_citation", f"""WITH {_A}, c AS (SELECT DISTINCT 'd' || (doc_id % 7) w FROM documents), s AS (SELECT event_id, list_filter(list_transform(proof, lambda x: trim(x)), lambda x: x <> '') st FROM a),
-h AS (SELECT event_id, regexp_extract(st[1], '^(exact|apply)\\s+({IDENT})', 2) head FROM s WHERE len(st) = 1),
-w AS (SELECT event_id, head FROM h WHERE head <> '' AND head NOT IN ({', '.join(f"'{x}'" for x in prompts.TACTIC_WORDS)}))
-SELECT event_id, head FROM w WHERE head IN (SELECT w FROM c)""")
+#: A corpus in which some tokens of the proofs are names, others the last components of several names, others neither; and what each token may mean.
+_NAMES = """nm AS (SELECT DISTINCT 'd' || (doc_id % 7) AS name FROM documents UNION SELECT source || '.d' || (doc_id % 11) FROM documents WHERE source IS NOT NULL),
+ix AS (SELECT name AS token, name, 'exact' how FROM nm UNION SELECT split_part(name, '.', -1), name, 'suffix' FROM nm WHERE contains(name, '.')),
+rs AS (SELECT * FROM ix WHERE how = 'exact' OR token NOT IN (SELECT name FROM nm))"""
+
+
+def cited_names(spark, d):
+    docs = _t(spark, d, "documents")
+    name = lambda n: F.concat(F.lit("d"), (F.col("doc_id") % n).cast("string"))
+    own = docs.select(name(7).alias("name")).union(docs.where("source is not null").select(F.concat("source", F.lit("."), name(11))))
+    return scratch.stored(names.name_index(own), "names")
+
+
+@query("one_step_citation", f"""
+WITH {_A}, {_NAMES}, s AS (SELECT event_id, list_filter(list_transform(proof, lambda x: trim(x)), lambda x: x <> '') st FROM a),
+h AS (SELECT event_id, regexp_extract(st[1], '^(exact|apply)\\s+({IDENT})', 2) head FROM s WHERE len(st) = 1)
+SELECT event_id, head, rs.name, how FROM h JOIN rs ON token = head WHERE head NOT IN ({', '.join(f"'{x}'" for x in prompts.TACTIC_WORDS)})""")
 def one_step_citation(spark, d):
-    """Proofs of one step that cite a name of the corpus."""
-    names = _t(spark, d, "documents").select(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string")).alias("head")).distinct()
-    h = attempts(spark, d).select("event_id", prompts.one_step_name(F.col("proof")).alias("head")).where("head is not null")
-    return h.join(names, "head", "left_semi").select("event_id", "head")
+    """Proofs of one step that cite what resolves to names of the corpus, with the names."""
+    return names.one_step(attempts(spark, d).select("event_id", "proof"), cited_names(spark, d)).select("event_id", "head", "name", "how")
+
+
+@query("resolve_name", f"""
+WITH nm AS (SELECT replace(p_name, ' ', '.') AS name FROM part UNION SELECT 'b' || (item_id % 10) || '.' || unnest(regexp_extract_all(text, '{IDENT}')) FROM benchmark UNION SELECT unnest(regexp_extract_all(text, '{IDENT}')) FROM conversations),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{IDENT}')) AS token FROM documents),
+ix AS (SELECT name AS token, name, 'exact' how FROM nm UNION SELECT split_part(name, '.', -1), name, 'suffix' FROM nm WHERE contains(name, '.'))
+SELECT w.token, ix.name, how FROM w JOIN ix ON ix.token = w.token WHERE ix.name IS NOT NULL AND ix.name <> '' AND (how = 'exact' OR w.token NOT IN (SELECT name FROM nm WHERE name IS NOT NULL)) AND NOT (how = 'suffix' AND w.token = ix.name)""")
+def resolve_name(spark, d):
+    """Words of the documents against names of parts, words of the benchmark under their item's number, and words of conversations as they are."""
+    words = lambda t, c="text": F.explode(text.identifiers(F.col(c))).alias("w")
+    own = _t(spark, d, "part").select(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("name"))
+    own = own.union(_t(spark, d, "benchmark").select("item_id", words("text")).select(F.concat(F.lit("b"), (F.col("item_id") % 10).cast("string"), F.lit("."), F.col("w"))))
+    own = own.union(_t(spark, d, "conversations").select(words("text")))
+    return names.resolve(_t(spark, d, "documents").select(words("text")), scratch.stored(names.name_index(own), "names"), "w")
 
 
 @query("one_step_loose", f"""WITH {_A}, s AS (SELECT event_id, list_filter(list_transform(proof, lambda x: trim(x)), lambda x: x <> '') st FROM a), h AS (SELECT event_id, regexp_extract(st[1], '^(exact|apply)\\s+({IDENT})', 2) head FROM s WHERE len(st) = 1)
@@ -458,20 +483,30 @@ def win_profile(spark, d):
     return reports.discordance(wins(spark, d))[1]
 
 
-_CITE = f"""{_A}, s AS (SELECT DISTINCT 'd' || (doc_id % 6) AS name FROM documents), ct AS (SELECT benchmark, pid, arm, max(event_id) id, list_distinct(flatten(list(list_filter(flatten(list_transform(proof, lambda x: regexp_extract_all(x, '{IDENT}'))), lambda x: starts_with(x, 'd'))))) names FROM a WHERE solved GROUP BY ALL),
-e AS (SELECT benchmark, pid, arm, unnest(names) AS name FROM ct), nv AS (SELECT ct.benchmark, ct.pid, ct.arm, count(e.name) n_cited, count(e.name) FILTER (WHERE s.name IS NULL) n_unseen FROM ct LEFT JOIN e ON e.benchmark = ct.benchmark AND e.pid = ct.pid AND e.arm = ct.arm LEFT JOIN s ON s.name = e.name GROUP BY ALL)"""
+#: What each solved problem of an arm cites, and whether any name that a token may mean is among the seen ones.
+_CITE = f"""{_A}, {_NAMES},
+sn AS (SELECT DISTINCT 'd' || (doc_id % 6) AS name FROM documents UNION SELECT DISTINCT source || '.d' || (doc_id % 11) FROM documents WHERE lang = 'en' AND source IS NOT NULL),
+tk AS (SELECT token, bool_or(sn.name IS NOT NULL) seen FROM rs LEFT JOIN sn ON sn.name = rs.name GROUP BY token),
+ct AS (SELECT benchmark, pid, arm, list_distinct(flatten(list(flatten(list_transform(proof, lambda x: regexp_extract_all(x, '{IDENT}')))))) tokens FROM a WHERE solved GROUP BY ALL),
+e AS (SELECT benchmark, pid, arm, unnest(tokens) AS token FROM ct),
+nv AS (SELECT ct.benchmark, ct.pid, ct.arm, count(tk.token) n_cited, count(*) FILTER (WHERE NOT seen) n_unseen
+  FROM ct LEFT JOIN e ON e.benchmark = ct.benchmark AND e.pid = ct.pid AND e.arm = ct.arm LEFT JOIN tk ON tk.token = e.token GROUP BY ALL)"""
 
 
 def _novel(spark, d):
-    named = F.filter(prompts.cited(F.col("proof")), lambda x: x.startswith("d"))
-    c = attempts(spark, d).where("solved").groupBy("benchmark", "pid", "arm").agg(F.array_distinct(F.flatten(F.collect_list(named))).alias("names"))
-    seen = _t(spark, d, "documents").select(F.concat(F.lit("d"), (F.col("doc_id") % 6).cast("string")).alias("name"))
-    return reports.novelty(c, seen, ["benchmark", "pid", "arm"])
+    solved = attempts(spark, d).where("solved").groupBy("benchmark", "pid", "arm").agg(F.array_distinct(F.flatten(F.collect_list(prompts.cited(F.col("proof"))))).alias("tokens"))
+    docs = _t(spark, d, "documents")
+    name = lambda n: F.concat(F.lit("d"), (F.col("doc_id") % n).cast("string"))
+    seen = docs.select(name(6).alias("name")).union(docs.where("lang = 'en'").select(F.concat("source", F.lit("."), name(11))))
+    return names.novelty(solved, cited_names(spark, d), seen, ["benchmark", "pid", "arm"])
 
 
-@query("citation_stratum", f"WITH {_CITE} SELECT arm, count(*) n, count(*) FILTER (WHERE n_cited > 0) n_citing, round(avg(n_unseen / nullif(n_cited, 0)), 6) mean_unseen, round(avg(CASE WHEN n_cited > 0 THEN CASE WHEN n_unseen > 0 THEN 1.0 ELSE 0.0 END END), 6) unseen_rate FROM nv GROUP BY arm")
+@query("citation_stratum", f"""
+WITH {_CITE}
+SELECT arm, count(*) n, count(*) FILTER (WHERE n_cited > 0) n_citing, count(*) FILTER (WHERE n_unseen > 0) n_citing_unseen, round(count(*) FILTER (WHERE n_unseen > 0) / count(*), 6) rate,
+  round(avg(n_unseen / nullif(n_cited, 0)), 6) mean_unseen, round(avg(n_cited), 6) mean_cited, round(avg(n_unseen), 6) mean_n_unseen FROM nv GROUP BY arm""")
 def citation_stratum(spark, d):
-    return reports.stratum(_novel(spark, d), "arm")
+    return names.stratum(_novel(spark, d), "arm")
 
 
 _LC = "lgamma(CAST({0} AS DOUBLE) + 1) - lgamma(CAST({1} AS DOUBLE) + 1) - lgamma(CAST({0} - {1} AS DOUBLE) + 1)"
@@ -489,18 +524,21 @@ def novelty_contrast(spark, d):
     return g.withColumn("p", F.round(stats.fisher(*(F.col(x) for x in "abcd")), 6))
 
 
-@query("contamination_report", f"""WITH {_A}, c AS (SELECT DISTINCT 'd' || (doc_id % 7) w FROM documents), h AS (SELECT benchmark, pid, arm, solved, regexp_extract(trim(proof[1]), '^(exact|apply)\\s+({IDENT})', 2) head, len(proof) n FROM a),
-o AS (SELECT benchmark, pid, arm, bool_or(solved) solved, bool_or(solved AND n = 1 AND head IN (SELECT w FROM c)) one_step FROM h GROUP BY ALL), ctl AS (SELECT benchmark, pid FROM o WHERE arm = 'view' AND solved)
-SELECT arm, count(*) FILTER (WHERE o.solved) n_solved, count(*) FILTER (WHERE one_step) n_one_step, count(*) FILTER (WHERE o.solved AND ctl.pid IS NULL) n_won, count(*) FILTER (WHERE one_step AND ctl.pid IS NULL) n_won_one_step FROM o LEFT JOIN ctl ON ctl.benchmark = o.benchmark AND ctl.pid = o.pid GROUP BY arm""")
+@query("contamination_report", f"""
+WITH {_A}, {_NAMES},
+h AS (SELECT benchmark, pid, arm, solved, regexp_extract(trim(proof[1]), '^(exact|apply)\\s+({IDENT})', 2) head, len(proof) n FROM a),
+o AS (SELECT benchmark, pid, arm, bool_or(solved) solved, bool_or(solved AND n = 1 AND head IN (SELECT token FROM rs) AND head NOT IN ({', '.join(f"'{x}'" for x in prompts.TACTIC_WORDS)})) one_step FROM h GROUP BY ALL),
+ctl AS (SELECT benchmark, pid FROM o WHERE arm = 'view' AND solved)
+SELECT arm, count(*) FILTER (WHERE o.solved) n_solved, count(*) FILTER (WHERE one_step) n_one_step, count(*) FILTER (WHERE o.solved AND ctl.pid IS NULL) n_won, count(*) FILTER (WHERE one_step AND ctl.pid IS NULL) n_won_one_step
+FROM o LEFT JOIN ctl ON ctl.benchmark = o.benchmark AND ctl.pid = o.pid GROUP BY arm""")
 def contamination_report(spark, d):
-    """Proofs that only cite what is in the corpus, of all that an arm solves and of what the control doesn't."""
-    names = _t(spark, d, "documents").select(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string")).alias("head")).distinct().withColumn("in_corpus", F.lit(True))
-    h = attempts(spark, d).withColumn("head", prompts.one_step_name(F.col("proof"))).join(names, "head", "left")
-    o = h.groupBy("benchmark", "pid", "arm").agg(F.bool_or("solved").alias("solved"), F.bool_or(F.col("solved") & F.col("in_corpus").isNotNull()).alias("one_step"))
+    """Proofs that only cite what the corpus holds under that name or ending, of all that an arm solves and of what the control doesn't."""
+    a = attempts(spark, d)
+    hits = names.one_step(a.where("solved"), cited_names(spark, d)).select("event_id").distinct().withColumn("hit", F.lit(True))
+    o = a.join(hits, "event_id", "left").groupBy("benchmark", "pid", "arm").agg(F.bool_or("solved").alias("solved"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("one_step"))
     control = o.where("arm = 'view' and solved").select("benchmark", "pid", F.lit(True).alias("ctl"))
-    j = o.join(control, ["benchmark", "pid"], "left")
     new = F.col("ctl").isNull()
-    return j.groupBy("arm").agg(F.count_if("solved").alias("n_solved"), F.count_if("one_step").alias("n_one_step"), F.count_if(F.col("solved") & new).alias("n_won"), F.count_if(F.col("one_step") & new).alias("n_won_one_step"))
+    return o.join(control, ["benchmark", "pid"], "left").groupBy("arm").agg(F.count_if("solved").alias("n_solved"), F.count_if("one_step").alias("n_one_step"), F.count_if(F.col("solved") & new).alias("n_won"), F.count_if(F.col("one_step") & new).alias("n_won_one_step"))
 
 
 @query("distinctness", f"""WITH {_D}, s AS (SELECT * FROM dr WHERE solved) SELECT x.arm a, y.arm b, count(*) n, round(avg(CASE WHEN x.proof = y.proof THEN 1.0 ELSE 0.0 END), 6) identical, avg(CASE WHEN x.proof = y.proof THEN 1.0 ELSE 0.0 END) >= 0.95 AS duplicate
