@@ -205,7 +205,7 @@ def test_shards_and_indices(spark, tmp_path):
 def test_bm25_equals_a_naive_scorer(spark, tmp_path, monkeypatch):
     docs = [(i, f"{n} {s}") for i, (n, s) in enumerate(PIECES)] + [(9, None), (10, "")]
     asked = [(i, s) for i, (_, s) in enumerate(PIECES)] + [(7, "nothing matches zzzz"), (8, None), (9, "Nat.add_comm")]
-    index = bm25.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    index = bm25.build(spark.createDataFrame(docs, "doc_id long, text string"), most_docs=2)
     bm25.save(index, str(tmp_path / "i"))
     loaded = bm25.load(spark, str(tmp_path / "i"))
     import re
@@ -213,7 +213,6 @@ def test_bm25_equals_a_naive_scorer(spark, tmp_path, monkeypatch):
     tok = lambda t: re.findall(text.TOKEN, t or "", re.ASCII)
     lens, n = {i: len(tok(t)) for i, t in docs}, len(docs)
     avg = sum(lens.values()) / n
-    monkeypatch.setattr(bm25, "CELLS", 40)
     for block in (4_000_000, 20):
         monkeypatch.setattr(bm25, "QUERY_CHARS", block)
         got = {}
@@ -229,13 +228,32 @@ def test_bm25_equals_a_naive_scorer(spark, tmp_path, monkeypatch):
                             score[i] = score.get(i, 0) + np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[i] / avg))
                 want = [(r + 1, i, round(s, 6)) for r, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:3])]
                 assert sorted(got.get((p, q), [])) == want
-    loaded.limit(1).write.mode("append").parquet(str(tmp_path / "i/docs"))
+    loaded.where("term is not null").limit(1).write.mode("append").partitionBy("bucket").parquet(str(tmp_path / "i/postings"))
     with pytest.raises(GuardError):
         bm25.load(spark, str(tmp_path / "i"))
     with pytest.raises(GuardError):
         bm25.save(index.where("false"), str(tmp_path / "e"))
 
 
+def test_bm25_reads_few_postings(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    docs = [(i, " ".join([f"topic{i // 50}"] * 3 + [vocabulary[j] for j in rng.zipf(1.3, 30) % 3000])) for i in range(2000)]
+    asked = [(t, f"topic{t} w{t}") for t in range(0, 40, 7)] + [(99, "w1 w2")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(4)
+    bm25.save(bm25.build(frame, most_docs=50), str(tmp_path / "i"))
+    loaded, queries, counts = bm25.load(spark, str(tmp_path / "i")), spark.createDataFrame(asked, "item_id long, text string"), {}
+    got = sorted(tuple(r) for r in bm25.rank(loaded, queries, 5, counts=counts).collect())
+    for most in (7, 5000):
+        assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in sorted(tuple(r) for r in bm25.rank(bm25.build(frame, most_docs=most).cache(), queries, 5).collect())]
+    of_terms = sum(t.split().count(w) > 0 for _, t in docs for w in {x for _, q in asked for x in q.split()})
+    assert 0 < counts["read"] < of_terms < counts["postings"]
+    # A search of few terms reads few folders, and none of its plan's scans takes the texts.
+    few = bm25._in_buckets(loaded, {"topic7": 0, "w7": 1}).select("range").distinct()
+    assert "PartitionFilters: [bucket" in few._jdf.queryExecution().toString() or len(few.inputFiles()) < len(loaded.inputFiles())
+    assert bm25.rank(loaded, queries, 0).count() == 0 and bm25.rank(loaded, queries.where("false")).count() == 0
+
+
 def test_guards(spark):
     assert guards.parse_seeds("0-3,7") == {0, 1, 2, 3, 7} and guards.parse_seeds(None) is None
     with pytest.raises(GuardError):
