@@ -108,38 +108,6 @@ def maxsim(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
     return best.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("s")).alias("score"))
 
 
-def pooled(doc_tokens: DataFrame) -> DataFrame:
-    """doc_id and the mean of its token vectors, scaled to length 1."""
-    parts = doc_tokens.select("doc_id", F.posexplode("vec").alias("i", "x")).groupBy("doc_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    vec = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])
-    return parts.groupBy("doc_id").agg(vec.alias("vec")).select("doc_id", unit(F.col("vec")).alias("vec"))
-
-
-def two_stage_candidates(doc_tokens: DataFrame, query_tokens: DataFrame, n: int) -> DataFrame:
-    """The first stage: qid, doc_id of the n documents with the largest sum of inner products of query tokens with the pooled vector."""
-    whole = query_tokens.select("qid", F.posexplode("vec").alias("i", "x")).groupBy("qid", "i").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    q = whole.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("vec"))
-    return vector_topk(pooled(doc_tokens), q, n).select("qid", "doc_id")
-
-
-def late_interaction_topk(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, n_candidates: int | None = None) -> DataFrame:
-    """qid, doc_id, score, rank by MaxSim over all documents, or over the first stage's candidates only."""
-    if n_candidates is None:
-        weight = F.col("weight") if "weight" in query_tokens.columns else F.lit(1.0)
-        return _in_blocks(doc_tokens, query_tokens.select("qid", "tok", weight.cast("double").alias("weight"), F.col("vec").alias("qvec")), k)
-    tokens_ = doc_tokens.join(two_stage_candidates(doc_tokens, query_tokens, max(k, n_candidates)), "doc_id")
-    return topk(maxsim(tokens_, query_tokens), k, "qid", "doc_id")
-
-
-def recall_at_budgets(rankings: dict[int, DataFrame], exact: DataFrame) -> DataFrame:
-    """budget, micro (found over all exact results), macro (mean of the queries' shares) and n_lossless (queries with all found) for the ranking of each budget."""
-    out = None
-    for budget, r in rankings.items():
-        one = recall(r, exact).agg(F.lit(budget).alias("budget"), F.round(F.sum("n_found") / F.sum("n_exact"), 6).alias("micro"), F.round(F.avg("recall"), 6).alias("macro"), F.count_if(F.col("recall") == 1).alias("n_lossless"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """qid, n_exact, n_found, recall of each query of ``exact``; a query without exact results has 1."""
     found = exact.select("qid", "doc_id").join(approximate.select("qid", "doc_id", F.lit(1).alias("hit")), ["qid", "doc_id"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import retrieval as R
-from ..operators import bm25, runs, search
+from ..operators import bm25, dense, runs, search
 from ..registry import query
 from ..sources import scratch
 from ..streaming import log
@@ -147,35 +147,64 @@ qs AS (SELECT qid, i, sum(vec[i]::DOUBLE) x FROM q, unnest(range(1, 65)) t(i) GR
 c AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, {_DOT.format('pool.vec', 'qv.vec')} s FROM pool, qv) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, doc_id) <= 12)"""
 
 
+def li_index(spark, d):
+    """The saved and loaded index of the documents' tokens, and the queries' tokens."""
+    docs, q = _li(spark, d)
+    path = scratch.path_for(spark, "li")
+    dense.save(scratch.stored(dense.build(docs, half=False), "li-blocks"), path)
+    return dense.load(spark, path), q
+
+
+def _shown(ranked):
+    return ranked.select(F.col("qid").cast("int").alias("qid"), F.col("doc_id").cast("int").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("li_exact", f"WITH {_LI}, s AS (SELECT qid, doc_id, sum(s) score FROM m GROUP BY ALL) " + _RANKED.format("s"))
 def li_exact(spark, d):
-    docs, q = _li(spark, d)
-    return R.late_interaction_topk(docs, q.drop("weight")).withColumn("score", F.round("score", 6))
+    index, q = li_index(spark, d)
+    return _shown(dense.exact_topk(index, q.drop("weight")))
 
 
 @query("maxsim_weighted", f"WITH {_LI}, s AS (SELECT qid, doc_id, sum(s * weight) score FROM m GROUP BY ALL) " + _RANKED.format("s"))
 def maxsim_weighted(spark, d):
-    return R.late_interaction_topk(*_li(spark, d)).withColumn("score", F.round("score", 6))
+    return _shown(dense.exact_topk(*li_index(spark, d)))
 
 
 @query("mean_pool", f"WITH {_LI}, {_POOL} SELECT doc_id, CAST(len(vec) AS INT) dim, round(vec[1], 6) first, round(vec[64], 6) last FROM pool")
 def mean_pool(spark, d):
-    return R.pooled(_li(spark, d)[0]).select("doc_id", F.size("vec").alias("dim"), F.round(F.col("vec")[0], 6).alias("first"), F.round(F.col("vec")[63], 6).alias("last"))
+    return dense.pooled(dense.build(_li(spark, d)[0])).select(F.col("doc_id").cast("int").alias("doc_id"), F.size("vec").alias("dim"), F.round(F.col("vec")[0], 6).alias("first"), F.round(F.col("vec")[63], 6).alias("last"))
 
 
 @query("li_two_stage", f"WITH {_LI}, {_POOL}, s AS (SELECT qid, doc_id, sum(s) score FROM m JOIN c USING (qid, doc_id) GROUP BY ALL) " + _RANKED.format("s"))
 def li_two_stage(spark, d):
-    docs, q = _li(spark, d)
-    return R.late_interaction_topk(docs, q.drop("weight"), 10, 12).withColumn("score", F.round("score", 6))
+    index, q = li_index(spark, d)
+    return _shown(dense.two_stage_topk(index, q.drop("weight"), 10, 12))
 
 
-@query("li_recall", f"""WITH {_LI}, {_POOL}, s AS (SELECT qid, doc_id, sum(s) score FROM m GROUP BY ALL), e AS ({_RANKED.format('s')}),
-s2 AS (SELECT qid, doc_id, sum(s) score FROM m JOIN c USING (qid, doc_id) GROUP BY ALL), a AS ({_RANKED.format('s2')})
-SELECT e.qid, count(*) n_exact, count(a.doc_id) n_found, round(count(a.doc_id) / count(*), 6) recall FROM e LEFT JOIN a ON a.qid = e.qid AND a.doc_id = e.doc_id GROUP BY e.qid""")
+#: Recall of each query at several budgets of candidates: place in the first stage, MaxSim, rank among the candidates of each budget.
+_BUDGETS = f"""{_LI}, {_POOL}, f AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, doc_id) place FROM (SELECT qid, doc_id, {_DOT.format('pool.vec', 'qv.vec')} s FROM pool, qv)),
+sc AS (SELECT qid, doc_id, sum(s) score FROM m GROUP BY ALL), e AS (SELECT qid, doc_id FROM sc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) <= 10),
+b AS (SELECT unnest([10, 12, 16]) budget),
+a AS (SELECT b.budget, sc.qid, sc.doc_id FROM b JOIN f ON f.place <= greatest(b.budget, 10) JOIN sc ON sc.qid = f.qid AND sc.doc_id = f.doc_id QUALIFY row_number() OVER (PARTITION BY b.budget, sc.qid ORDER BY round(sc.score, 9) DESC, sc.doc_id) <= 10),
+p AS (SELECT e.qid, b.budget, count(*) n_exact, count(a.doc_id) n_found FROM e CROSS JOIN b LEFT JOIN a ON a.qid = e.qid AND a.doc_id = e.doc_id AND a.budget = b.budget GROUP BY e.qid, b.budget)"""
+
+
+def _recalls(spark, d):
+    index, q = li_index(spark, d)
+    return dense.recall_per_query(index, q.drop("weight"), [10, 12, 16])
+
+
+@query("li_recall", f"WITH {_BUDGETS} SELECT CAST(qid AS INTEGER) qid, CAST(budget AS INTEGER) budget, n_exact, n_found, round(n_found / n_exact, 6) recall FROM p")
 def li_recall(spark, d):
-    docs, q = _li(spark, d)
-    q = q.drop("weight")
-    return R.recall(R.late_interaction_topk(docs, q, 10, 12), R.late_interaction_topk(docs, q)).withColumn("recall", F.round("recall", 6))
+    return _recalls(spark, d).withColumn("qid", F.col("qid").cast("int")).withColumn("recall", F.round("recall", 6))
+
+
+@query("recall_at_budgets", f"""
+WITH {_BUDGETS}
+SELECT CAST(budget AS INTEGER) budget, round(sum(n_found) / sum(n_exact), 6) micro, round(avg(n_found / n_exact), 6) macro, count(*) FILTER (WHERE n_found = n_exact) n_lossless FROM p GROUP BY budget""")
+def recall_at_budgets(spark, d):
+    """Over all results, as a mean over queries, and queries that lose nothing."""
+    return dense.recall_at_budgets(_recalls(spark, d))
 
 
 @query("retrieval_stats", "SELECT event_type arm, count(*) n_queries, round(sum(value), 2) total, round(sum(value) / greatest(count(*), 1), 2) mean_ms FROM events GROUP BY event_type")

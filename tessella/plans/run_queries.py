@@ -12,7 +12,7 @@ from ..functions import prompts, stats, text
 from ..operators import guards, names, reports, retrieval, runs
 from ..registry import query
 from ..sources import corpora, rundirs, scratch
-from .queries import IDENT, _li, _t
+from .queries import IDENT, _t
 
 # --- tables -----------------------------------------------------------------------------------------------------------
 _K = "CAST(json_extract_string(props, '$.k') AS INT)"
@@ -609,14 +609,6 @@ def budget_group(spark, d):
     return reports.budgets(attempts(spark, d).select("benchmark", F.col("k").alias("max_expansions"), F.col("seed").cast("int").alias("samples"), "arm"))
 
 
-@query("recall_at_budgets")
-def recall_at_budgets(spark, d):
-    """Recall of the two-stage search at several numbers of candidates: over all results, as a mean over queries, and queries that lose nothing."""
-    docs, q = _li(spark, d)
-    q = q.drop("weight")
-    return retrieval.recall_at_budgets({n: retrieval.late_interaction_topk(docs, q, 10, n) for n in (10, 12, 16)}, retrieval.late_interaction_topk(docs, q))
-
-
 @query("figure_curves", f"WITH {_D}, c AS (SELECT benchmark, arm, pid, count(*) FILTER (WHERE solved) c FROM dr GROUP BY ALL), g AS (SELECT arm, kk, {_PK.format(k='kk', c='c')} p FROM c, unnest(range(1, 9)) t(kk)) SELECT arm, CAST(kk AS INT) k, CAST(kk AS BIGINT) * 64 * 16 generations, round(sum(p), 6) expected FROM g GROUP BY arm, kk")
 def figure_curves(spark, d):
     """Expected number of solved problems against generations: what the pass@k figures plot."""

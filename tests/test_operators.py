@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import stats, text
+from tessella.operators import dense
 from tessella.operators import retrieval as R
 from tessella.operators import runs, search
 from tessella.sources import jsonl
@@ -56,8 +57,9 @@ def test_maxsim_and_two_stage(spark):
     want = {(i, j): sum(max(dot(t, x) for k, x in docs if k == j) for p, _, t in qs if p == i) for i in range(3) for j in range(20)}
     got = {(r.qid, r.doc_id): r.score for r in R.maxsim(d, q).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    exact = R.late_interaction_topk(d, q, 5)
-    assert sorted(map(tuple, exact.select("qid", "doc_id", "rank").collect())) == sorted(map(tuple, R.late_interaction_topk(d, q, 5, 20).select("qid", "doc_id", "rank").collect()))
+    index = dense.build(d, half=False).cache()
+    exact = dense.exact_topk(index, q, 5)
+    assert sorted(map(tuple, exact.select("qid", "doc_id", "rank").collect())) == sorted(map(tuple, dense.two_stage_topk(index, q, 5, 20).select("qid", "doc_id", "rank").collect()))
     assert all(r.recall == 1.0 for r in R.recall(exact, exact).collect())
 
 
