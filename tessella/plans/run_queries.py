@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts, stats, text
 from ..operators import guards, names, reports, retrieval, runs
 from ..registry import query
-from ..sources import corpora, rundirs, scratch
+from ..sources import corpora, json_array, rundirs, scratch
 from .queries import IDENT, _t
 
 # --- tables -----------------------------------------------------------------------------------------------------------
@@ -64,6 +64,14 @@ def filter_prop(spark, d):
     return c.groupBy("kind").agg(F.count("*").alias("n")).join(props, "kind", "left").fillna(0, ["n_props"])
 
 
+@query("json_array_stream", "SELECT doc_id, md5(text) digest, lang, source, n_chars FROM documents")
+def json_array_stream(spark, d):
+    """The documents written as JSON arrays and read back by splits at elements."""
+    path = scratch.path_for(spark, "arrays")
+    json_array.write(_t(spark, d, "documents"), path)
+    return corpora.read_json_array(spark, path, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars")
+
+
 _MADE = "['" + "', '".join(corpora.GENERATED) + "']"
 
 

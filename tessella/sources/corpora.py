@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import declaration_parts, strip
 from ..operators.runs import GuardError, require_rows
+from . import json_array
 
 CORPUS = "name string, kind string, statement string, module string, is_prop boolean"
 #: Kinds of corpus entries, and the columns under which files hold names and glosses.
@@ -153,8 +154,8 @@ def gloss_coverage(df: DataFrame, glosses: DataFrame, name: str = "name", least:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The elements of a file that is one JSON array, as rows."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """The elements of files that are one JSON array each, as rows; a large file is read by several tasks."""
+    return json_array.read(spark, path, schema)
 
 
 TRACED = "full_name string, traced_tactics array<struct<annotated_tactic: array<string>>>"
