@@ -550,7 +550,32 @@ def search_transitions(spark, d):
 
 @query("stream_attempt_log", "SELECT event_type arm, count(*) n, count(*) FILTER (WHERE value >= 100) solved FROM events GROUP BY event_type")
 def stream_attempt_log(spark, d):
-    return log.running_solved(spark, f"{d}/events.parquet", "")
+    path, checkpoint = scratch.path_for(spark, "running"), scratch.path_for(spark, "checkpoint")
+    log.running_solved(log.watch(spark, f"{d}/events.parquet"), path, checkpoint).awaitTermination()
+    return log.latest(spark, path)
+
+
+@query("stream_append", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_append(spark, d):
+    """A log that a stream has appended to, in two starts on one checkpoint."""
+    path, checkpoint = scratch.path_for(spark, "log"), scratch.path_for(spark, "checkpoint")
+    for _ in range(2):
+        log.append(log.watch(spark, f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value"), path, checkpoint).awaitTermination()
+    return log.read_log(spark, path, "event_id long, user_id long, event_type string, value double")
+
+
+@query("stream_repair", """
+SELECT click_id, client_id, kind, value, 'good' what FROM (SELECT DISTINCT click_id, client_id, kind, value, props FROM clicks WHERE click_id IS NOT NULL AND (props IS NULL OR json_valid(props)))
+UNION ALL SELECT NULL, NULL, NULL, CAST(count(*) AS DOUBLE), 'dead' FROM clicks WHERE click_id IS NULL OR NOT coalesce(json_valid(props), true)""")
+def stream_repair(spark, d):
+    """Clicks as lines of JSON with their properties as they are, some of which are torn: good rows once for each click, and how many are dead."""
+    path, checkpoint = scratch.path_for(spark, "repaired"), scratch.path_for(spark, "checkpoint")
+    rest = F.to_json(F.struct("click_id", "client_id", "kind", "value"))
+    line = F.concat(F.substr(rest, F.lit(1), F.length(rest) - 1), F.lit(', "props": '), F.coalesce("props", F.lit("null")), F.lit("}"))
+    log.collect(log.watch(spark, f"{d}/clicks.parquet").select(line.alias("line")), path, checkpoint, "click_id long, client_id long, kind string, value double", "click_id").awaitTermination()
+    good = spark.read.parquet(f"{path}/good").select("click_id", "client_id", "kind", "value", F.lit("good").alias("what"))
+    dead = spark.read.parquet(f"{path}/dead").agg(F.count("*").cast("double").alias("value"))
+    return good.unionByName(dead.select(F.lit(None).cast("long").alias("click_id"), F.lit(None).cast("long").alias("client_id"), F.lit(None).cast("string").alias("kind"), "value", F.lit("dead").alias("what")))
 
 
 def digest(names: list[str]) -> str:
