@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts, stats, text
-from ..operators import guards, names, reports, retrieval, runs
+from ..operators import compare, guards, names, reports, retrieval, runs
 from ..registry import query
 from ..sources import corpora, json_array, rundirs, scratch
 from .queries import IDENT, _t
@@ -416,6 +416,45 @@ def pooled_report(spark, d):
     return reports.tested(reports.differences(paired(spark, d)), _B)
 
 
+_CONTRASTS = [("view", "click"), ("view", "purchase"), ("click", "signup"), ("view", "error")]
+_ARMS = f"""{_A}, au AS (SELECT benchmark, arm, pid, solved, status = 'error' err, solved AND len(list_filter(proof, lambda x: contains(x, 'd'))) > 0 named FROM a),
+av AS (SELECT benchmark, arm, pid, bool_or(solved) solved, bool_or(err) err, bool_or(named) named FROM au GROUP BY benchmark, arm, pid),
+am AS (SELECT benchmark, arm, pid, solved, err, CASE WHEN arm <> 'signup' THEN coalesce(named, false) END named FROM av),
+ct AS (SELECT * FROM (VALUES {', '.join(str(c) for c in _CONTRASTS)}) v(baseline, treatment)),
+pr AS (SELECT baseline, treatment, x.benchmark, x.pid, x.solved a, y.solved b, NOT (x.err OR y.err) clean, y.named FROM ct JOIN am x ON x.arm = baseline JOIN am y ON y.arm = treatment AND y.benchmark = x.benchmark AND y.pid = x.pid),
+g AS (SELECT baseline, treatment, benchmark, k.clean_only, count(*) n, count(*) FILTER (WHERE a) n_baseline, count(*) FILTER (WHERE b) n_treatment, count(*) FILTER (WHERE a AND b) n_both,
+  count(*) FILTER (WHERE a AND NOT b) only_baseline, count(*) FILTER (WHERE b AND NOT a) only_treatment, count(*) FILTER (WHERE b AND named) used, count(*) FILTER (WHERE b AND NOT a AND named) needed, count(*) FILTER (WHERE b AND named IS NOT NULL) told
+  FROM pr, (VALUES (false), (true)) k(clean_only) WHERE clean OR NOT clean_only GROUP BY GROUPING SETS ((baseline, treatment, benchmark, clean_only), (baseline, treatment, clean_only))),
+-- The bootstrap's distribution: how likely i problems go one way and j the other, in n draws.
+tr AS (SELECT g.*, i - j d, CASE WHEN (only_treatment = 0 AND i > 0) OR (only_baseline = 0 AND j > 0) OR (only_treatment + only_baseline = n AND i + j < n) THEN 0.0 ELSE
+  exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(j + 1.0) - lgamma(n - i - j + 1.0) + CASE WHEN i > 0 THEN i * ln(only_treatment / n) ELSE 0 END + CASE WHEN j > 0 THEN j * ln(only_baseline / n) ELSE 0 END
+  + CASE WHEN n - i - j > 0 THEN (n - i - j) * ln((n - only_treatment - only_baseline) / n) ELSE 0 END) END p FROM g, unnest(range(0, n + 1)) ti(i), unnest(range(0, n + 1 - i)) tj(j)),
+ds AS (SELECT baseline, treatment, benchmark, clean_only, n, d, sum(p) p FROM tr GROUP BY ALL),
+cu AS (SELECT *, round(sum(p) OVER (PARTITION BY baseline, treatment, benchmark, clean_only ORDER BY d), 10) f FROM ds),
+iv AS (SELECT baseline, treatment, benchmark, clean_only, round(min(d) FILTER (WHERE f >= 0.025) / n, 6) lo, round(min(d) FILTER (WHERE f >= 0.975) / n, 6) hi FROM cu GROUP BY baseline, treatment, benchmark, clean_only, n),
+-- Random signs: how likely the rarer way is as rare or rarer.
+mc AS (SELECT g.*, CASE WHEN only_treatment + only_baseline = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_treatment, only_baseline) + 1), lambda k:
+  exp(lgamma(only_treatment + only_baseline + 1.0) - lgamma(k + 1.0) - lgamma(only_treatment + only_baseline - k + 1.0) - (only_treatment + only_baseline) * ln(2.0))))) END p FROM g),
+rp AS (SELECT mc.*, iv.lo, iv.hi, CASE WHEN (lo > 0 OR hi < 0) AND p < 0.05 THEN 'significant' WHEN (lo > 0 OR hi < 0) OR p < 0.05 THEN 'borderline' ELSE 'not significant' END verdict
+  FROM mc JOIN iv ON iv.baseline = mc.baseline AND iv.treatment = mc.treatment AND iv.benchmark IS NOT DISTINCT FROM mc.benchmark AND iv.clean_only = mc.clean_only)"""
+
+
+@query("compare_arms", f"""
+WITH {_ARMS}
+SELECT x.baseline, x.treatment, CAST(x.benchmark AS VARCHAR) benchmark, x.n, x.n_baseline, x.n_treatment, x.only_baseline, x.only_treatment, least(x.n_baseline, x.n_treatment) - x.n_both union_gain, x.lo, x.hi, round(x.p, 6) p, x.verdict,
+  coalesce(c.n, 0) n_clean, coalesce(c.only_baseline, 0) only_baseline_clean, coalesce(c.only_treatment, 0) only_treatment_clean, c.lo lo_clean, c.hi hi_clean, coalesce(round(c.p, 6), 1.0) p_clean,
+  coalesce(c.verdict, 'not significant') verdict_clean, (x.verdict = 'significant') <> coalesce(c.verdict = 'significant', false) flips,
+  CASE WHEN x.told > 0 THEN round(x.used / nullif(x.n_treatment, 0), 6) END used, CASE WHEN x.told > 0 THEN round(x.needed / nullif(x.only_treatment, 0), 6) END needed
+FROM rp x LEFT JOIN rp c ON c.baseline = x.baseline AND c.treatment = x.treatment AND c.benchmark IS NOT DISTINCT FROM x.benchmark AND c.clean_only WHERE NOT x.clean_only""")
+def compare_arms(spark, d):
+    """Four contrasts of arms, each benchmark and all, with and without problems that ended in errors."""
+    named = F.exists("proof", lambda x: x.contains("d"))
+    arms = attempts(spark, d).groupBy("benchmark", "arm", "pid").agg(F.bool_or("solved").alias("solved"), F.bool_or(F.col("status") == "error").alias("err"), F.bool_or(F.col("solved") & named).alias("named"))
+    arms = arms.select(F.col("benchmark").cast("string").alias("benchmark"), F.col("arm").alias("label"), F.col("pid").cast("string").alias("pid"), "solved", F.when(F.col("err"), "error").otherwise("done").alias("status"), F.when(F.col("arm") != "signup", F.coalesce("named", F.lit(False))).alias("names"))
+    return compare.compare_arms(arms, _CONTRASTS).select("baseline", "treatment", "benchmark", "n", "n_baseline", "n_treatment", "only_baseline", "only_treatment", "union_gain", "lo", "hi", "p", "verdict",
+                                                         "n_clean", "only_baseline_clean", "only_treatment_clean", "lo_clean", "hi_clean", "p_clean", "verdict_clean", "flips", "used", "needed")
+
+
 @query("stream_tests")
 def stream_tests(spark, d):
     """lo, hi, p of 10,000 resamples and sign flips from one seeded generator over the differences in order of their problems; the number of problems bounds the row that holds them."""
