@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import retrieval as R
-from ..operators import bm25, dense, runs, search
+from ..operators import bm25, dense, retrievers, runs, search
 from ..registry import query
 from ..sources import scratch
 from ..streaming import log
@@ -207,6 +207,27 @@ def recall_at_budgets(spark, d):
     return dense.recall_at_budgets(_recalls(spark, d))
 
 
+def _hashed_sql(table: str, key: str) -> str:
+    return f"""SELECT {key}, CAST('0x' || substr(md5(w), 1, 4) AS INT) % 64 i, sum(CASE WHEN CAST('0x' || substr(md5(w), 5, 1) AS INT) % 2 = 0 THEN 1 ELSE -1 END) x
+  FROM (SELECT {key}, unnest(regexp_extract_all(text, '{TOKEN}')) w FROM {table}) GROUP BY ALL"""
+
+
+@query("retriever_fusion", f"""
+WITH a AS ({_bm25_sql(1.5, 0.75, 32)}), dv AS ({_hashed_sql('documents', 'doc_id')}), qv AS ({_hashed_sql('benchmark', 'item_id')}),
+c AS (SELECT item_id, doc_id FROM benchmark, documents WHERE benchmark.text IS NOT NULL AND documents.text IS NOT NULL),
+p AS (SELECT item_id, doc_id, sum(qv.x * dv.x) s FROM qv JOIN dv ON dv.i = qv.i GROUP BY ALL),
+b AS (SELECT c.item_id, c.doc_id, row_number() OVER (PARTITION BY c.item_id ORDER BY coalesce(s, 0) DESC, c.doc_id) AS rank FROM c LEFT JOIN p ON p.item_id = c.item_id AND p.doc_id = c.doc_id QUALIFY rank <= 32),
+u AS (SELECT item_id, doc_id, rank FROM a UNION ALL SELECT item_id, doc_id, rank FROM b), s AS (SELECT item_id, doc_id, sum(1.0 / (60 + CAST(rank AS DOUBLE))) score FROM u GROUP BY ALL)
+SELECT item_id, doc_id, round(score, 6) score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INT) rank FROM s QUALIFY rank <= 10""")
+def retriever_fusion(spark, d):
+    """BM25 fused with inner products of hashed vectors (whole numbers), both behind the retrievers' protocol."""
+    docs, queries = _t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    encode = retrievers.hashing_encoder(unit=False)
+    vectors = scratch.stored(dense.build(retrievers.token_table(docs, "doc_id", encode), half=False), "hashed")
+    fused = retrievers.FusionRetriever([retrievers.Bm25Retriever(scratch.stored(bm25.build(docs), "bm25")), retrievers.VectorRetriever(vectors, encode)])
+    return fused.retrieve(queries, 10).select(F.col("qid").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("retrieval_stats", "SELECT event_type arm, count(*) n_queries, round(sum(value), 2) total, round(sum(value) / greatest(count(*), 1), 2) mean_ms FROM events GROUP BY event_type")
 def retrieval_stats(spark, d):
     return _t(spark, d, "events").groupBy(F.col("event_type").alias("arm")).agg(F.count("*").alias("n_queries"), F.round(F.sum("value"), 2).alias("total"), F.round(F.sum("value") / F.greatest(F.count("*"), F.lit(1)), 2).alias("mean_ms"))
