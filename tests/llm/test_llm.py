@@ -2,8 +2,10 @@
 import base64
 import collections
 import functools
+import glob
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -108,6 +110,20 @@ def test_bpe_and_vbyte(spark, docs, empty):
     assert vbyte.unpack(*vbyte.pack(x), len(x)).tolist() == x.tolist()
 
 
+def parsed_warc(data):
+    """Records of a WARC file by its grammar alone: version, named fields, a block of Content-Length bytes, two line ends."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        version, *fields = data[at:end].decode().split("\r\n")
+        assert version == "WARC/1.1"
+        head = dict(f.split(": ", 1) for f in fields)
+        at = end + 4 + int(head["Content-Length"])
+        assert data[at:at + 4] == b"\r\n\r\n"
+        yield head, data[end + 4:at]
+        at += 4
+
+
 def test_warc(spark):
     big = "x" * (3 * warc.CHUNK + 5)
     pages = [(1, "u", "a"), (2, None, "a"), (3, "u", None), (4, "u", ""), (5, "u\n", big), (6, "u", big), (6, "u", big), (None, "u", "b")]
@@ -119,6 +135,21 @@ def test_warc(spark):
             (5, *d(big), "revisit", 6), (6, *d(big), "response", None), (6, *d(big), "response", None)]
     assert got == sorted(want)
     assert max(r.n for r in spark.read.parquet(path).select(F.length("data").alias("n")).collect()) <= warc.CHUNK
+    files = scratch_path(spark, "test-warc-files").removeprefix("file://")
+    warc.export_files(spark, path, files)
+    records = [r for f in glob.glob(f"{files}/part-*") for r in parsed_warc(open(f, "rb").read())]
+    assert len(records) == len(pages)
+    ids = {h["WARC-Record-ID"]: h for h, _ in records}
+    assert len(ids) == len(pages) - 1  # a row and its repetition are one record, written twice
+    for head, block in records:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= head.keys() and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"])
+        if head["WARC-Type"] == "response":
+            http, _, payload = block.partition(b"\r\n\r\n")
+            assert http.startswith(b"HTTP/1.1 200 OK") and f"Content-Length: {len(payload)}".encode() in http
+            assert head["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        else:
+            kept = ids[head["WARC-Refers-To"]]
+            assert block == b"" and kept["WARC-Type"] == "response" and kept["WARC-Payload-Digest"] == head["WARC-Payload-Digest"]
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path + "e")
     assert warc.read_archives(spark, path + "e").count() == 0
 
