@@ -192,11 +192,11 @@ def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               ["segment", "nth", "doc_id", "n_words"])
 
 
-def contamination(df: DataFrame, items: DataFrame, n: int = WINDOW, share: float = 0.05) -> DataFrame:
+def contamination(df: DataFrame, items: DataFrame, n: int = WINDOW, num: int = 1, den: int = 20) -> DataFrame:
     """For each row of ``df`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_list.
 
     A window is ``n`` consecutive item words; an item with fewer is one window. Null or empty texts have no words and
-    are not contaminated; null items, or items without words, match nothing; repeated rows are judged each by itself.
+    are not contaminated, others are if ``den`` * n_hit >= ``num`` * n_words and a word is hit; null items, or items without words, match nothing; repeated rows are judged each by itself.
     No items: no hits. Other columns are not read.
     """
     index = build_index(df)
@@ -208,10 +208,9 @@ def contamination(df: DataFrame, items: DataFrame, n: int = WINDOW, share: float
     docs = index.select("segment", "ids", "id_null", "first").mapInArrow(_docs, "segment string, nth int, doc_id long, n_words long")
     out = docs.join(hits, ["segment", "nth"], "left").fillna({"n_hit": 0, "n_items": 0, "item_list": ""})
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("item_list").cast("binary"), 256).alias("items_sha256"),
-                      ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share))).alias("contaminated"), "item_list")
+                      ((F.col("n_hit") > 0) & (F.col("n_hit") * den >= F.col("n_words") * num)).alias("contaminated"), "item_list")
 
 
 def op9_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).drop("item_list")
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("item_list")
 

@@ -309,6 +309,15 @@ def test_toxicity_tables(spark):
     assert {r.text for r in toxicity.labelled_documents(docs, clash).collect()} <= {"good text", "vile text"}
 
 
+def test_the_share_of_hit_words_is_exact(spark):
+    """One word of 20 is enough, one of 21 isn't; 3 of 10 are, where doubles would say 3 < 10 * 0.3."""
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = frame(spark, [(1, " ".join(words.split()[:19]) + " hit"), (2, " ".join(words.split()[:20]) + " hit"), (3, "hit hit hit a b c d e f g"), (4, "hit hit a b c d e f g h")])
+    item = spark.createDataFrame([("i", "hit")], "item_id string, text string")
+    assert {r.doc_id: r.contaminated for r in decontaminate.contamination(docs, item).collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert {r.doc_id: r.contaminated for r in decontaminate.contamination(docs, item, num=3, den=10).collect()} == {1: False, 2: False, 3: True, 4: False}
+
+
 def test_empty_side_tables_and_clashing_columns(spark):
     docs = frame(spark, [(1, "a b c"), (None, "a"), (1, "a b c")])
     none = spark.createDataFrame([], "item_id string, text string, doc_id long")
