@@ -84,6 +84,22 @@ def coverage(draws: DataFrame, k: int, *keys: str) -> DataFrame:
             .withColumn("p", stats.pass_at_k(F.lit(k), F.col("c"), F.col("k"))).groupBy(*keys, "k").agg(F.round(F.sum(F.col("p") * F.col("count")) / F.sum("count"), 6).alias("coverage")))
 
 
+def coverage_of_first(draws: DataFrame, k: int, order: str, *keys: str) -> DataFrame:
+    """keys, draws taken, pass@k summed over all problems and divided by the number of problems that the first draw (by ``order``) has tried.
+
+    That number is the benchmark's size where the first draw is whole, whatever later draws have left out; a problem that only a later
+    draw has tried adds to the sum. ``keys`` name the groups of draws, each with ``k`` draws.
+    """
+    at = list(dict.fromkeys([*keys, "benchmark", "pid"]))
+    of = draws.groupBy(*keys).agg(F.min(order).alias("_first"))
+    first = draws.join(of, list(keys)) if keys else draws.crossJoin(F.broadcast(of))
+    n = first.where(F.col(order) == F.col("_first")).select(*at).distinct().groupBy(*keys).agg(F.count("*").alias("_n"))
+    c = draws.groupBy(*at).agg(F.countDistinct(F.when(F.col("solved"), F.col("seed"))).alias("c")).groupBy(*keys, "c").count()
+    p = c.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("p", stats.pass_at_k(F.lit(k), F.col("c"), F.col("k"))).groupBy(*keys, "k").agg(F.sum(F.col("p") * F.col("count")).alias("p"))
+    j = p.join(n, list(keys)) if keys else p.crossJoin(F.broadcast(n))
+    return j.select(*keys, "k", F.round(F.col("p") / F.col("_n"), 6).alias("coverage"), F.col("_n").alias("n_problems"))
+
+
 def resampled(values: DataFrame, key: str, value: str, n: int, draw: Column, keep: str) -> DataFrame:
     """n resamples of the mean of ``value``: each row meets each resample, sums are combined on the map side."""
     rows = values.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -437,6 +437,17 @@ def passk_curve(spark, d):
     return runs.coverage(draws(spark, d), 8, "arm")
 
 
+@query("passk_first_draw", f"""
+WITH {_DRAWS}, f AS (SELECT arm, min(seed) seed FROM draws GROUP BY arm),
+n AS (SELECT d.arm, count(DISTINCT d.benchmark || ':' || d.pid) n FROM draws d JOIN f ON f.arm = d.arm AND f.seed = d.seed GROUP BY d.arm),
+c AS (SELECT benchmark, arm, pid, count(DISTINCT CASE WHEN solved THEN seed END) c FROM draws GROUP BY ALL), g AS (SELECT arm, c, k, count(*) n FROM c, unnest(range(1, 9)) t(k) GROUP BY ALL),
+s AS (SELECT arm, k, sum(({_PASS}) * n) p FROM g GROUP BY arm, k)
+SELECT s.arm, CAST(s.k AS INT) k, round(s.p / n.n, 6) coverage, n.n n_problems FROM s JOIN n ON n.arm = s.arm""")
+def passk_first_draw(spark, d):
+    """pass@k of each arm over the problems of its first seed."""
+    return runs.coverage_of_first(draws(spark, d), 8, "seed", "arm")
+
+
 @query("ensemble_curve", f"WITH {_DRAWS}, c AS (SELECT benchmark, pid, count(DISTINCT CASE WHEN solved THEN seed END) c FROM draws WHERE arm IN ('click', 'view') GROUP BY ALL), g AS (SELECT benchmark, c, k, count(*) n FROM c, unnest(range(1, 9)) t(k) GROUP BY ALL) SELECT benchmark, CAST(k AS INT) k, round(sum(({_PASS}) * n) / sum(n), 6) coverage FROM g GROUP BY benchmark, k")
 def ensemble_curve(spark, d):
     return runs.coverage(draws(spark, d).where(F.col("arm").isin("click", "view")), 8, "benchmark")

@@ -102,6 +102,17 @@ def test_search(spark):
     assert (r[2].status, r[3].status, r[4].status) == ("no_candidates", "no_candidates", "error")
 
 
+def test_coverage_by_the_first_draw(spark):
+    rows = [("b", "li", 0, p, p == "a") for p in "abcd"] + [("b", "li", 1, p, p in "ae") for p in "ae"] + [("b", "li", 2, "b", True), ("b", "li", 3, "a", False)]
+    d = spark.createDataFrame(rows, "benchmark string, arm string, seed int, pid string, solved boolean")
+    got = {r.k: (r.coverage, r.n_problems) for r in runs.coverage_of_first(d, 4, "seed", "arm").collect()}
+    solved = [2, 1, 1]  # a at two seeds, b and e at one each; e isn't one of the first draw's four problems
+    want = {k: round(sum(1 - math.comb(4 - c, k) / math.comb(4, k) for c in solved) / 4, 6) for k in range(1, 5)}
+    assert got == {k: (v, 4) for k, v in want.items()}
+    assert {r.k: r.coverage for r in runs.coverage_of_first(d, 4, "seed").collect()} == want
+    assert runs.coverage_of_first(d.where("false"), 4, "seed", "arm").count() == 0
+
+
 def test_jsonl(spark, tmp_path):
     p = tmp_path / "x.jsonl"
     p.write_text('{"a": 1}\n\n{"a": 2\n{"a": 3} x\n{"a": " "}\n{"a": 4}\n', encoding="utf-8")
