@@ -571,6 +571,23 @@ def novelty_contrast(spark, d):
     return g.withColumn("p", F.round(stats.fisher(*(F.col(x) for x in "abcd")), 6))
 
 
+@query("novelty_exclusive", f"""
+WITH {_CITE}, ct2 AS (SELECT * FROM (VALUES ('click', 'view'), ('click', 'purchase'), ('signup', 'error')) v(a, b)),
+sd AS (SELECT a, b, a AS arm, 0 side FROM ct2 UNION ALL SELECT a, b, b, 1 FROM ct2),
+x AS (SELECT a, b, benchmark, pid, min(side) side, min(n_cited) n_cited, min(n_unseen) n_unseen FROM nv JOIN sd ON sd.arm = nv.arm GROUP BY a, b, benchmark, pid HAVING count(DISTINCT side) = 1),
+t AS (SELECT a x, b y, count(*) FILTER (WHERE side = 0) n_a, count(*) FILTER (WHERE side = 1) n_b, count(*) FILTER (WHERE side = 0 AND n_unseen > 0) a, count(*) FILTER (WHERE side = 0 AND n_cited > 0 AND n_unseen = 0) b,
+  count(*) FILTER (WHERE side = 1 AND n_unseen > 0) c, count(*) FILTER (WHERE side = 1 AND n_cited > 0 AND n_unseen = 0) d,
+  round(avg(n_unseen / nullif(n_cited, 0)) FILTER (WHERE side = 0), 6) mean_a, round(avg(n_unseen / nullif(n_cited, 0)) FILTER (WHERE side = 1), 6) mean_b FROM x GROUP BY a, b),
+p AS (SELECT t.*, z, exp({_LC.format('(a + b)', 'z')} + {_LC.format('(c + d)', '(a + c - z)')} - ({_LC.format('(a + b + c + d)', '(a + c)')})) q FROM t, unnest(range(greatest(0, a - d), least(a + c, a + b) + 1)) u(z)),
+o AS (SELECT x, y, q FROM p WHERE z = a)
+SELECT p.x a, p.y b, n_a, n_b, p.a a_unseen, p.b a_seen, c b_unseen, d b_seen, mean_a, mean_b,
+  CASE WHEN p.a + p.b = 0 OR c + d = 0 OR p.a + c = 0 OR p.b + d = 0 THEN 1.0 ELSE round(least(1.0, sum(p.q) FILTER (WHERE p.q <= o.q * (1 + 1e-9))), 6) END p_fisher
+FROM p JOIN o ON o.x = p.x AND o.y = p.y GROUP BY p.x, p.y, n_a, n_b, p.a, p.b, c, d, mean_a, mean_b""")
+def novelty_exclusive(spark, d):
+    """What problems cite that one arm of a pair alone has solved; the shuffled p has no SQL and is tested."""
+    return names.novelty_contrasts(_novel(spark, d), [("click", "view"), ("click", "purchase"), ("signup", "error")]).drop("p_shuffled")
+
+
 @query("contamination_report", f"""
 WITH {_A}, {_NAMES},
 h AS (SELECT benchmark, pid, arm, solved, regexp_extract(trim(proof[1]), '^(exact|apply)\\s+({IDENT})', 2) head, len(proof) n FROM a),

@@ -1,6 +1,10 @@
 """What cited tokens may mean."""
+import itertools
+import math
 import random
 
+import pytest
+
 from tessella.operators import names
 
 CORPUS = ["S.a", "S.b", "N.c", "N.d", "A.card", "B.card", "card_x", "T.card_x", "deep.er.name", "plain", None, "", "S.a"]
@@ -52,3 +56,30 @@ def test_one_step(spark):
     proofs = spark.createDataFrame([(1, ["exact N.c h"]), (2, ["apply card", " "]), (3, ["exact h₁"]), (4, ["exact fun x => N.c"]), (5, ["intro x", "exact N.c"]), (6, ["exact rfl"]), (7, None)], "id int, proof array<string>")
     got = sorted((r.id, r.head, r.name, r.how) for r in names.one_step(proofs, names.name_index(table(spark, [*CORPUS, "rfl"]))).collect())
     assert got == [(1, "N.c", "N.c", "exact"), (2, "card", "A.card", "suffix"), (2, "card", "B.card", "suffix")]
+
+
+def test_shuffled_labels():
+    """Against all ways to deal the labels out."""
+    values, a, b = [0.0, 0.25, 0.5, 1.0], [3, 1, 1, 0], [1, 1, 2, 3]
+    flat = [v for v, x, y in zip(values, a, b, strict=True) for v in [v] * (x + y)]
+    seen = abs(sum(v * y for v, y in zip(values, b, strict=True)) / sum(b) - sum(v * x for v, x in zip(values, a, strict=True)) / sum(a))
+    ways = list(itertools.combinations(range(len(flat)), sum(a)))
+    far = sum(abs((sum(flat) - sum(flat[i] for i in w)) / sum(b) - sum(flat[i] for i in w) / sum(a)) >= seen - 1e-12 for w in ways) / len(ways)
+    assert names.shuffled_p(values, a, b) == pytest.approx(far, abs=3 * math.sqrt(far * (1 - far) / 10_000))
+    assert names.shuffled_p([1.0], [3], [0]) == 1.0 and names.shuffled_p([0.5], [3], [4]) == 1.0
+
+
+def test_contrasts_of_exclusive_wins(spark):
+    rng = random.Random(6)
+    rows = [(b, str(i), arm, s, None if s is None else s > 0) for b in "xy" for i in range(80) for arm in ("li", "sv", "none") if rng.random() < 0.5 for s in [rng.choice([None, 0.0, 0.5, 1.0, 1 / 3])]]
+    got = {(r.a, r.b): r for r in names.novelty_contrasts(spark.createDataFrame(rows, "benchmark string, pid string, arm string, unseen double, any_unseen boolean"), [("li", "sv"), ("none", "li"), ("sv", "absent")]).collect()}
+    for (a, b), r in got.items():
+        own = {x: {(k, p): s for k, p, arm, s, _ in rows if arm == x} for x in (a, b)}
+        only = [{k: s for k, s in own[x].items() if k not in own[y]} for x, y in ((a, b), (b, a))]
+        cites = [[s for s in o.values() if s is not None] for o in only]
+        assert (r.n_a, r.n_b) == tuple(map(len, only))
+        assert (r.a_unseen, r.a_seen, r.b_unseen, r.b_seen) == tuple(sum(f(s) for s in c) for c in cites for f in (lambda s: s > 0, lambda s: s == 0))
+        assert r.mean_a == round(sum(cites[0]) / len(cites[0]), 6)
+        values = sorted({*cites[0], *cites[1]})
+        assert r.p_shuffled == pytest.approx(names.shuffled_p(values, [cites[0].count(v) for v in values], [cites[1].count(v) for v in values]), abs=1e-6)
+    assert got["sv", "absent"].p_fisher == got["sv", "absent"].p_shuffled == 1.0
