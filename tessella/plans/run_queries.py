@@ -162,9 +162,9 @@ def run_folders(spark: SparkSession, d: str) -> str:
     a = attempts(spark, d).withColumn("run", F.concat(F.lit("b"), "benchmark", F.lit("-"), "arm", F.lit("-s"), "seed"))
     line = F.struct(F.col("pid").cast("string").alias("problem_id"), "arm", "status", F.col("solved").alias("proved"), "proof", "n_expansions", F.col("value").alias("elapsed_s"), "limit_hit")
     rundirs.write_files(a.select("run", "event_id", F.to_json(line).alias("value")), root, "attempts.jsonl", "event_id")
-    each = a.groupBy("run", "benchmark", "arm", "seed").agg(F.count_if("solved").alias("n"), F.countDistinct("pid").cast("int").alias("n_problems"))
+    each = a.groupBy("run", "benchmark", "arm", "seed").agg(F.count_if("solved").alias("n"), F.countDistinct("pid").cast("int").alias("n_problems"), F.max("ts").cast("string").alias("started_utc"))
     config = F.struct(F.col("benchmark").cast("string").alias("benchmark"), "arm", F.when(F.col("seed") % 3 > 0, F.col("seed") % 3 * 1000).alias("n_candidates"), F.when(F.col("seed") % 2 > 0, "llm").alias("policy_kind"), "n_problems")
-    manifest = F.struct(F.col("run").alias("run_id"), "seed", config.alias("config"), F.when(F.col("n") > 0, F.struct(F.col("n").alias("n_proved"))).alias("outcome"))
+    manifest = F.struct(F.col("run").alias("run_id"), "seed", "started_utc", config.alias("config"), F.when(F.col("n") > 0, F.struct(F.col("n").alias("n_proved"))).alias("outcome"))
     rundirs.write_files(each.select("run", F.to_json(manifest).alias("value")), root, "manifest.json")
     toxic = _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("pid")).distinct()
     bad = a.select("run", "pid").distinct().join(toxic, "pid").groupBy("run").agg(F.sort_array(F.collect_list(F.struct(F.col("pid").cast("string").alias("problem_id"), F.lit("refused").alias("reason")))).alias("failures"))
@@ -206,6 +206,14 @@ def discover_runs(spark, d):
     return rundirs.discover(spark, run_folders(spark, d), specs=["n_candidates=1000"]).select("run", "benchmark", "policy", "n_problems")
 
 
+@query("latest_runs", f"""
+WITH {_A}, r AS (SELECT {_RUN} run, CAST(benchmark AS VARCHAR) benchmark, arm, seed, arm || {_BUDGET} "label", max(ts) t FROM a WHERE seed % 2 = 0 GROUP BY benchmark, arm, seed HAVING bool_or(solved))
+SELECT run, benchmark, arm, "label" FROM r QUALIFY row_number() OVER (PARTITION BY benchmark, arm ORDER BY t DESC, run) = 1""")
+def latest_runs(spark, d):
+    """The run of each benchmark and arm that a table of results would show."""
+    return rundirs.latest(spark, run_folders(spark, d)).select("run", "benchmark", "arm", "label")
+
+
 @query("export_results", f"""
 WITH {_A}, x AS (SELECT *, {_RUN} run FROM a)
 SELECT run, CAST(pid AS VARCHAR) problem_id, status, solved proved, n_expansions, limit_hit FROM x WHERE run IN (SELECT run FROM x GROUP BY run HAVING bool_or(solved))""")

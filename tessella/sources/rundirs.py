@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import budget_label
 from ..operators.runs import GuardError, last_rows
+from ..operators.runs import latest as latest_rows
 
 ATTEMPT = "problem_id string, source string, arm string, status string, proved boolean, proof array<string>, n_expansions int, n_tactics_tried int, n_lean_calls int, elapsed_s double, limit_hit string, error string"
 TRACE = ATTEMPT + ", trace array<struct<depth: int, logprob: double, tactic: string, outcome: string, elapsed_s: double, error: string>>"
@@ -166,6 +167,30 @@ def discover(spark: SparkSession, root: str, benchmark: str | None = None, polic
     return out.orderBy("run")
 
 
+def latest(spark: SparkSession, root: str, policy: str = "repertoire", specs: list[str] | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
+    """run, benchmark, arm, label, started: of each benchmark and arm the finished run of a policy that was begun last, of equal times the first by its folder.
+
+    Only runs that have attempts and whose configuration holds all ``specs`` count. With ``sizes`` (problems of each benchmark), runs over
+    a part of a benchmark don't; benchmarks that aren't named there do.
+    """
+    fs, p = _fs(spark, f"{root}/*/attempts.jsonl")
+    have = [(f.getPath().getParent().getName(),) for f in fs.globStatus(p) or ()]
+    rows = discover(spark, root, None, policy, specs).withColumn("benchmark", F.coalesce("benchmark", F.lit("?"))).withColumn("started", F.coalesce("started", F.lit("")))
+    rows = rows.join(F.broadcast(spark.createDataFrame(have, "run string")), "run", "left_semi")
+    if sizes:
+        whole = F.coalesce(*[F.when(F.col("benchmark") == b, F.lit(n)) for b, n in sizes.items()])
+        rows = rows.where(whole.isNull() | (F.coalesce("n_problems", F.lit(-1)) == whole))
+    return latest_rows(rows, ["benchmark", "arm"], "started", "run").select("run", "benchmark", "arm", "label", "started")
+
+
+def require_one_budget(spark: SparkSession, root: str, chosen: DataFrame) -> None:
+    """Refuses runs (run) that were searched with different limits: their rates don't compare."""
+    at = lambda k: F.coalesce(F.get_json_object("text", f"$.config.search.{k}"), F.lit("?")).alias(k)
+    budgets = manifests(spark, root).join(chosen.select("run"), "run", "left_semi").select("run", at("max_expansions"), at("samples_per_step")).groupBy("max_expansions", "samples_per_step").agg(F.min("run").alias("run")).limit(9).collect()
+    if len(budgets) > 1:
+        raise GuardError("runs have different budgets: " + ", ".join(sorted(f"{r['max_expansions']} x {r['samples_per_step']} ({r['run']})" for r in budgets)))
+
+
 def _lines(spark: SparkSession, root: str, name: str, run: str = "*") -> DataFrame:
     """run, line_no (from 0, blank lines counted), line of a file of every run; lines end at line feeds only. A long log is read by several tasks."""
     at = F.col("_metadata")

@@ -94,6 +94,32 @@ def test_labels_hold_the_budget(spark, tmp_path):
     assert (step.outcome, step.elapsed_s, step.error) == ("error", 0.5, "e")
 
 
+def test_latest_runs(spark, tmp_path):
+    path = str(tmp_path)
+
+    def run(name, started, finished=True, log=True, seed=0, **config):
+        (tmp_path / name).mkdir()
+        manifest = {"run_id": name, "seed": seed, "started_utc": started, "config": {"benchmark": "b", "arm": "li", "n_problems": 3} | config, "outcome": {"n": 1} if finished else None}
+        (tmp_path / name / "manifest.json").write_text(json.dumps(manifest))
+        if log:
+            (tmp_path / name / "attempts.jsonl").write_text(json.dumps(attempt("1", True)) + "\n")
+
+    run("a", "2026-01-01", search={"max_expansions": 64, "samples_per_step": 16})
+    run("b", "2026-01-03", search={"max_expansions": 64, "samples_per_step": 32})
+    run("c", "2026-01-03", search={"max_expansions": 64, "samples_per_step": 16})  # as late as b, behind it by name
+    run("d", "2026-01-09", finished=False)
+    run("e", "2026-01-09", log=False)
+    run("f", "2026-01-09", policy_kind="llm")
+    run("g", "2026-01-09", n_problems=2)
+    run("h", "2026-01-02", arm="sv", search={"max_expansions": 64, "samples_per_step": 16})
+    got = lambda *a, **k: sorted(r.run for r in rundirs.latest(spark, path, *a, **k).collect())
+    assert got() == ["g", "h"] and got(sizes={"b": 3}) == ["b", "h"] and got(sizes={"other": 3}) == ["g", "h"]
+    assert got("llm") == ["f"] and got(specs=["search.samples_per_step=16"]) == ["c", "h"]
+    rundirs.require_one_budget(spark, path, rundirs.latest(spark, path, specs=["search.samples_per_step=16"]))
+    with pytest.raises(GuardError, match="64 x 16.*64 x 32"):
+        rundirs.require_one_budget(spark, path, rundirs.latest(spark, path, sizes={"b": 3}))
+
+
 def test_repair_keeps_every_byte(spark, tmp_path):
     path = str(tmp_path)
     run = rundirs.create(spark, path, "r", {"benchmark": "b"})
