@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -105,13 +105,17 @@ def loser_profile(draws: DataFrame, winner: str, loser: str) -> DataFrame:
 
 
 def discordance(wins: DataFrame, heads_shown: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of exclusive wins (arm, mode of the loser, n_steps, n_expansions, heads, area, one_step): a summary, the most frequent heads and the areas of each arm. Ties of heads go by name. It describes, it doesn't test."""
+    """Of exclusive wins (arm, mode of the loser, n_steps, n_expansions, heads, area, one_step): a summary, the most frequent heads and the areas of each arm.
+
+    Heads of equal frequency go by first appearance if ``wins`` has a column ``ord`` that orders them (and then by place in the proof), by name
+    otherwise. It describes, it doesn't test.
+    """
     med = lambda c: F.round(F.median(c), 1)
     summary = wins.groupBy("arm").agg(F.count("*").alias("n"), med("n_steps").alias("steps"), med("n_expansions").alias("expansions"), F.count_if("one_step").alias("n_one_step"), F.count_if(F.col("mode") == "max_expansions").alias("n_loser_at_limit"))
-    from pyspark.sql import Window
-
-    heads = wins.select("arm", F.explode("heads").alias("head")).groupBy("arm", "head").agg(F.count("*").alias("n"))
-    heads = heads.withColumn("rank", F.row_number().over(Window.partitionBy("arm").orderBy(F.col("n").desc(), "head"))).where(F.col("rank") <= heads_shown)
+    order = F.struct("ord", "pos") if "ord" in wins.columns else F.lit(0)
+    heads = wins.select("arm", *(["ord"] if "ord" in wins.columns else []), F.posexplode("heads").alias("pos", "head")).groupBy("arm", "head").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    best = Window.partitionBy("arm").orderBy(F.col("n").desc(), "_first", "head")
+    heads = heads.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= heads_shown).drop("_first")
     return summary, heads, wins.groupBy("arm", "area").agg(F.count("*").alias("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import stats, text
 from tessella.operators import dense
 from tessella.operators import retrieval as R
-from tessella.operators import runs, search
+from tessella.operators import reports, runs, search
 from tessella.sources import jsonl
 
 
@@ -102,6 +102,14 @@ def test_search(spark):
     assert (r[2].status, r[3].status, r[4].status) == ("no_candidates", "no_candidates", "error")
 
 
+def test_heads_of_equal_frequency(spark):
+    rows = [("li", 2, ["rw", "exact", "rw"]), ("li", 1, ["simp", "apply"]), ("li", 3, ["exact", "apply", "omega"])]
+    wins = spark.createDataFrame([(a, o, h, "exhausted", len(h), 1, "x", False) for a, o, h in rows], "arm string, ord int, heads array<string>, mode string, n_steps int, n_expansions int, area string, one_step boolean")
+    shown = lambda w: [r.head for r in reports.discordance(w, 4)[1].orderBy("rank").collect()]
+    assert shown(wins) == ["apply", "rw", "exact", "simp"]  # simp comes first, but once; apply, rw and exact twice, in order of their first
+    assert shown(wins.drop("ord")) == ["apply", "exact", "rw", "omega"]
+
+
 def test_coverage_by_the_first_draw(spark):
     rows = [("b", "li", 0, p, p == "a") for p in "abcd"] + [("b", "li", 1, p, p in "ae") for p in "ae"] + [("b", "li", 2, "b", True), ("b", "li", 3, "a", False)]
     d = spark.createDataFrame(rows, "benchmark string, arm string, seed int, pid string, solved boolean")
