@@ -43,6 +43,25 @@ def topk(scored: DataFrame, k: int, query: str, key: str, *more: str) -> DataFra
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 0))
 
 
+#: Keys of a range, and ranges that one window sums up.
+RANGE = 4096
+
+
+def offsets(counts: DataFrame, key: str, n: str, out: str = "start") -> DataFrame:
+    """``counts`` (a whole-number key, each once, and ``n``) with the sum of ``n`` over all smaller keys.
+
+    Sums of ranges of keys come first, and theirs in the same way, until one window holds them; no row meets another range's rows.
+    """
+    ranged = counts.withColumn("_range", F.expr(f"`{key}` div {RANGE}"))
+    sums = ranged.groupBy("_range").agg(F.sum(n).alias("_sum"))
+    before = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(n).over(before), F.lit(0))
+    if sums.limit(2).count() < 2:
+        return ranged.withColumn(out, within.cast("long")).drop("_range")
+    base = offsets(sums.select(F.col("_range").alias("_at"), "_sum"), "_at", "_sum", "_base").select(F.col("_at").alias("_range"), F.col("_base").alias("_below"))
+    return ranged.withColumn(out, within).join(base, "_range").withColumn(out, (F.col("_below") + F.col(out)).cast("long")).drop("_range", "_below")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

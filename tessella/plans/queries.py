@@ -266,12 +266,7 @@ def limit_offset(spark, d):
 @query("csr_offsets", "SELECT conv_id, n, CAST(sum(n) OVER (ORDER BY conv_id) - n AS BIGINT) start FROM (SELECT conv_id, count(*) n FROM conversations GROUP BY conv_id)")
 def csr_offsets(spark, d):
     n = _t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    # Sums of ranges of keys first, then within each range: no window over all rows.
-    n = n.withColumn("part", F.expr("conv_id div 4096"))
-    parts = n.groupBy("part").agg(F.sum("n").alias("pn"))
-    before = parts.alias("a").join(parts.select(F.col("part").alias("p"), F.col("pn").alias("q")), F.col("p") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("q"), F.lit(0)).alias("base"))
-    w = Window.partitionBy("part").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)
-    return n.join(before, "part").select("conv_id", "n", (F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0))).cast("long").alias("start"))
+    return R.offsets(n, "conv_id", "n").select("conv_id", "n", "start")
 
 
 # --- names and citations ----------------------------------------------------------------------------------------------

@@ -102,6 +102,20 @@ def test_search(spark):
     assert (r[2].status, r[3].status, r[4].status) == ("no_candidates", "no_candidates", "error")
 
 
+def test_offsets(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANGE", 4)
+    rng = random.Random(3)
+    rows = {k: rng.randint(0, 9) for k in rng.sample(range(-90, 300), 150)}
+    want, total = {}, 0
+    for k in sorted(rows):
+        want[k], total = total, total + rows[k]
+    got = R.offsets(spark.createDataFrame(list(rows.items()), "k long, n long").repartition(4), "k", "n")
+    assert {r.k: r.start for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "SinglePartition" not in plan
+    assert R.offsets(spark.createDataFrame([], "k long, n long"), "k", "n").count() == 0
+
+
 def test_heads_of_equal_frequency(spark):
     rows = [("li", 2, ["rw", "exact", "rw"]), ("li", 1, ["simp", "apply"]), ("li", 3, ["exact", "apply", "omega"])]
     wins = spark.createDataFrame([(a, o, h, "exhausted", len(h), 1, "x", False) for a, o, h in rows], "arm string, ord int, heads array<string>, mode string, n_steps int, n_expansions int, area string, one_step boolean")
