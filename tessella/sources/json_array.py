@@ -74,9 +74,9 @@ def _cut(begins: dict[tuple[str, int], tuple[bool, int]]):
         at, state, left, any_border = None, (False, 0), b"", False
 
         def rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            kinds, texts = zip(*found, strict=True) if found else ((), ())
-            n = len(kinds)
-            return pa.record_batch([pa.array([at[0]] * n, pa.string()), pa.array([at[1]] * n, pa.int64()), pa.array(kinds, pa.int32()), pa.array(texts, pa.binary())], ["file", "block", "kind", "text"])
+            kinds, n = [k for k, _ in found], len(found)
+            return pa.record_batch([pa.array([at[0]] * n, pa.string()), pa.array([at[1]] * n, pa.int64()), pa.array(kinds, pa.int32()),
+                                    pa.array([t if k != WHOLE else None for k, t in found], pa.binary()), pa.array([t.strip() if k == WHOLE else None for k, t in found], pa.binary())], ["file", "block", "kind", "text", "whole"])
 
         for split, data in _splits(batches):
             if split != at:
@@ -119,7 +119,7 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     meta = F.col("_metadata")
     pieces = spark.read.option("lineSep", ",").text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.col("value").cast("binary").alias("piece"))
     begins = _begins(pieces.mapInArrow(_changes, "file string, block long, s0 boolean, d0 long, s1 boolean, d1 long").collect())
-    rows = pieces.mapInArrow(_cut(begins), "file string, block long, kind int, text binary")
+    rows = pieces.mapInArrow(_cut(begins), "file string, block long, kind int, text binary, whole binary")
     # Two at most for each split: what ends in it, and what begins in it. An element that goes on over splits is put together.
     ends = rows.where(F.col("kind") != WHOLE)
     order = Window.partitionBy("file").orderBy("block", "kind")
@@ -130,9 +130,10 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     last = F.max("number").over(Window.partitionBy("file"))
     text = F.regexp_replace(text, r"^\s+|[\s,]+$", "")
     text = F.when(F.col("number") == 0, F.regexp_replace(text, r"^\[\s*", "")).otherwise(text)
-    whole = rows.where(F.col("kind") == WHOLE).select("file", F.regexp_replace(F.col("text").cast("string"), r"^\s+|\s+$", "").alias("text"))
+    # Whole elements have a column of their own, null elsewhere: a reader's own conditions may be looked at before the filter here.
+    whole = rows.select("file", F.col("whole").cast("string").alias("text")).where("text is not null")
     ends = joined.withColumn("last", last).select("file", F.when(F.col("number") == F.col("last"), F.regexp_replace(text, r"\s*\]$", "")).otherwise(text).alias("text"))
-    return whole.unionByName(ends.where("text <> ''"))
+    return whole.unionByName(ends.withColumn("text", F.nullif("text", F.lit(""))).where("text is not null"))
 
 
 def read(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:

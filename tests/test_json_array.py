@@ -63,6 +63,12 @@ def test_wrong_files_are_refused(spark, tmp_path):
     assert sorted(r.a or 0 for r in json_array.read(spark, str(tmp_path), "a int", "PERMISSIVE").collect()) == [0, 1]
 
 
+def test_conditions_of_the_reader_see_elements_alone(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[{"a": [1]}, {"a": [2, 3]}, {"a": []}, {"a": [4]}]')
+    rows = json_array.read(spark, str(tmp_path), "a array<int>").where("size(a) >= 1").selectExpr("explode(a) x").where("x is not null")
+    assert sorted(r.x for r in rows.collect()) == [1, 2, 3, 4]
+
+
 def test_round_trip(spark, tmp_path, narrow):
     rows = [(i, f'"{i}", [x] \\ \n') for i in range(300)] + [(None, None)]
     df = spark.createDataFrame(rows, "id long, text string").repartition(5)
