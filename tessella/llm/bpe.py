@@ -31,6 +31,37 @@ STRETCH = 1 << 21
 #: Fixed value: the public byte-level pattern that splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(PATTERN)
+
+
+class _Alike(dict):
+    """A character -> one that the pattern treats alike and that is of one class in all versions of Unicode.
+
+    What is a letter or a number differs between versions, so the library's pattern is asked, once for each character.
+    """
+
+    def __init__(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__((i, i) for i in range(128))
+        self.cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+
+    def __missing__(self, code: int) -> int:
+        kinds = {"a": 0xE0, "1": 0xB2, "!": 0xA1}
+        self[code] = next((k for x, k in kinds.items() if len(self.cut(x + chr(code))) == 1), 0xA0)
+        return self[code]
+
+
+_alike: list[_Alike] = []
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text as the pattern cuts it, by the library's classes of characters."""
+    if not _alike:
+        _alike.append(_Alike())
+    for m in _SPLIT.finditer(text.translate(_alike[0])):
+        yield text[m.start():m.end()]
+
+
 #: Kinds of bytes: letter, digit, other, space, other white space, and what only the pattern itself can cut.
 _LETTER, _DIGIT, _OTHER, _SPACE, _WHITE, _HARD = range(6)
 
@@ -104,7 +135,6 @@ class Vocabulary:
             done[who[one]] = True
             todo = todo[~done[todo]]
             step += 1
-        self.steps = step
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -114,7 +144,7 @@ class Vocabulary:
         at = self._slot(keys)
         odd = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
         step = 1
-        while len(odd) and step <= self.steps:
+        while len(odd):  # a run of filled slots may be longer than any merge's own way, so up to a free one
             at[odd] = (self._slot(keys[odd]) + step) & ((1 << self.bits) - 1)
             odd = odd[(self.keys[at[odd]] != keys[odd]) & (self.keys[at[odd]] >= 0)]
             step += 1
@@ -242,8 +272,8 @@ class Vocabulary:
                 words.append(None)
                 which.append((i, self.special[text]))
                 continue
-            for m in _SPLIT.finditer(text.decode()):
-                words.append(m.group().encode())
+            for piece in pieces(text.decode()):
+                words.append(piece.encode())
                 which.append((i, None))
         short = [w if w is not None and len(w) <= self.window else b"" for w in words]
         lens = np.fromiter(map(len, short), np.int64, len(short))

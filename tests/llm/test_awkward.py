@@ -138,6 +138,24 @@ def test_transducer_in_blocks(monkeypatch, stretch):
         assert r["ids"] == lib.encode(t or "", add_special_tokens=False).ids and r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_pairs_that_are_no_merge_find_no_merge():
+    """A pair that isn't in the table has no rank, however long the run of filled slots in which its search begins."""
+    v = bpe.vocabulary(bpe.default_vocabulary())
+    keys = np.arange(3_000_000, dtype=np.int64)
+    keys = keys[~np.isin(keys, v.keys)]
+    assert (v.rank[v._find(keys)] == 1 << 30).all()
+
+
+def test_letters_of_all_versions_of_unicode():
+    """What is a letter or a number is what the library says, not what another version of Unicode says."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_vocabulary())
+    for lo in (*range(0, 0x3000, 4096), 0xA000, 0x10000, 0x1D000, 0x32000):
+        text = "\n".join(f"a{c}'s1{c} !{c}re" for c in map(chr, range(lo, lo + 4096)) if not "\ud800" <= c <= "\udfff")
+        assert [text[a:b] for _, (a, b) in lib.pre_tokenizer.pre_tokenize_str(text)] == list(bpe.pieces(text))
+
+
 @pytest.mark.parametrize("library", [True, False])
 def test_vbyte_files_are_in_order(spark, library):
     rows = [(i * 7 % 101, prose(rng.randint(0, 30))) for i in range(101)] + [(5, "again"), (None, "no key"), (200, None)]
