@@ -35,6 +35,16 @@ def test_fisher(spark, t):
     assert value(spark, stats.fisher(*map(F.lit, t))) == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize("t", [(20_000, 9_900, 19_700, 10_100), (30_000, 30_000, 30_000, 30_000), (50_000, 10, 20, 40_000), (90_000, 300, 88_000, 350)])
+def test_fisher_of_large_tables(spark, t):
+    """Steps go by the root of the least margin: sums over all tables for each table never ended."""
+    a, b, c, d = t
+    r1, r2, c1 = a + b, c + d, a + c
+    ln = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    p = {x: math.exp(ln(r1, x) + ln(r2, c1 - x) - ln(r1 + r2, c1)) for x in range(max(0, c1 - r2), min(c1, r1) + 1)}
+    assert value(spark, stats.fisher(*map(F.lit, t))) == pytest.approx(min(1.0, sum(v for v in p.values() if v <= p[a] * (1 + 1e-7))), abs=1e-7)
+
+
 def test_pass_at_k(spark):
     for n, c, k in itertools.product([8], range(9), range(1, 9)):
         want = 1 - math.comb(n - c, k) / math.comb(n, k)
