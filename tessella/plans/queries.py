@@ -525,11 +525,19 @@ def _diffs(spark, d):
 @query("bootstrap_md5", f"WITH {_DIFF}, r AS (SELECT b, CAST('0x' || substr(md5(b || '-' || i), 1, 8) AS BIGINT) % n j FROM v, n, unnest(range(0, {_B})) t(b)), m AS (SELECT b, avg(x) m FROM r JOIN v ON v.i = r.j GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) lo, round(quantile_cont(m, 0.975), 6) hi FROM m")
 def bootstrap_md5(spark, d):
     x = _diffs(spark, d)
-    v = x.select(F.posexplode(F.array_sort(F.collect_list(F.struct("doc_id", "x")))).alias("i", "e")).select("i", F.col("e.x").alias("x"))
-    n = x.count()
-    # Resamples of one size draw indexes, and few distinct values stand behind them: an index is looked up by a join on it.
-    draws_ = v.select("i", F.explode(F.sequence(F.lit(0), F.lit(_B - 1))).alias("b")).select("b", (stats.draw(F.col("b").cast("string"), F.col("i").cast("string")) % n).cast("int").alias("j"))
-    means = draws_.join(v.withColumnRenamed("i", "j"), "j").groupBy("b").agg(F.avg("x").alias("m"))
+    # Ranks by sums over ranges of ids; rows without an id come last, and equal ids are told apart within theirs.
+    ided = x.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    start = R.offsets(ided.groupBy("k").agg(F.count("*").alias("c")), "k", "c")
+    place = F.row_number().over(Window.partitionBy("k").orderBy("x")) - 1
+    v = scratch.stored(ided.join(start.select("k", "start"), "k").select((F.col("start") + place).alias("i"), "x"), "differences")
+    n = v.count()
+    # Few bytes of ids stand for many draws: they are dealt out by their number, a million draws to a task.
+    parts = max(spark.sparkContext.defaultParallelism, -(-n * _B // 1_000_000))
+    draws_ = v.select("i").repartition(parts, "i").select("i", F.explode(F.sequence(F.lit(0), F.lit(_B - 1))).alias("b")).select("b", (stats.draw(F.col("b").cast("string"), F.col("i").cast("string")) % n).alias("j"))
+    # The values are the smaller side, which the sizes of what they are drawn from don't show.
+    values = v.withColumnRenamed("i", "j")
+    values = F.broadcast(values) if n <= R.BROADCAST // 64 else values.hint("merge")
+    means = draws_.join(values, "j").groupBy("b").agg(F.avg("x").alias("m"))
     return runs.interval(means, "m")
 
 

@@ -45,6 +45,24 @@ def test_fisher_of_large_tables(spark, t):
     assert value(spark, stats.fisher(*map(F.lit, t))) == pytest.approx(min(1.0, sum(v for v in p.values() if v <= p[a] * (1 + 1e-7))), abs=1e-7)
 
 
+def test_bootstrap_draws_are_dealt_out(spark, tmp_path):
+    """Ids with gaps over many ranges and without an id: the SQL's interval, with no table gathered in a row and no draws sent to all tasks."""
+    import duckdb
+
+    from tessella import registry
+
+    rng = random.Random(5)
+    ids = rng.sample(range(-50_000, 100_000), 3000)
+    rows = [(i, rng.randint(0, 1), rng.choice([0, 0, 1])) for i in ids] + [(None, 1, 0)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view labels as select * from '{tmp_path}/labels.parquet/*.parquet'")
+    got = registry.queries()["bootstrap_md5"](spark, str(tmp_path))
+    assert tuple(got.first()) == duck.sql(registry.oracle_sql()["bootstrap_md5"]).fetchall()[0]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_sort" not in plan
+
+
 def test_pass_at_k(spark):
     for n, c, k in itertools.product([8], range(9), range(1, 9)):
         want = 1 - math.comb(n - c, k) / math.comb(n, k)
