@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
 from ..sources.scratch import stored
-from .retrieval import topk
+from .retrieval import dealt, topk
 from .runs import GuardError
 
 #: Documents of a range, and characters of its texts, about.
 RANGE_DOCS, RANGE_CHARS = 1024, 4_000_000
+#: Texts that are Python's strings at once.
+TEXTS = 64
 #: Characters of queries that are searched at once; more are taken in further passes.
 QUERY_CHARS = 4_000_000
 #: Folders of a saved index, by a hash of the term.
@@ -42,13 +44,12 @@ def _tokens(text: str | None, lowercase: bool) -> list[str]:
     return _TOKEN.findall(text.lower() if lowercase else text) if text else []
 
 
-def _blocks(number: int, keys: list[int], counts: list[Counter]) -> pa.RecordBatch:
-    """The rows of one range."""
-    vocabulary: dict[str, int] = {}
-    term = np.array([vocabulary.setdefault(t, len(vocabulary)) for c in counts for t in c], np.int64)
-    doc = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-    tf = np.fromiter((x for c in counts for x in c.values()), np.int64, len(term))
-    length = np.array([c.total() for c in counts], np.int64)
+def _blocks(number: int, keys: list[int], vocabulary: dict[str, int], counts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The rows of one range: of each document the terms by their number in ``vocabulary`` and how often each occurs."""
+    term = np.concatenate([t for t, _ in counts]).astype(np.int64)
+    doc = np.repeat(np.arange(len(counts)), [len(t) for t, _ in counts])
+    tf = np.concatenate([n for _, n in counts]).astype(np.int64)
+    length = np.array([int(n.sum()) for _, n in counts], np.int64)
     order = np.argsort(term, kind="stable")
     term, doc, tf = term[order], doc[order].astype("<u2"), tf[order].astype("<u4")
     first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
@@ -66,16 +67,21 @@ def _blocks(number: int, keys: list[int], counts: list[Counter]) -> pa.RecordBat
 def _indexed(lowercase: bool, most_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, keys, counts, chars = TaskContext.get().partitionId() << 32, [], [], 0
+        vocabulary: dict[str, int] = {}
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(key)
-                counts.append(Counter(_tokens(text, lowercase)))
-                chars += len(text or "")
-                if len(keys) == most_docs or chars >= RANGE_CHARS:
-                    yield _blocks(number, keys, counts)
-                    number, keys, counts, chars = number + 1, [], [], 0
+            for lo in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(lo, TEXTS)
+                for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    # Numbers in place of strings at once: a range's strings are held once, not by each document.
+                    c = Counter(_tokens(text, lowercase))
+                    keys.append(key)
+                    counts.append((np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in c), np.int32, len(c)), np.fromiter(c.values(), np.uint32, len(c))))
+                    chars += len(text or "")
+                    if len(keys) == most_docs or chars >= RANGE_CHARS:
+                        yield _blocks(number, keys, vocabulary, counts)
+                        number, keys, vocabulary, counts, chars = number + 1, [], {}, [], 0
         if keys:
-            yield _blocks(number, keys, counts)
+            yield _blocks(number, keys, vocabulary, counts)
 
     return run
 
@@ -83,11 +89,7 @@ def _indexed(lowercase: bool, most_docs: int):
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", lowercase: bool = False, most_docs: int = RANGE_DOCS) -> DataFrame:
     """The index of ``docs`` (``INDEX``); store it before it is searched. Keys are whole numbers; rows without one take no part, null texts have no terms."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
-    # A few files of one row group each would be a few tasks: they are dealt out. Many files need no shuffle.
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if 0 < len(docs.inputFiles()) < cores:
-        rows = rows.repartition(2 * cores)
-    return rows.mapInArrow(_indexed(lowercase, most_docs), INDEX)
+    return dealt(rows).mapInArrow(_indexed(lowercase, most_docs), INDEX)
 
 
 def _sums(index: DataFrame) -> tuple[int, int, int]:

@@ -21,6 +21,12 @@ def small(df: DataFrame, per_row: int = 64, limit: int = BROADCAST) -> DataFrame
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A few files of one row group each would be a few tasks: their rows are dealt out. Many files need no shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", lowercase: bool = False) -> DataFrame:
     """term, key, tf: combined on the map side before the shuffle. Null texts have no terms."""
     return docs.select(key, F.explode(tokens(F.col(text), lowercase)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))

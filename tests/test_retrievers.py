@@ -71,3 +71,23 @@ def test_account(world):
     queries, kinds = world
     found, cost = r.accounted(kinds["bm25"], queries, 2)
     assert cost["n_queries"] == 4 and cost["mean_premises_returned"] == round(found.count() / 4, 2) and cost["total_latency_s"] > 0
+
+
+def test_a_range_holds_numbers_not_strings(monkeypatch):
+    """Building an index, a worker holds few texts and each word of a range once, however many rows come in a batch."""
+    import random
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(2)
+    texts = [" ".join(f"word{rng.randint(0, 5000)}" for _ in range(300)) for _ in range(3000)]
+    batch = pa.record_batch([pa.array(range(3000)), pa.array(texts)], ["key", "text"])
+    del texts
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in bm25._indexed(False, 1024)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 3 * 5000 and peak < 24e6, peak
