@@ -7,7 +7,8 @@ result have no row.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Protocol, runtime_checkable
@@ -42,6 +43,11 @@ def _place(token: str, dim: int) -> tuple[int, float]:
     return int(h[:4], 16) % dim, 1.0 if int(h[4], 16) % 2 == 0 else -1.0
 
 
+def _places(tokens: Iterable[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    places = [_place(t, dim) for t in tokens]
+    return np.array([i for i, _ in places], np.int64), np.array([s for _, s in places], np.float64)
+
+
 def hashing_encoder(dim: int = 64, unit: bool = True, per_token: bool = False) -> Encode:
     """An encoder that learns nothing: each token adds 1 or -1 at a place, both from its hash. Equal texts have equal vectors on any machine; null texts have none.
 
@@ -51,10 +57,14 @@ def hashing_encoder(dim: int = 64, unit: bool = True, per_token: bool = False) -
     def vectors(text: str | None):
         if text is None:
             return None
-        places = [_place(t, dim) for t in _tokens(text, False)]
-        v = np.zeros((len(places), dim) if per_token else (1, dim), np.float32)
-        for row, (i, sign) in enumerate(places):
-            v[row if per_token else 0, i] += sign
+        if per_token:
+            at, sign = _places(_tokens(text, False), dim)
+            v = np.zeros((len(at), dim), np.float32)
+            v[np.arange(len(at)), at] = sign
+        else:
+            c = Counter(_tokens(text, False))
+            at, sign = _places(c, dim)
+            v = np.bincount(at, sign * np.fromiter(c.values(), np.int64, len(c)), dim).astype(np.float32)[None]
         if unit:
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         return v.tolist() if per_token else v[0].tolist()
@@ -69,7 +79,8 @@ def hashing_encoder(dim: int = 64, unit: bool = True, per_token: bool = False) -
 
 
 def token_table(rows: DataFrame, key: str, encode: Encode, text: str = "text", single: bool = True) -> DataFrame:
-    """key, pos, vec: one vector for each text, or one for each of its tokens."""
+    """key, pos, vec: one vector for each text, or one for each of its tokens. Store it if it is read more than once: each reading encodes."""
+    rows = retrieval.dealt(rows.select(key, text))
     if single:
         return rows.select(key, F.lit(0).alias("pos"), encode(F.col(text)).alias("vec"))
     return rows.select(key, F.posexplode(encode(F.col(text))).alias("pos", "vec"))

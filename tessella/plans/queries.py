@@ -223,7 +223,9 @@ def retriever_fusion(spark, d):
     """BM25 fused with inner products of hashed vectors (whole numbers), both behind the retrievers' protocol."""
     docs, queries = _t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     encode = retrievers.hashing_encoder(unit=False)
-    vectors = scratch.stored(dense.build(retrievers.token_table(docs, "doc_id", encode), half=False), "hashed")
+    # The index counts its vectors before it packs them; as a table they are encoded once.
+    encoded = scratch.stored(retrievers.token_table(docs, "doc_id", encode), "encoded")
+    vectors = scratch.stored(dense.build(encoded, half=False), "hashed")
     fused = retrievers.FusionRetriever([retrievers.Bm25Retriever(scratch.stored(bm25.build(docs), "bm25")), retrievers.VectorRetriever(vectors, encode)])
     return fused.retrieve(queries, 10).select(F.col("qid").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
 

@@ -73,6 +73,21 @@ def test_account(world):
     assert cost["n_queries"] == 4 and cost["mean_premises_returned"] == round(found.count() / 4, 2) and cost["total_latency_s"] > 0
 
 
+def test_a_single_file_is_encoded_by_many_tasks(spark, tmp_path):
+    """A table of one file of one row group would be encoded by one task."""
+    rows = [(i, f"word{i} word{i % 7} word{i % 7} it's") for i in range(200)] + [(200, None), (201, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    table = r.token_table(spark.read.parquet(f"{tmp_path}/d"), "doc_id", r.hashing_encoder(16, unit=False))
+    assert table.rdd.getNumPartitions() > 1
+    got = {x.doc_id: x.vec for x in table.collect()}
+    for i, text in rows:
+        want = None if text is None else np.zeros(16)
+        for token in bm25._tokens(text, False):
+            at, sign = r._place(token, 16)
+            want[at] += sign
+        assert got[i] is None if text is None else got[i] == want.tolist()
+
+
 def test_a_range_holds_numbers_not_strings(monkeypatch):
     """Building an index, a worker holds few texts and each word of a range once, however many rows come in a batch."""
     import random
