@@ -90,6 +90,8 @@ def byte_letters() -> list[str]:
 class Vocabulary:
     """Merges and tokens of a byte-level BPE file (JSON); made once per worker by ``vocabulary``."""
 
+    remembered = REMEMBERED
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -318,6 +320,8 @@ class Vocabulary:
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts ``data[offsets[i]:offsets[i + 1]]``, one after another, and where each text's begin."""
+        # What reads words copies all that it is given.
+        data, offsets = data[int(offsets[0]):int(offsets[-1])], offsets - offsets[0]
         start = self.chunks(data, offsets)
         size = np.diff(np.append(start, offsets[-1]))
         low, high = identities(data, start, size)
@@ -329,7 +333,7 @@ class Vocabulary:
         which[order] = np.cumsum(np.concatenate([[True], ~same])) - 1 if len(order) else 0
         known = np.minimum(np.searchsorted(self.hash, h[first]), max(len(self.hash) - 1, 0))
         have = (self.hash[known] == h[first]) & (self.low[known] == low[first]) & (self.high[known] == high[first]) if len(self.hash) else np.zeros(len(first), bool)
-        if len(self.hash) + len(first) - have.sum() > REMEMBERED:
+        if len(self.hash) + len(first) - have.sum() > self.remembered:
             self._forget()
             have[:] = False
         new = first[~have]

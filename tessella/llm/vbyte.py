@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 from .bpe import _WHITE_ASCII, STRETCH, Vocabulary, default_vocabulary, vocabulary
 from .exchange import slices
 from .shared import documents, scratch_path, stored
-from .words import texts
+from .words import packed, spans, texts
 
-#: Bytes of a text that is handed to the library.
-TEXT = 1 << 16
+#: Bytes of a text that is handed to the library, about. Its time for a word doubles from here to some 4 kB.
+TEXT = 1 << 8
+#: Ids that are packed or unpacked at once, about.
+NUMBERS = 1 << 20
 #: A row of a file: its number among the rows of its part, the ids of the part before it, the document, its number of ids,
 #: control and data bytes. Parts are folders; they ascend as their numbers do, and rows within them.
 ROW = "row long, begin long, doc_id long, n_tokens long, control binary, data binary"
@@ -25,32 +28,52 @@ _IDS = "part int, row long, begin long, doc_id long, n_tokens long, ids binary"
 _SIZES = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 
 
-def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes (two bits for each number: its bytes less one) and the numbers' low bytes."""
+def _places(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each number's size stands if lists of ``n`` numbers begin at control bytes of their own, and the control bytes before each list."""
+    control = np.concatenate([[0], np.cumsum(-(-n // 4))])
+    return np.arange(int(n.sum())) + np.repeat(4 * control[:-1] - (np.cumsum(n) - n), n), control
+
+
+def _pack(numbers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of lists of ``n`` numbers, one after another, and where each list's begin."""
     x = np.ascontiguousarray(numbers, np.uint32)
     size = 1 + (x > 0xFF).astype(np.uint8) + (x > 0xFFFF) + (x > 0xFFFFFF)
-    code = np.zeros(-(-len(x) // 4) * 4, np.uint8)
-    code[: len(x)] = size - 1
+    place, control = _places(n)
+    code = np.zeros(4 * int(control[-1]), np.uint8)
+    code[place] = size - 1
     code = code.reshape(-1, 4)
-    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    return control.tobytes(), x.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    data = x.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    return code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6, control, data, ends[np.concatenate([[0], np.cumsum(n)])]
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` numbers, their sizes looked up in a table by control byte."""
-    size = _SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)[: int(size.sum(dtype=np.int64))]
+def _unpack(control: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of lists of ``n``, their sizes looked up in a table by control byte."""
+    size = _SIZES[control].reshape(-1)[_places(n)[0]]
+    out = np.zeros((len(size), 4), np.uint8)
+    out[np.arange(4) < size[:, None]] = data[: int(size.sum(dtype=np.int64))]
     return out.view(np.uint32).reshape(-1)
 
 
+def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes (two bits for each number: its bytes less one) and the numbers' low bytes."""
+    control, _, data, _ = _pack(numbers, np.array([len(numbers)]))
+    return control.tobytes(), data.tobytes()
+
+
+def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
+    return _unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), np.array([n]))
+
+
 class _Encoder(Vocabulary):
-    """The tokenizers library, asked once for each chunk that a worker sees.
+    """The tokenizers library, asked once for each chunk that a worker sees and remembers.
 
     Chunks that begin with a space and don't end with white space are handed over one after another as one text, which the
     library cuts before each of them; their tokens' lengths tell where each ends. The others are texts of their own.
     """
 
+    remembered = 2_000_000
+
     def __init__(self, path: str):
         import os
 
@@ -74,13 +97,11 @@ class _Encoder(Vocabulary):
         start, size, k = start[order], size[order], int(row.sum())
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = slices(data, start, size)
-        ids, lens = [], [np.zeros(0, np.int64)]
-        cuts = np.unique(np.append(np.searchsorted(ends[: k + 1], np.arange(0, ends[k], TEXT)), k))
-        long = [flat[ends[i]:ends[j]].tobytes().decode() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        for (i, j), x in zip(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), self._library(long), strict=True):
-            till = np.searchsorted(np.cumsum(self.flat_len[x]), ends[i + 1:j + 1] - ends[i], "left") + 1
-            ids.append(x)
-            lens.append(np.diff(np.concatenate([[0], till])))
+        cuts = ends[np.unique(np.append(np.searchsorted(ends[: k + 1], np.arange(0, ends[k], TEXT)), k))]
+        whole = flat[: ends[k]].tobytes()
+        ids = self._library([whole[a:b].decode() for a, b in itertools.pairwise(cuts.tolist())])
+        reach = np.cumsum(self.flat_len[np.concatenate([*ids, np.empty(0, np.uint32)])])
+        lens = [np.diff(np.concatenate([[0], np.searchsorted(reach, ends[1:k + 1], "left") + 1]))]
         for i in range(k, len(size), 10_000):
             some = self._library([flat[ends[j]:ends[j + 1]].tobytes().decode() for j in range(i, min(len(size), i + 10_000))])
             ids += some
@@ -130,15 +151,23 @@ def _encode(path: str, end: int, library: bool = True):
     return run
 
 
-def _ids(n: int, buffer) -> np.ndarray:
-    return np.frombuffer(buffer, np.uint16 if len(buffer) == 2 * n else np.uint32)
+def _some(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """A batch in parts of about ``NUMBERS`` ids or one document, and how many ids each document has."""
+    n = batch.column("n_tokens").to_numpy()
+    for lo, hi in spans(np.concatenate([[0], np.cumsum(n)]), NUMBERS):
+        yield batch.slice(lo, hi - lo), n[lo:hi]
+
+
+def _ids(part: pa.RecordBatch, n: np.ndarray) -> np.ndarray:
+    buffers = (x.as_buffer() for x in part.column("ids"))
+    return np.concatenate([np.frombuffer(b, np.uint16 if b.size == 2 * k else np.uint32) for k, b in zip(n.tolist(), buffers, strict=True)])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for n, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            c = np.bincount(_ids(n, x.as_buffer()))
+        for part, n in _some(batch):
+            c = np.bincount(_ids(part, n))
             if len(c) > len(total):
                 total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
             total[: len(c)] += c
@@ -149,9 +178,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _writer(rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(4).to_pylist()
-            c = [pack(rank[_ids(k, x.as_buffer())]) for k, x in zip(n, batch.column(5), strict=True)]
-            yield pa.record_batch([*batch.columns[:5], pa.array([x[0] for x in c], pa.binary()), pa.array([x[1] for x in c], pa.binary())], ["part", "row", "begin", "doc_id", "n_tokens", "control", "data"])
+            for part, n in _some(batch):
+                control, first, data, begin = _pack(rank[_ids(part, n)], n)
+                yield pa.record_batch([*part.columns[:5], packed(control, first), packed(data, begin)], ["part", "row", "begin", "doc_id", "n_tokens", "control", "data"])
 
     return run
 
@@ -178,17 +207,20 @@ def write_ids(df: DataFrame, path: str, vocab: str | None = None, key: str = "do
     packed_.sortWithinPartitions("part", "row").write.option("compression", "none").partitionBy("part").parquet(f"{path}/ids")
 
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    data, off = texts(column)
+    return data[int(off[0]):int(off[-1])]
+
+
 def _reader(by_rank: np.ndarray, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc, ids = [], []
-            for n, c, d in zip(batch.column(4).to_pylist(), batch.column(5), batch.column(6), strict=True):
-                x = by_rank[unpack(c.as_buffer(), d.as_buffer(), n)]
-                crc.append(zlib.crc32(x))
-                if with_ids:
-                    ids.append(x.view(np.int32))
-            yield pa.record_batch([*batch.columns[:5], pa.array(crc, pa.int64())] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []),
-                                  ["part", "row", "begin", "doc_id", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+            for part, n in _some(batch):
+                x = by_rank[_unpack(_bytes(part.column("control")), _bytes(part.column("data")), n)]
+                first = np.concatenate([[0], np.cumsum(n)])
+                crc = [zlib.crc32(x[a:b]) for a, b in itertools.pairwise(first.tolist())]
+                ids = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x.view(np.int32)))] if with_ids else []
+                yield pa.record_batch([*part.columns[:5], pa.array(crc, pa.int64()), *ids], ["part", "row", "begin", "doc_id", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     return run
 

@@ -171,6 +171,39 @@ def test_vbyte_files_are_in_order(spark, library):
     assert [r.k for r in files] == keys
 
 
+def test_vbyte_takes_many_documents_at_once(spark, monkeypatch):
+    """Short texts for the library, whose time for a word grows with the text; packing by batches, in parts of any size, as document by document."""
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(3)
+    n = np.array([0, 1, 2, 3, 4, 5, 0, 9, 700])
+    x = r.integers(0, 2**32, int(n.sum()), dtype=np.uint64).astype(np.uint32) >> r.integers(0, 32, int(n.sum())).astype(np.uint32)
+    control, first, data, begin = vbyte._pack(x, n)
+    parts = np.split(x, np.cumsum(n)[:-1])
+    assert [(control[a:b].tobytes(), data[c:d].tobytes()) for a, b, c, d in zip(first[:-1], first[1:], begin[:-1], begin[1:])] == [vbyte.pack(y) for y in parts]
+    assert vbyte._unpack(control, data, n).tolist() == x.tolist()
+
+    lib, asked = Tokenizer.from_file(bpe.default_vocabulary()), []
+    own = [f"{prose(300)}{i} x{i}é z{i}\u3000 {'q' * (i % 7)}\n {i}<|endoftext|>  it's{i}" for i in range(60)] + ["", "a" * 3000 + " b", " "]
+    encoder = vbyte._Encoder(bpe.default_vocabulary())
+    take = encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda words: asked.extend(map(len, words)) or take(words))
+    raw = [t.encode() for t in own]
+    got = [ids[a:b].tolist() for _, _, ids, begins in encoder.encode(np.frombuffer(b"??" + b"".join(raw), np.uint8), 2 + np.concatenate([[0], np.cumsum([len(t) for t in raw])])) for a, b in zip(begins[:-1], begins[1:])]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in own]
+    assert sorted(asked)[-2] < 1000  # but for the one long word
+
+    batch = pa.record_batch([pa.array([i] * 4) for i in range(4)] + [pa.array([3, 1, 40, 2]), pa.array([np.array(y, t).tobytes() for y, t in (([1, 2, 70_000], np.uint32), ([5], np.uint16), (range(40), np.uint16), ([5, 1], np.uint16))], pa.binary())], ["part", "row", "begin", "doc_id", "n_tokens", "ids"])
+    want = {i: sum(y.count(i) for y in ([1, 2, 70_000], [5], list(range(40)), [5, 1])) for i in [*range(40), 70_000]}
+    for most in (1, 5, 1000):
+        monkeypatch.setattr(vbyte, "NUMBERS", most)
+        (counts,) = vbyte._counts(iter([batch]))
+        assert dict(zip(counts[0].to_pylist(), counts[1].to_pylist())) == want
+        written = list(vbyte._writer(np.arange(70_001, dtype=np.uint32))(iter([batch])))
+        read = [y for z in written for out in vbyte._reader(np.arange(70_001, dtype=np.uint32), True)(iter([z])) for y in out.column(6).to_pylist()]
+        assert read == [[1, 2, 70_000], [5], list(range(40)), [5, 1]]
+
+
 def test_expected_counts_and_em(spark):
     """Expected counts against all paths; the likelihood never falls; scores against an own computation."""
     import itertools
